@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, quality, sharding
+from tidemark.llm import mixing, near_dup, packing, quality, sharding, token_codes
 from tidemark.llm.common import table
 
 
@@ -17,10 +17,22 @@ def op5_histogram_shards(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_token_codes(spark, sf_dir):
+    return token_codes.encode_and_read(table(spark, sf_dir, "documents"))
+
+
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
 def op8_pareto_mix(spark, sf_dir):
     df = mixing.mix(mixing.sized(table(spark, sf_dir, "documents")))
     return df.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_divergence, op5_histogram_shards, op8_pareto_mix)}
+def op10_hyperminhash(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op4_quality_divergence, op5_histogram_shards, op6_token_codes, op7_best_fit_packing, op8_pareto_mix, op10_hyperminhash)}
 SQL = {"op8_pareto_mix": mixing.ORACLE}
