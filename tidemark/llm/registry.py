@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, near_dup, packing, quality, sharding, token_codes
-from tidemark.llm.common import table
+from tidemark.llm import mixing, near_dup, packing, quality, secrets, sharding, token_codes, toxicity
+from tidemark.llm.common import id_hash, table
+
+
+def op1_secret_spans(spark, sf_dir):
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
 def op4_quality_divergence(spark, sf_dir):
@@ -30,9 +34,15 @@ def op8_pareto_mix(spark, sf_dir):
     return df.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op9_nearest_toxic(spark, sf_dir):
+    df = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held_out = F.pmod(id_hash(F.col("doc_id")), F.lit(4)) == 2
+    return df.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+
+
 def op10_hyperminhash(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_divergence, op5_histogram_shards, op6_token_codes, op7_best_fit_packing, op8_pareto_mix, op10_hyperminhash)}
+QUERIES = {f.__name__: f for f in (op1_secret_spans, op4_quality_divergence, op5_histogram_shards, op6_token_codes, op7_best_fit_packing, op8_pareto_mix, op9_nearest_toxic, op10_hyperminhash)}
 SQL = {"op8_pareto_mix": mixing.ORACLE}
