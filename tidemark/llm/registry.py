@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, near_dup, packing, quality, secrets, sharding, token_codes, toxicity
+from tidemark.llm import hpy_model, metric_tree, mixing, near_dup, packing, quality, secrets, sharding, token_codes, toxicity
 from tidemark.llm.common import id_hash, table
 
 
@@ -12,6 +12,15 @@ def op1_secret_spans(spark, sf_dir):
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_mtree_topk(spark, sf_dir):
+    vectors = metric_tree.quantized(table(spark, sf_dir, "embeddings"))
+    return metric_tree.top_k(vectors, vectors.where(F.col("id") % 50 == 0))
+
+
+def op3_hpy_scores(spark, sf_dir):
+    return hpy_model.score(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_divergence(spark, sf_dir):
     df = quality.quality(table(spark, sf_dir, "documents"))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
@@ -44,5 +53,5 @@ def op10_hyperminhash(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_spans, op4_quality_divergence, op5_histogram_shards, op6_token_codes, op7_best_fit_packing, op8_pareto_mix, op9_nearest_toxic, op10_hyperminhash)}
+QUERIES = {f.__name__: f for f in (op1_secret_spans, op2_mtree_topk, op3_hpy_scores, op4_quality_divergence, op5_histogram_shards, op6_token_codes, op7_best_fit_packing, op8_pareto_mix, op9_nearest_toxic, op10_hyperminhash)}
 SQL = {"op8_pareto_mix": mixing.ORACLE}
