@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tidemark.plans.register import QUERIES, SQL
+from tidemark.operators import aggregates, filters, joins, ledger, model, money, ranking, sellers, signals, titles  # noqa: F401  they register their queries
+from tidemark.streaming import windows  # noqa: F401
+
 FLAGSHIP = "score_signals"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
