@@ -2,7 +2,8 @@
 
 A document's set is its distinct ``shingle``-word shingles (lower case; with fewer words the whole sequence is one), kept
 as 64-bit hashes. Its signature has one 16-bit register for each bucket of hashes: the leading zeros of the bucket's
-least value and ten bits after its leading one. Bands of registers are hashed; documents that share a band hash are
+least value and ten bits after its leading one. Empty registers
+are filled from others before banding. Bands of registers are hashed; documents that share a band hash are
 candidates. The number of registers in each of the BANDS bands is the largest for which a pair exactly at the threshold
 is missed with a probability under MISS.
 
@@ -11,11 +12,11 @@ Copies are reduced to one document for each set first. Then candidates are linke
 1. Every member of a bucket is compared with the bucket's smallest id only: registers give a collision-corrected Jaccard
    estimate, and what could reach the threshold is compared by whole sets.
 2. The links give components. Two members of a bucket that are still in different components may be linked all the same,
-   so those buckets get all their members compared by registers, in blocks of BLOCK members inside tasks; only pairs of
-   different components that could reach the threshold come out, and they are compared by whole sets too.
+   so in such buckets whole sets are compared inside tasks, in blocks of BLOCK members: a member's overlaps with all
+   others are counted at once, and what comes out is one link for each two components that it joins.
 
-Every link of the first step is exact and every candidate pair is linked, refuted or inside one component, so what
-banding finds is never lost. Components spread their smallest id along links, with pointer jumping.
+So every pair that shares a bucket is linked, refuted or inside one component: what banding finds is never lost, and no
+step lists the pairs of a bucket. Components spread their smallest id along links, with pointer jumping.
 
 Null texts and texts without words have the empty set, which is linked with nothing. A null doc_id takes no part
 (component_id null, kept true). Rows of one doc_id count as one document. An empty table gives no rows. Other columns
@@ -37,7 +38,8 @@ from tidemark.llm.common import stash
 
 BANDS, MISS = 40, 1e-5
 MANTISSA = 10  # bits of a register after its leading zeros
-BLOCK = 512
+FILLS = 24  # rounds in which empty registers are filled before banding
+BLOCK = 512  # members of a bucket that one task compares with as many others
 MEMBERS = 256  # of one leader, compared by one run of sets
 U64 = np.uint64
 
@@ -93,9 +95,30 @@ def registers(sets: list[np.ndarray], size: int) -> np.ndarray:
     return np.where(least == ~U64(0), U64(0), out).astype(np.uint16).reshape(len(sets), size)
 
 
+def dense(regs: np.ndarray) -> np.ndarray:
+    """Registers with every empty one filled from one that isn't, chosen by place alone; rows of empty ones stay.
+
+    Else a band of a small set would be mostly empty, and one common shingle would decide it.
+    """
+    out, size = regs.copy(), regs.shape[1]
+    rng = np.random.default_rng(size)
+    for _ in range(FILLS):
+        todo = (out == 0).any(axis=1)
+        source = rng.permutation(size)
+        if todo.any():
+            out[todo] = np.where(out[todo] == 0, regs[todo][:, source], out[todo])
+    todo = (out == 0).any(axis=1) & (regs > 0).any(axis=1)
+    if todo.any():  # what is left takes the next register to its right, all around
+        twice = np.concatenate([regs[todo], regs[todo]], axis=1)
+        at = np.where(twice > 0, np.arange(2 * size), 2 * size)
+        after = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :size]
+        out[todo] = np.where(out[todo] == 0, np.take_along_axis(twice, after, axis=1), out[todo])
+    return out
+
+
 def band_keys(regs: np.ndarray, bands: int) -> np.ndarray:
-    """A 64-bit key for each row and band, which differs between bands; 0 for a band of empty registers."""
-    r = regs.reshape(len(regs), bands, -1)
+    """A 64-bit key for each row and band of filled registers, which differs between bands; 0 for empty sets."""
+    r = dense(regs).reshape(len(regs), bands, -1)
     acc = np.broadcast_to(np.arange(1, bands + 1, dtype=U64), r.shape[:2]).copy()
     for k in range(r.shape[2]):
         acc = _mix(acc * U64(0x9E3779B97F4A7C15) + r[:, :, k].astype(U64))
@@ -199,48 +222,88 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return rows.mapInPandas(compare, "u long, v long")
 
 
-def _unsettled(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket and whose registers allow a link. ``members``: key, id, component."""
-    open_keys = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("a < z").select("key", "blocks")
+class _Joined:
+    """Components of the members of one run; starts from those known."""
+
+    def __init__(self, labels: np.ndarray):
+        self.of = np.unique(labels, return_inverse=True)[1]
+
+    def join(self, a: int, others: np.ndarray) -> None:
+        self.of[np.isin(self.of, self.of[others])] = self.of[a]
+
+
+def links_among(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (places) that join all members of different components that are linked; exact, from whole sets.
+
+    A member's overlaps with all others are counted at once, along the members that hold each of its shingles.
+    """
+    sizes = np.array([len(s) for s in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(code, kind="stable")
+    holders, ends = owner[order], np.cumsum(np.bincount(code))
+    starts = np.concatenate([[0], ends[:-1]])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    joined, out = _Joined(labels), []
+    for x in range(len(sets)):
+        if (joined.of == joined.of[x]).all():
+            continue
+        own = code[first[x] : first[x + 1]]
+        both = np.bincount(np.concatenate([holders[a:b] for a, b in zip(starts[own], ends[own], strict=True)]), minlength=len(sets))
+        linked = np.flatnonzero((100 * both >= percent * (sizes + sizes[x] - both)) & (joined.of != joined.of[x]))
+        if len(linked):
+            linked = linked[np.unique(joined.of[linked], return_index=True)[1]]  # one link for each component
+            out += [(x, int(y)) for y in linked]
+            joined.join(x, linked)
+    return out
+
+
+def _unsettled(members: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (u, v) between different components in one bucket. ``members``: key, id, component."""
+    counts = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count("*").alias("n"))
+    # The pairs of a bucket of two were compared already.
+    open_keys = counts.where("a < z AND n > 2").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     rows = members.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     # A member goes to each pair of blocks that has its own: (block, j) for all j, the smaller first.
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component")
-    rows = rows.join(sigs.select("id", "n_shingles", "regs"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-
-    def among(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray) -> list[tuple[int, int]]:
-        out = []
-        for k in range(len(ids) - 1):
-            o = np.flatnonzero((comp[k + 1 :] != comp[k]) & (ids[k + 1 :] != ids[k])) + k + 1
-            if len(o):
-                ok = could_reach(np.broadcast_to(regs[k], (len(o), regs.shape[1])), regs[o], np.full(len(o), n[k]), n[o], percent)
-                out += [(ids[k], ids[x]) for x in o[ok]]
-        return out
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component")
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "held": [shingle_set(x, shingle).tobytes() for x in batch["text"]]})
+
+    wanted = docs.join(rows.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi")
+    sets = wanted.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary")).mapInPandas(shingles, "id long, held binary")
+    rows = rows.join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
+        run, ids, labels, held = None, [], [], []
 
         def settle() -> list[tuple[int, int]]:
-            if len(held) < 2:
+            if len(set(labels)) < 2:
                 return []
-            ids, comp, n, regs = zip(*held, strict=True)
-            return among(np.array(ids), np.array(comp), np.array(n), np.frombuffer(b"".join(regs), np.uint16).reshape(len(ids), -1))
+            found = links_among([np.frombuffer(x, U64) for x in held], np.array(labels), percent)
+            return [(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in found]
 
         for batch in batches:
             out = []
-            for k, i, j, *row in batch[["key", "i", "j", "id", "component", "n_shingles", "regs"]].itertuples(index=False):
-                if (k, i, j) != key:
+            for k, i, j, one, label, text in batch[["key", "i", "j", "id", "component", "held"]].itertuples(index=False):
+                if (k, i, j) != run:
                     out += settle()
-                    key, held = (k, i, j), []
-                held.append(row)
+                    run, ids, labels, held = (k, i, j), [], [], []
+                if one not in ids[-1:]:
+                    ids.append(one)
+                    labels.append(label)
+                    held.append(text)
             yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
         yield pd.DataFrame(settle(), columns=["u", "v"], dtype="int64")
 
-    return rows.mapInPandas(compare, "u long, v long").distinct()
+    return rows.mapInPandas(compare, "u long, v long").where("u < v").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id) and kept (the component's smallest) of each row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stash(signatures(docs, shingle, percent), "near-signatures")
     # One document for each set; copies count through the partial aggregation only.
     classes = stash(signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")), "near-classes")
@@ -255,9 +318,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links = stash(_verified(stash(_estimated(stars, sigs, percent), "near-pairs"), reps, shingle, percent), "near-stars")
     label = components(links)
     members = buckets.select("key", "id").distinct().join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    more = stash(_unsettled(members, sigs, percent), "near-more")
+    more = stash(_unsettled(members, reps, shingle, percent), "near-more")
     if not more.isEmpty():
-        label = components(links.union(_verified(more, reps, shingle, percent)))
+        label = components(links.union(more))
     found = classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
