@@ -1 +1,132 @@
-"""Placeholder."""
+"""Sellers compared with their peers: ratios, metrics, scores, supply."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.operators.joins import TIERS, _tier_sql, peers
+from tidemark.operators.ranking import midrank
+from tidemark.plans.register import query
+from tidemark.sources.views import market, r, rounded
+
+LN2 = math.log(2)
+MIN_COMPARABLE, SHRINK = 3, 4
+
+
+def winsorized(ratio) -> F.Column:
+    """ln of a ratio, held between those of a half and of two."""
+    return F.greatest(F.lit(-LN2), F.least(F.lit(LN2), F.ln(ratio)))
+
+
+def ratios(rows: DataFrame) -> DataFrame:
+    """Rows whose peers are in a scoring tier (1 or 2), with their winsorised log ratio."""
+    df = peers(rows).where("tier IN (1, 2) AND price > 0 AND peer_median > 0")
+    return df.withColumn("lr", winsorized(F.col("price") / F.col("peer_median")))
+
+
+_RATIOS = f"""t1 AS ({_tier_sql(1)}), t2 AS ({_tier_sql(2)}),
+x AS (SELECT seller, card, grade, series, sold_at, greatest(-{LN2!r}::DOUBLE, least({LN2!r}::DOUBLE, ln(price / coalesce(m1, m2)))) AS lr FROM f LEFT JOIN t1 USING ({', '.join(TIERS[1])}, seller) LEFT JOIN t2 USING ({', '.join(TIERS[2])}, seller) WHERE coalesce(m1, m2) > 0 AND price > 0)"""
+
+
+def metrics(x: DataFrame) -> DataFrame:
+    """Median of each card first, then across cards: a seller of one card many times isn't many sellers."""
+    cards = x.groupBy("seller", "card").agg(F.expr("percentile(lr, 0.5)").alias("m"), F.count("*").alias("n"))
+    by_card = cards.groupBy("seller").agg(F.count("*").alias("cards"), F.sum("n").alias("comparable"), F.expr("percentile(m, array(0.25, 0.5, 0.75))").alias("q"))
+    goods = x.groupBy("seller").agg(F.count_distinct("card", "series", "grade").alias("goods"), ((F.max("sold_at") - F.min("sold_at")) / 86400).alias("span"))
+    return by_card.join(goods, "seller")
+
+
+_METRICS = """c AS (SELECT seller, card, median(lr) AS m, count(*) AS n FROM x GROUP BY ALL), b AS (SELECT seller, count(*) AS cards, CAST(sum(n) AS BIGINT) AS comparable, quantile_cont(m, 0.25) AS q1, quantile_cont(m, 0.5) AS q2, quantile_cont(m, 0.75) AS q3 FROM c GROUP BY seller),
+g AS (SELECT seller, count(DISTINCT (card, series, grade)) AS goods, (max(sold_at) - min(sold_at)) / 86400.0::DOUBLE AS span FROM x GROUP BY seller)"""
+
+
+@query(f"WITH f AS (SELECT * FROM market), {_RATIOS}, {_METRICS} SELECT seller, cards, comparable, goods, {r('q2', 6)} AS median_lr, {r('q3 - q1', 6)} AS iqr, {r('span', 2)} AS span_days FROM b JOIN g USING (seller)", "market")
+def seller_metrics(spark, sf_dir):
+    df = metrics(ratios(market(spark, sf_dir)))
+    return df.select("seller", "cards", "comparable", "goods", rounded(F.col("q")[1], 6).alias("median_lr"), rounded(F.col("q")[2] - F.col("q")[0], 6).alias("iqr"), rounded("span").alias("span_days"))
+
+
+@query(
+    f"""WITH f AS (SELECT * FROM market), {_RATIOS}, {_METRICS},
+s AS (SELECT *, -q2 * goods / (goods + {SHRINK}) AS shrunk FROM b JOIN g USING (seller)),
+t AS (SELECT *, 40 * greatest(0, least(1, shrunk / ln(1 / 0.75::DOUBLE))) AS depth, CASE WHEN shrunk > 0 THEN 30 * greatest(0, least(1, 1 - (q3 - q1) / {LN2!r}::DOUBLE)) * goods / (goods + {SHRINK}) ELSE 0 END AS consistency, CASE WHEN shrunk > 0 THEN 15 * least(1, goods / 8.0::DOUBLE) + 15 * least(1, span / 30) ELSE 0 END AS breadth FROM s)
+SELECT seller, CASE WHEN comparable >= {MIN_COMPARABLE} AND cards >= {MIN_COMPARABLE} THEN {r("greatest(0, depth + consistency + breadth)", 3)} END AS score, CASE WHEN comparable < {MIN_COMPARABLE} THEN 'few_comparable' WHEN cards < {MIN_COMPARABLE} THEN 'few_cards' END AS refusal FROM t""",
+    "market",
+)
+def seller_score(spark, sf_dir):
+    """Depth of the discount, its consistency and its breadth; refused on thin evidence."""
+    df = metrics(ratios(market(spark, sf_dir)))
+    n = F.col("goods")
+    one = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    df = df.withColumn("shrunk", -F.col("q")[1] * n / (n + SHRINK))
+    up = F.col("shrunk") > 0
+    depth = 40 * one(F.col("shrunk") / math.log(1 / 0.75))
+    consistency = F.when(up, 30 * one(1 - (F.col("q")[2] - F.col("q")[0]) / LN2) * n / (n + SHRINK)).otherwise(0.0)
+    breadth = F.when(up, 15 * F.least(F.lit(1.0), n / 8.0) + 15 * F.least(F.lit(1.0), F.col("span") / 30)).otherwise(0.0)
+    refusal = F.when(F.col("comparable") < MIN_COMPARABLE, "few_comparable").when(F.col("cards") < MIN_COMPARABLE, "few_cards")
+    return df.select("seller", F.when(refusal.isNull(), rounded(F.greatest(F.lit(0.0), depth + consistency + breadth), 3)).alias("score"), refusal.alias("refusal"))
+
+
+@query(f"WITH c AS (SELECT seller, card, count(*) AS n FROM market GROUP BY ALL), s AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY seller) AS DOUBLE) AS share FROM c) SELECT seller, count(*) AS cards, {r('sum(share * share)', 6)} AS hhi, {r('max(share)', 6)} AS top_share FROM s GROUP BY seller", "market")
+def herfindahl(spark, sf_dir):
+    c = market(spark, sf_dir).groupBy("seller", "card").agg(F.count("*").alias("n"))
+    t = c.groupBy("seller").agg(F.sum("n").alias("total"))
+    s = c.join(t, "seller").withColumn("share", F.col("n") / F.col("total").cast("double"))
+    return s.groupBy("seller").agg(F.count("*").alias("cards"), rounded(F.sum(F.col("share") * F.col("share")), 6).alias("hhi"), rounded(F.max("share"), 6).alias("top_share"))
+
+
+@query(
+    f"""WITH s AS (SELECT site, basis, kind, seller, median(price / list_price) AS mid FROM market WHERE list_price > 0 GROUP BY ALL)
+SELECT a.site, a.basis, a.kind, a.seller, count(*) AS others, CASE WHEN count(*) >= 3 THEN {r("a.mid / median(b.mid)", 4)} END AS cohort_index FROM s a JOIN s b ON a.site = b.site AND a.basis = b.basis AND a.kind = b.kind AND a.seller <> b.seller GROUP BY a.site, a.basis, a.kind, a.seller, a.mid""",
+    "market",
+)
+def cohort_leave_one_out(spark, sf_dir):
+    """A seller's level over the median level of all other sellers of its cohort.
+
+    The median without one value follows from the sorted values and the value's place, so sellers aren't paired.
+    """
+    from pyspark.sql import Window
+
+    s = market(spark, sf_dir).where("list_price > 0").groupBy("site", "basis", "kind", "seller").agg(F.expr("percentile(price / list_price, 0.5)").alias("mid"))
+    keys = ["site", "basis", "kind"]
+    w = Window.partitionBy(*keys)
+    s = s.withColumn("i", F.row_number().over(w.orderBy("mid", "seller")) - 1).withColumn("all", F.sort_array(F.collect_list("mid").over(w)))
+    n = F.size("all") - 1  # values that are left
+    pick = lambda k: F.get("all", F.when(k < F.col("i"), k).otherwise(k + 1))
+    middle = (pick(F.floor((n - 1) / 2).cast("int")) + pick(F.floor(n / 2).cast("int"))) / 2
+    return s.where(n > 0).select(*keys, "seller", n.cast("long").alias("others"), F.when(n >= 3, rounded(F.col("mid") / middle, 4)).alias("cohort_index"))
+
+
+@query(
+    f"""WITH s AS (SELECT site, seller, count(*) AS depth, (max(sold_at) - min(sold_at)) / 86400.0::DOUBLE AS span, count(*) FILTER (grade BETWEEN 8 AND 9) / CAST(count(*) AS DOUBLE) AS profile FROM market GROUP BY ALL),
+k AS (SELECT *, count(*) OVER (PARTITION BY site) AS n, rank() OVER (PARTITION BY site ORDER BY depth) - 1 AS b1, count(*) OVER (PARTITION BY site, depth) - 1 AS t1, rank() OVER (PARTITION BY site ORDER BY span) - 1 AS b2, count(*) OVER (PARTITION BY site, span) - 1 AS t2, rank() OVER (PARTITION BY site ORDER BY profile) - 1 AS b3, count(*) OVER (PARTITION BY site, profile) - 1 AS t3 FROM s)
+SELECT site, seller, CASE WHEN n >= 3 THEN {r(f"(40 * {r('100.0::DOUBLE * (b1 + 0.5::DOUBLE * t1) / (n - 1)', 4)} + 20 * {r('100.0::DOUBLE * (b2 + 0.5::DOUBLE * t2) / (n - 1)', 4)} + 20 * {r('100.0::DOUBLE * (b3 + 0.5::DOUBLE * t3) / (n - 1)', 4)}) / 80.0::DOUBLE", 2)} END AS fit, CASE WHEN n < 3 THEN 'few_sellers' END AS refusal FROM k""",
+    "market",
+)
+def supply_fit(spark, sf_dir):
+    """Weighted midranks of depth, persistence and grade profile within the seller's market."""
+    s = market(spark, sf_dir).groupBy("site", "seller").agg(F.count("*").alias("depth"), ((F.max("sold_at") - F.min("sold_at")) / 86400.0).alias("span"), (F.count_if(F.col("grade").between(8, 9)) / F.count("*")).alias("profile"))
+    for value in ("depth", "span", "profile"):
+        s = midrank(s, value, "site").withColumnRenamed("midrank", f"{value}_rank")
+    n = F.expr("count(*) OVER (PARTITION BY site)")
+    total = (40 * F.col("depth_rank") + 20 * F.col("span_rank") + 20 * F.col("profile_rank")) / 80.0
+    return s.withColumn("n", n).select("site", "seller", F.when(F.col("n") >= 3, rounded(total)).alias("fit"), F.when(F.col("n") < 3, "few_sellers").alias("refusal"))
+
+
+@query("SELECT DISTINCT key, seller, count(*) OVER (PARTITION BY buyer, seller) AS together FROM market WHERE basis = 'ask'", "market")
+def seller_bundle_flag(spark, sf_dir):
+    """How many of a seller's items one order list holds."""
+    m = market(spark, sf_dir).where("basis = 'ask'")
+    n = m.groupBy("buyer", "seller").agg(F.count("*").alias("together"))
+    return m.join(n, ["buyer", "seller"]).select("key", "seller", "together").distinct()
+
+
+@query(f"WITH f AS (SELECT * FROM market WHERE quantity <= 10), {_RATIOS} SELECT (SELECT count(*) FROM f) AS n_rows, (SELECT count(DISTINCT seller) FROM f) AS n_sellers, count(*) AS comparable, count(DISTINCT seller) AS comparable_sellers, count(DISTINCT card) AS comparable_cards FROM x", "market")
+def alpha_coverage(spark, sf_dir):
+    rows = market(spark, sf_dir).where("quantity <= 10")
+    a = rows.agg(F.count("*").alias("n_rows"), F.count_distinct("seller").alias("n_sellers"))
+    b = ratios(rows).agg(F.count("*").alias("comparable"), F.count_distinct("seller").alias("comparable_sellers"), F.count_distinct("card").alias("comparable_cards"))
+    return a.crossJoin(b)  # one row each

@@ -70,7 +70,7 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(":", "event_type", "user_id").alias("key"),
         F.col("event_type").alias("site"),
         (F.col("user_id") % 40).alias("seller"),
-        F.unix_timestamp("ts").alias("at"),
+        F.unix_timestamp("ts").alias("ts_s"),
         F.floor(F.unix_timestamp("ts") / 86400).cast("long").alias("day"),
         F.col("value").alias("price"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
@@ -97,7 +97,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_
         ("market",),
     ),
     "observed": (
-        """SELECT concat_ws(':', event_type, user_id) AS key, event_type AS site, user_id % 40 AS seller, CAST(floor(epoch(ts)) AS BIGINT) AS at,
+        """SELECT concat_ws(':', event_type, user_id) AS key, event_type AS site, user_id % 40 AS seller, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s,
   CAST(floor(floor(epoch(ts)) / 86400) AS BIGINT) AS day, value AS price, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_id FROM events""",
         (),
     ),
