@@ -53,5 +53,5 @@ def keep_presence(stream: DataFrame, target: str, checkpoint: str):
 
 def late_counts(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """Counts by type and six hours; rows later than the watermark's delay are left out, and closed windows are final."""
-    windows = stream.withWatermark("ts", delay).groupBy("event_type", F.window("ts", "6 hours").alias("w"))
+    windows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy("event_type", F.window("ts", "6 hours").alias("w"))
     return windows.agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("start"), "n")
