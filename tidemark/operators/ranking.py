@@ -51,7 +51,7 @@ def sequential_net_new(spark, sf_dir):
 
 @query(
     """WITH k AS (SELECT site, sold_at, row_number() OVER (PARTITION BY site ORDER BY sold_at, key, buyer) AS i, count(*) OVER (PARTITION BY site) AS n FROM market WHERE basis = 'sold')
-SELECT site, CASE WHEN i > floor(n * 0.7) THEN 'test' ELSE 'fit' END AS part, count(*) AS n, min(sold_at) AS first_at, max(sold_at) AS last_at FROM k GROUP BY ALL""",
+SELECT site, CASE WHEN i > floor(n * 0.7::DOUBLE) THEN 'test' ELSE 'fit' END AS part, count(*) AS n, min(sold_at) AS first_at, max(sold_at) AS last_at FROM k GROUP BY ALL""",
     "market",
 )
 def time_split_by_venue(spark, sf_dir):
