@@ -179,6 +179,30 @@ def test_toxicity_of_hard_rows(spark):
     assert score(frame(spark, []), labels).count() == 0
 
 
+def test_toxicity_of_rare_words_among_many_labels(spark):
+    """2000 examples of each class, and telling words that are each in 0.4 % of the toxic examples."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import id_hash
+    from tidemark.llm.toxicity import score
+
+    rng = np.random.default_rng(7)
+    plain = [f"{a}{b}{c}" for a in "bdfgklmn" for b in ("ara", "elo", "iru", "omi", "uta") for c in ("ne", "so", "ti", "ka")]
+    rare = [f"{c}{k}vile" for k, c in enumerate(rng.permutation([f"{x}{y}q" for x in "abcdefghijklmnop" for y in "abcdefghijklmnop"])[:250])]
+    rows = []
+    for i in range(6000):
+        text = list(rng.choice(plain, 30))
+        if i % 2:
+            text[int(rng.integers(30))] = rare[i // 2 % 250]
+        rows.append((i, " ".join(text), i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    labels = df.select("doc_id", F.lit(1).alias("quality"), "toxic")
+    held = score(df.drop("toxic"), labels).join(labels, "doc_id").where(F.pmod(id_hash(F.col("doc_id")), F.lit(4)) == 2).collect()
+    toxic, clean = [r["score"] for r in held if r["toxic"]], [r["score"] for r in held if not r["toxic"]]
+    assert len(toxic) > 500 and len(clean) > 500
+    assert np.mean(np.array(toxic) >= 0.8) > 0.9 and np.mean(np.array(clean) < 0.5) > 0.9
+
+
 def brute_top(vectors, k):
     out = []
     for qid in sorted({i for i, _ in vectors if i % 50 == 0}):

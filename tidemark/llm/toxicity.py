@@ -1,15 +1,16 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact weighted TF-IDF cosine over a block-max inverted index.
 
 Examples are a bounded sample of labelled training rows: at most EXAMPLES of each class, those with the least hash of
-their ids; votes are weighted so that the classes count as in all labelled training rows. Terms are words and word
-beginnings (of 3 to 7 characters) that the labels mark as telling in the sample (chi-square), so the vectors are short. Term
-frequencies are counted in whole texts, and document frequencies over all documents.
+their ids; votes are weighted so that the classes count as in all labelled training rows. Terms are all words of the sample
+and their beginnings (of 3 to 7 characters), however rare. What the labels tell of a term (chi-square) is a weight beside
+its IDF and leaves no term out. Term frequencies are counted in whole texts, and document frequencies over all documents.
 
-The index keeps each term's postings in blocks of examples with the largest weight of each block. A search takes blocks in the
-order of their bound (the query's weights times the block's largest ones) and stops when no block can reach the k-th
-cosine, so its result is exact; ties go to the smaller id. The NEAREST neighbours vote by squared cosine, together with
-a small prior; the score is the share of votes for label 1 and the neighbours are its evidence. A text without telling
-terms gets the share of label 1 among labelled training rows of that kind.
+The index has the COMMON most frequent terms as columns, with the largest weight of each block of examples, and the postings
+of all others. A search sums the others' postings, bounds each block by its best sum and the query's weights times the
+block's largest ones, and leaves out the blocks that cannot reach the k-th cosine, so its result is exact; ties go to the
+smaller id. The NEAREST neighbours vote by squared cosine, together with a small prior; the score is the share of votes for
+label 1 and the neighbours are its evidence. A text that shares no term with an example gets the share of label 1 among
+labelled training rows, or among those without words.
 
 Null and empty texts have no terms. A null doc_id is scored as any other (its text counts, its id doesn't). Rows without
 a label are never examples; a repeated label row counts once. With no labelled rows every score is 0. An empty table
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import id_hash, stash
 
 EXAMPLES = 2000  # of each class at most
-MIN_CHI2, MIN_DOCS, MOST_TERMS = 30.0, 3, 2048
+COMMON = 512  # terms that are columns of the index
 BEGINNINGS = range(3, 8)
 NEAREST, PRIOR_VOTES, BLOCK = 15, 0.02, 64
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&"
@@ -42,64 +43,107 @@ def terms_of(word: str) -> set[str]:
 
 
 class Terms(dict):
-    """word -> ids of its telling terms, filled as words come up."""
+    """word -> its last term, filled as words come up: the word itself if it is a term, else its longest beginning, else -1.
 
-    def __init__(self, names: list[str]):
+    A term's beginnings are terms as well, so the last one stands for all (``above``).
+    """
+
+    def __init__(self, names: str):
         super().__init__()
-        self.ids = {t: i for i, t in enumerate(names)}
+        self.ids = {t: i for i, t in enumerate(names.split("\n"))} if names else {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(sorted(self.ids[t] for t in terms_of(word) if t in self.ids))
-        if len(self) < 500_000:
+    def __missing__(self, word: str) -> int:
+        w = word.strip(STRIP).lower()
+        found = self.ids.get(w, -1) if w else -1
+        for k in reversed(BEGINNINGS) if found < 0 else ():
+            if len(w) >= k and (found := self.ids.get(w[:k] + "*", -1)) >= 0:
+                break
+        if len(self) < 200_000:
             self[word] = found
         return found
 
-    def count(self, text: str | None) -> dict[int, int]:
-        out: Counter = Counter()
-        for ids in filter(None, map(self.__getitem__, (text or "").split())):
-            out.update(ids)
-        return dict(sorted(out.items()))
+    def last(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The last terms of a text's words in ascending order, and how often each occurs."""
+        words = (text or "").split()
+        t, n = np.unique(np.fromiter(map(self.__getitem__, words), np.int32, len(words)), return_counts=True)
+        return (t[1:], n[1:]) if len(t) and t[0] < 0 else (t, n)
+
+    def above(self) -> np.ndarray:
+        """A row for each term: itself and its beginnings, and then the number of terms for none."""
+        out = np.full((len(self.ids), len(BEGINNINGS) + 1), len(self.ids), np.int32)
+        for t, i in self.ids.items():
+            out[i, 0] = i
+            w = t.removesuffix("*")
+            for j, k in enumerate(BEGINNINGS, 1):
+                if len(w) >= k and (w[:k] + "*") != t:
+                    out[i, j] = self.ids[w[:k] + "*"]
+        return out
+
+
+def all_terms(above: np.ndarray, last: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of a text in ascending order, and how often each occurs."""
+    terms, at = np.unique(above[last], return_inverse=True)
+    n = np.bincount(at.reshape(-1), np.repeat(counts, above.shape[1]), len(terms))
+    return (terms[:-1], n[:-1]) if len(terms) and terms[-1] == len(above) else (terms, n)
+
+
+def _arrays(vector: dict[int, float] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and weights of a vector."""
+    return (np.fromiter(vector, int, len(vector)), np.fromiter(vector.values(), float, len(vector))) if isinstance(vector, dict) else vector
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of consecutive examples."""
-
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        self.n = len(vectors)
-        rows = sorted((t, e, w) for e, v in enumerate(vectors) for t, w in v.items())
-        self.example = np.array([e for _, e, _ in rows], int)
-        self.weight = np.array([w for _, _, w in rows], float)
-        blocks = -(-self.n // BLOCK)
-        self.most = np.zeros((n_terms, blocks))
-        # Where the postings of a term start in each block, and where the last ends.
-        place = np.array([t * blocks + e // BLOCK for t, e, _ in rows], int)
-        self.starts = np.searchsorted(place, np.arange(n_terms * blocks + 1))
-        np.maximum.at(self.most.reshape(-1), place, self.weight)
-
-    def nearest(self, query: dict[int, float], k: int) -> tuple[list[tuple[float, int]], int]:
+    """Unit vectors by term, in blocks of consecutive examples."""
+
+    def __init__(self, vectors: list, n_terms: int):
+        pairs = [_arrays(v) for v in vectors]
+        self.n, blocks = len(pairs), -(-len(pairs) // BLOCK)
+        term = np.concatenate([np.zeros(0, int), *[t for t, _ in pairs]])
+        weight = np.concatenate([np.zeros(0), *[w for _, w in pairs]])
+        example = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in pairs])
+        often = np.bincount(term, minlength=n_terms)
+        common = np.argsort(-often, kind="stable")[:COMMON]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((blocks * BLOCK, len(common)))
+        c = self.column[term] >= 0
+        self.dense[example[c], self.column[term[c]]] = weight[c]
+        self.most = self.dense.reshape(blocks, BLOCK, -1).max(1).T.copy() if blocks else np.zeros((len(common), 0))
+        # Where the postings of each other term start, and where the last ends.
+        term, example, weight = term[~c], example[~c], weight[~c]
+        order = np.argsort(term, kind="stable")
+        self.example, self.weight = example[order], weight[order]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms))])
+
+    def nearest(self, query: dict[int, float] | tuple[np.ndarray, np.ndarray], k: int) -> tuple[list[tuple[float, int]], int]:
         """The ``k`` largest cosines above 0 as (cosine, example), and how many blocks were looked at."""
-        terms, weights = np.fromiter(query, int, len(query)), np.fromiter(query.values(), float, len(query))
-        bounds = weights @ self.most[terms]
-        blocks = self.most.shape[1]
-        best: list[tuple[float, int]] = []
-        looked = 0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-9:
-                break
+        terms, weights = _arrays(query)
+        column = self.column[terms]
+        dense = np.zeros(self.dense.shape[1])
+        dense[column[column >= 0]] = weights[column >= 0]
+        terms, weights = terms[column < 0], weights[column < 0]
+        many = self.starts[terms + 1] - self.starts[terms]
+        ends = np.cumsum(many)
+        at = np.arange(many.sum()) + np.repeat(self.starts[terms] - ends + many, many)
+        scores = np.bincount(self.example[at], self.weight[at] * np.repeat(weights, many), len(self.dense))
+        bounds = scores.reshape(-1, BLOCK).max(1) + dense @ self.most
+        order = np.argsort(-bounds, kind="stable")
+        looked, least, found = 0, 0.0, np.zeros(len(scores))
+        while looked < len(order) and bounds[order[looked]] > 0 and bounds[order[looked]] >= least - 1e-9:
+            b = slice(order[looked] * BLOCK, (order[looked] + 1) * BLOCK)
+            found[b] = scores[b] + self.dense[b] @ dense
             looked += 1
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                s = slice(self.starts[t * blocks + b], self.starts[t * blocks + b + 1])
-                scores[self.example[s] - b * BLOCK] += w * self.weight[s]
-            best += [(float(scores[i]), int(b * BLOCK + i)) for i in np.flatnonzero(scores > (best[-1][0] - 1e-9 if len(best) == k else 0))]
-            best = sorted(best, key=lambda x: (-round(x[0], 9), x[1]))[:k]
-        return best, looked
+            if looked in (1, 4, 8) or looked % 16 == 0:  # the k-th of those seen so far
+                least = max(0.0, float(np.partition(found, -k)[-k])) if len(found) >= k else 0.0
+        least = float(np.partition(found, -k)[-k]) if len(found) >= k else 0.0
+        best = np.flatnonzero((found > 0) & (found >= least - 1e-9))
+        return sorted(((float(found[i]), int(i)) for i in best), key=lambda x: (-round(x[0], 9), x[1]))[:k], looked
 
 
-def _unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    raw = {t: (1 + np.log(n)) * idf[t] for t, n in counts.items()}
-    norm = np.sqrt(sum(x * x for x in raw.values()))
-    return {t: x / norm for t, x in raw.items()} if norm else {}
+def _unit(counted: tuple[np.ndarray, np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    terms, counts = counted
+    raw = (1 + np.log(counts)) * weight[terms]
+    return terms, raw / np.sqrt(raw @ raw) if len(raw) else raw
 
 
 def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -113,8 +157,11 @@ def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
 
 
-def telling_terms(sample: DataFrame) -> list[str]:
-    """Terms whose presence goes with label 1 in the sample, most telling first; ties by the term."""
+def weighted_terms(sample: DataFrame) -> tuple[str, np.ndarray]:
+    """All terms of the sample (a line each) with their weights by the labels, most telling of label 1 first; ties by the term.
+
+    The weight is 1, and more by chi-square if the term goes with label 1.
+    """
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -125,51 +172,88 @@ def telling_terms(sample: DataFrame) -> list[str]:
 
     classes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     p, q = classes.get(1, 0), classes.get(0, 0)
-    if not p or not q:
-        return []
     by = sample.select("text", "toxic").mapInPandas(spread, "term string, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).cast("double").alias("b"))
     a, b, n = F.col("a"), F.col("b"), float(p + q)
     chi2 = n * (a * (q - b) - b * (p - a)) ** 2 / ((a + b) * (n - a - b) * p * q)
-    top = by.where((a >= MIN_DOCS) & (a * q > b * p) & (a + b < n)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(MOST_TERMS)
-    return [r["term"] for r in top.collect()]
+    telling = (a * q > b * p) & (a + b < n)
+    found = by.select("term", F.when(telling, 1 + chi2).otherwise(1.0).alias("weight")).toArrow()  # the terms of a bounded sample
+    found = found.sort_by([("weight", "descending"), ("term", "ascending")])
+    return "\n".join(found["term"].to_pylist()), found["weight"].to_numpy().astype(float)
+
+
+COUNTED = "terms array<int>, counts array<int>"
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score and evidence (doc_ids of the neighbours, nearest first) of each row."""
     sample = stash(examples(docs, labels), "toxic-examples")
-    names = telling_terms(sample)
+    names, label_weight = weighted_terms(sample)
+    above, n_terms = Terms(names).above(), len(label_weight)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = Terms(names)
         for batch in batches:
-            found = [terms.count(x) for x in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "terms": [list(c) for c in found], "counts": [list(c.values()) for c in found]})
-
-    counted = stash(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(count, "doc_id long, terms array<int>, counts array<int>"), "toxic-terms")
-    n_docs = counted.count()
-    idf = np.full(len(names), np.log(n_docs + 1.0) + 1)
-    for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # one row for each telling term at most
-        idf[r["t"]] = np.log((n_docs + 1.0) / (r["count"] + 1.0)) + 1
-    terms = Terms(names)
-    rows = sorted((r["doc_id"], r["toxic"], r["rows"], terms.count(r["text"])) for r in sample.dropDuplicates(["doc_id"]).collect())
-    blank = [(y, w) for _, y, w, c in rows if not c]
-    base = (sum(w for _, y, w, _ in rows if y) + 0.5) / (sum(w for _, _, w, _ in rows) + 1) if rows else 0.0
-    base = (sum(w * y for y, w in blank) + base) / (sum(w for _, w in blank) + 1)
+            found = [terms.last(x) for x in batch["text"]]
+            yield batch.drop(columns="text").assign(terms=[t for t, _ in found], counts=[n.astype(np.int32) for _, n in found])
+
+    counted = stash(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lambda b: ids_kept(count(b)), f"doc_id long, {COUNTED}"), "toxic-terms")
+
+    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Documents with each term, and all documents."""
+        n, rows = np.zeros(n_terms + 1), 0
+        for batch in batches:
+            for t in batch["terms"]:
+                n[above[t].reshape(-1)] += 1  # once for each term, however often it is named
+            rows += len(batch)
+        n[-1] = rows
+        yield pd.DataFrame({"values": [n]})
+
+    *with_term, n_docs = sum_arrays(counted.select("terms").mapInPandas(frequencies, SUMMED), n_terms + 1)
+    weight = label_weight * (np.log((n_docs + 1.0) / (np.array(with_term) + 1.0)) + 1)
+    found = sample.dropDuplicates(["doc_id"]).select("doc_id", "toxic", "rows", "text").mapInPandas(count, f"doc_id long, toxic int, rows double, {COUNTED}").toArrow().sort_by("doc_id")
+    ids, toxic, stands = (found[c].to_numpy() for c in ("doc_id", "toxic", "rows"))
+    vectors = [_unit(all_terms(above, np.array(t.values, np.int32), np.array(n.values, np.int32)), weight) for t, n in zip(found["terms"], found["counts"], strict=True)]
+    blank = np.array([not len(t) for t, _ in vectors], bool)
+    base = (float(stands @ toxic) + 0.5) / (float(stands.sum()) + 1) if len(ids) else 0.0
+    base = (float(stands[blank] @ toxic[blank]) + base) / (float(stands[blank].sum()) + 1)
     # Similar examples next to each other make tight bounds.
-    rows = sorted((r for r in rows if r[3]), key=lambda r: (min(r[3]), r[0]))
-    index = BlockMaxIndex([_unit(c, idf) for *_, c in rows], len(names))
-    ids, toxic, weight = [r[0] for r in rows], np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
-    scale = weight.mean() if len(weight) else 1.0
+    order = sorted(np.flatnonzero(~blank).tolist(), key=lambda i: (vectors[i][0][0], ids[i]))
+    index = BlockMaxIndex([vectors[i] for i in order], n_terms)
+    del vectors, found
+    ids, toxic, stands = ids[order], toxic[order].astype(float), stands[order]
+    scale = stands.mean() if len(stands) else 1.0
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             scores, evidence = [], []
-            for t, c in zip(batch["terms"], batch["counts"], strict=True):
-                near = index.nearest(_unit(dict(zip(t, c, strict=True)), idf), NEAREST)[0] if len(t) and index.n else []
+            for t, n in zip(batch["terms"], batch["counts"], strict=True):
+                near = index.nearest(_unit(all_terms(above, t, n), weight), NEAREST)[0] if len(t) else []
                 at = [e for _, e in near]
-                votes = np.array([s * s for s, _ in near]) * weight[at] / scale if near else np.zeros(0)
+                votes = np.array([s * s for s, _ in near]) * stands[at] / scale if near else np.zeros(0)
                 scores.append(float((votes @ toxic[at] + PRIOR_VOTES * base) / (votes.sum() + PRIOR_VOTES)) if near else base)
-                evidence.append([ids[e] for e in at])
+                evidence.append([int(ids[e]) for e in at])
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": scores, "evidence": evidence})
 
     return counted.mapInPandas(judge, "doc_id long, score double, evidence array<long>")
+
+
+def ids_kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Null ids stay null."""
+    for batch in batches:
+        yield batch.assign(doc_id=batch["doc_id"].astype("Int64"))
+
+
+SUMMED = "values array<double>"
+
+
+def sum_arrays(rows: DataFrame, size: int) -> np.ndarray:
+    """Sum of the arrays of ``size`` in column ``values``: some tasks add theirs, and the driver adds those."""
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for batch in batches:
+            for v in batch["values"]:
+                total += v
+        yield pd.DataFrame({"values": [total]})
+
+    return sum((np.array(r["values"]) for r in rows.repartition(8).mapInPandas(added, SUMMED).toLocalIterator()), np.zeros(size))
