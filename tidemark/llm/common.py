@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +35,67 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_collectors: list[list[DataFrame]] = []
+
+
+def _place(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut and every later read sees the same rows.
 
-    The files go when the driver's JVM ends.
+    The files go with ``discard``, or else when the driver's JVM ends.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _place(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(schema).parquet(path)
+    _paths[out] = path
+    if _collectors:
+        _collectors[-1].append(out)
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete what ``stash`` wrote; nothing that is still to be computed may read it."""
+    for df in stashed:
+        if path := _paths.pop(df, None):
+            files, at = _place(df.sparkSession, path)
+            files.delete(at, True)
+            files.cancelDeleteOnExit(at)
+
+
+@contextlib.contextmanager
+def collected(into: list[DataFrame]) -> Iterator[None]:
+    """Notes in ``into`` what is stashed meanwhile."""
+    _collectors.append(into)
+    try:
+        yield
+    finally:
+        _collectors.pop()
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished work: it does so when the driver's JVM collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """A dict that this Python worker keeps between tasks, until another operator asks for one: workers are reused, and what all
+    operators remember would add up."""
+    if owner not in _caches:
+        _caches.clear()
+        _caches[owner] = {}
+    return _caches[owner]
 
 
 def words(text: Column) -> Column:

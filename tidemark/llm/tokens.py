@@ -16,12 +16,14 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 
+from tidemark.llm.common import worker_cache
+
 #: A space starts a new part if a character that isn't white space follows. Spaces before white space are left inside
 #: parts: the byte-level pattern joins runs of white space, and gives its last space to the next word.
 _CUT = re.compile(r" (?=\S)")
 _RUN = re.compile(r" (?:\s|\Z)")
 _BLANK = re.compile(r"\s")
-MOST_CACHED = 600_000  # parts, and words; then that cache starts afresh
+MOST_CACHED = 150_000  # parts, and words; then that cache starts afresh
 
 
 def _byte_letters() -> list[str]:
@@ -129,14 +131,12 @@ class Encoder:
                 yield self.starts[first] + b"".join(map(get, more)) + last
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, cased: bool) -> Encoder:
     """One for each file in a Python worker, as loading takes a second."""
-    if (path, cased) not in _encoders:
-        _encoders[path, cased] = Encoder(path, cased)
-    return _encoders[path, cased]
+    held = worker_cache(f"tokens {path} {cased}")
+    if "encoder" not in held:
+        held["encoder"] = Encoder(path, cased)
+    return held["encoder"]
 
 
 def vocabulary(name: str) -> str:
