@@ -44,6 +44,47 @@ def test_novelty_tells_random_strings_from_names():
     assert secrets.redact_text(None) is None and secrets.redact_text("") == ""
 
 
+def test_secret_scan_of_long_texts_is_linear():
+    import time
+
+    from tidemark.llm import secrets
+
+    began = time.time()
+    for text in ("plain words and a token " * 200_000, "token" * 1_000_000, "bearer " + "x1" * 2_500_000, "secret " * 700_000):
+        secrets.find_spans(text)
+    assert time.time() - began < 60
+
+
+def test_recall_of_random_keys_and_quiet_on_names():
+    """99 % of random keys after sensitive words are found, and of names joined from words at most 5 % are reported."""
+    import random
+    import string
+
+    from tidemark.llm import secrets
+
+    rng = random.Random(1)
+    plain = "the and config server value request host list of application name of that goes in environment".split()
+    found = wrong = 0
+    for _ in range(400):
+        key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randint(20, 40)))
+        before = " ".join(rng.choice(plain) for _ in range(60)) + rng.choice([" the client_secret is\n", " bearer ", " private key ", " credentials of it were ", " tokens "])
+        text = before + key + " " + " ".join(rng.choice(plain) for _ in range(30))
+        found += (len(before), len(before) + len(key)) in [(s["start"], s["end"]) for s in secrets.find_spans(text) if s["kind"] == "novel"]
+        wrong += any(s["kind"] == "novel" for s in secrets.find_spans(before + "_".join(rng.choice(plain) for _ in range(4))))
+    assert found >= 0.97 * 400 and wrong <= 0.05 * 400
+
+
+def test_identifiers_of_the_corpus_prime_the_scan(spark):
+    from tidemark.llm import secrets
+
+    name = "quuxHandlerZvlnFactoryWbqrImpl"
+    docs = spark.createDataFrame([(1, f"call {name} here"), (2, f"and {name}"), (3, None), (4, "only_once.here a1b2c3d4_key")], "doc_id long, text string")
+    names = secrets.identifiers(docs)
+    assert names == (name,) and secrets.identifiers(docs.limit(0)) == ()
+    text = f"the secret is {name}"
+    assert secrets.marginal_bytes(text, 14, len(text), names) < secrets.marginal_bytes(text, 14, len(text)) / 2
+
+
 def test_quality_counts_match_brute_force(spark):
     from tidemark.llm import quality
 

@@ -2,13 +2,14 @@
 
 Known shapes (kinds ``assign``, ``access``, ``hex``) are always reported. Beyond them, a string of key-like characters
 that follows a sensitive word closely is a candidate. Its novelty is measured, not guessed: the marginal bytes are those
-by which the compressed size grows when the candidate is added to the text around it, with a compressor primed by a
-dictionary of identifiers and common words. Prose, paths, repeated names and version numbers cost a few bytes; random
-strings cost most of their length and are reported as kind ``novel``. Candidates that overlap a known shape are not
-reported twice.
-
-Null texts are empty; offsets are code points, end exclusive. Texts are scanned whole, rows independently, so repeated
-rows give equal results and an empty table gives no rows. Columns that aren't named in ``keep`` are ignored.
+by which the compressed size grows when the candidate is added to the text around it, with a compressor primed by two
+dictionaries: common words and code words (fixed), and the identifiers that the corpus itself uses most (``identifiers``).
+Prose, paths, repeated names and version numbers cost a few bytes; random strings cost most of their length and are
+reported as kind ``novel``. Candidates that overlap a known shape are not reported twice.
+
+Null texts are empty; offsets are code points, end exclusive. Texts are scanned whole and in linear time, however long
+they are. Rows are scanned independently, so repeated rows give equal results and an empty table gives no rows. Spans that
+start at one place are ordered by kind as listed. Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import worker_cache
+
 KINDS = ("assign", "access", "hex", "novel")
 #: The patterns of the known shapes, and the least lengths.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -29,13 +32,21 @@ HEX = re.compile(r"[0-9a-f]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 
 #: Words after which a string is worth measuring, within NEAR characters.
-SENSITIVE = re.compile(r"(?ai:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|authorization|bearer|client[_-]?id)(?![a-z])")
+SENSITIVE = re.compile(r"(?ai:pass(?:word|wd|phrase)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|authorization|bearer|client[ _-]?id)(?ai:e?s)?(?![a-z])")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "authorization", "bearer", "client")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+LEAST = 16  # characters of a candidate
+#: Identifiers are words joined by _ . / - or by case; they hold no digits, so keys that leak often don't become one.
+IDENTIFIER = r"\b(?:[A-Za-z]{2,}(?:[_./-][A-Za-z]{2,})+|[a-z]+(?:[A-Z][a-z]+)+)\b"
+MOST_IDENTIFIERS = 2000
 NEAR, AROUND = 80, 400
-MIN_SHARE = 0.62  # marginal bytes for each byte of a candidate
-#: Primes the compressor: identifiers, keywords and words that code and its prose are made of.
-IDENTIFIERS = (
+LEVEL = 9
+#: Marginal bytes for each byte of a candidate with letters and digits, and of any other: names made of letters cost more than
+#: one thinks where their words are new.
+MIN_SHARE, MIN_SHARE_PLAIN = 0.62, 0.9
+#: Primes the compressor: keywords and words that code and its prose are made of.
+COMMON = (
     "import from return class function def public static void private protected final const let var new null None true false self this "
     "string integer boolean float double list dict array object value values key keys name names index count length size type types "
     "config configuration settings options default environment variable username password secret token api_key access_key client_id "
@@ -46,20 +57,31 @@ IDENTIFIERS = (
     "the and that with for this was from are not have which their will would there been more about other into than only some "
 )
 
-_primed: list[zstandard.ZstdCompressor] = []
 
+def identifiers(docs: DataFrame) -> tuple[str, ...]:
+    """The identifiers that most rows of the corpus hold (MOST_IDENTIFIERS at most, in two rows at least), rarest first.
+
+    Counted over all rows; only the head of the list comes to the driver.
+    """
+    found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(IDENTIFIER), F.lit(0)))).alias("name"))
+    top = found.groupBy("name").count().where("count > 1").orderBy(F.desc("count"), "name").limit(MOST_IDENTIFIERS)
+    return tuple(r["name"] for r in reversed(top.collect()))
 
-def _compressor() -> zstandard.ZstdCompressor:
-    if not _primed:
-        primer = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        _primed.append(zstandard.ZstdCompressor(level=9, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False))
-    return _primed[0]
 
+def _compressor(names: tuple[str, ...]) -> zstandard.ZstdCompressor:
+    """One for each dictionary in a Python worker; what is last in a dictionary is the nearest and cheapest."""
+    held = worker_cache("secrets")
+    if names not in held:
+        primer = zstandard.ZstdCompressionDict(" ".join((*names, COMMON)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primer.precompute_compress(level=LEVEL)
+        held[names] = zstandard.ZstdCompressor(level=LEVEL, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return held[names]
 
-def marginal_bytes(text: str, start: int, end: int) -> int:
+
+def marginal_bytes(text: str, start: int, end: int, names: tuple[str, ...] = ()) -> int:
     """Compressed bytes that text[start:end] adds to the text around it."""
     around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).encode("utf-8", "surrogatepass")
-    z = _compressor()
+    z = _compressor(names)
     return len(z.compress(around + text[start:end].encode())) - len(z.compress(around))
 
 
@@ -79,33 +101,45 @@ def known_spans(text: str) -> list[tuple[int, int, int]]:
 LONG_HEX = re.compile(rf"[0-9a-f]{{{MIN_HEX},}}")
 
 
-def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of incompressible strings after sensitive words, apart from the known shapes."""
+def novel_spans(text: str, known: list[tuple[int, int, int]], names: tuple[str, ...] = ()) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of incompressible strings after sensitive words, apart from the known shapes.
+
+    A run of key characters is a candidate once: as a whole, if a sensitive word ends closely before it, or else from the
+    end of the first sensitive word in it.
+    """
     low = text.lower()
     if not any(k in low for k in HINTS):
         return []
-    found: dict[int, int] = {}
-    for word in SENSITIVE.finditer(text):
-        at = word.end()
-        while (m := CANDIDATE.search(text, at)) and m.start() <= word.end() + NEAR:
-            found[m.start()] = m.end()
-            at = m.end()
-    out = []
-    for start, end in sorted(found.items()):
-        token = text[start:end]
-        if any(a < end and start < b for a, _, b in known) or not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)):
+    ends = [m.end() for m in SENSITIVE.finditer(text)]
+    if not ends:
+        return []
+    out, w, shape, last = [], 0, 0, 0
+    for run in CANDIDATE.finditer(text):
+        start, end = run.span()
+        while w < len(ends) and ends[w] < start - NEAR:
+            w += 1
+        if w == len(ends):
+            break
+        start = max(start, ends[w])
+        if end - start < LEAST:
             continue
-        if marginal_bytes(text, start, end) >= MIN_SHARE * len(token):
+        # Known shapes come by start; ``last`` is the furthest end of those that start before this candidate's end.
+        while shape < len(known) and known[shape][0] < end:
+            last = max(last, known[shape][2])
+            shape += 1
+        token = text[start:end]
+        least = MIN_SHARE if DIGIT.search(token) and LETTER.search(token) else MIN_SHARE_PLAIN
+        if last <= start and marginal_bytes(text, start, end, names) >= least * len(token):
             out.append((start, 3, end))
     return out
 
 
-def find_spans(text: str | None) -> list[dict]:
+def find_spans(text: str | None, names: tuple[str, ...] = ()) -> list[dict]:
     """All spans of a text: kind, start, end and marginal bytes, by start and then by kind as listed."""
     text = text or ""
     known = known_spans(text)
-    spans = sorted(known + novel_spans(text, known))
-    return [{"kind": KINDS[k], "start": a, "end": b, "bytes": marginal_bytes(text, a, b)} for a, k, b in spans]
+    spans = sorted(known + novel_spans(text, known, names))
+    return [{"kind": KINDS[k], "start": a, "end": b, "bytes": marginal_bytes(text, a, b, names)} for a, k, b in spans]
 
 
 SPANS = "spans array<struct<kind string, start int, end int, bytes int>>"
@@ -113,10 +147,11 @@ SPANS = "spans array<struct<kind string, start int, end int, bytes int>>"
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and the spans of each row."""
+    names = identifiers(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "spans": [find_spans(x) for x in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "spans": [find_spans(x, names) for x in batch["text"]]})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, f"doc_id long, {SPANS}")
 
@@ -129,22 +164,23 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(count, KINDS[:3]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("novel"))
 
 
-def redact_text(text: str | None, mark: str = "[SECRET]") -> str | None:
+def redact_text(text: str | None, mark: str = "[SECRET]", names: tuple[str, ...] = ()) -> str | None:
     """The text with every span replaced; overlapping spans are replaced together."""
     if not text:
         return text
     out, at = [], 0
-    for s in find_spans(text):
+    for s in find_spans(text, names):
         if s["start"] >= at:
             out += [text[at : s["start"]], mark]
         at = max(at, s["end"])
     return "".join(out) + text[at:]
 
 
-def redacted(text: Column) -> Column:
-    """The redacted text of each row."""
+def redacted(docs: DataFrame) -> Column:
+    """The redacted text of each row of ``docs``."""
+    names = identifiers(docs)
 
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(redact_text)
+        return texts.map(lambda x: redact_text(x, names=names))
 
-    return F.pandas_udf(run, "string")(text)
+    return F.pandas_udf(run, "string")("text")
