@@ -114,6 +114,38 @@ def test_near_duplicates_equal_brute_force(spark, shingle, percent):
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_documents_that_many_meet_are_compared_in_blocks(spark, monkeypatch):
+    """Three groups of near copies that are not linked with each other, and short texts of a few frequent words."""
+    from tidemark.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "FEW", 3)
+    monkeypatch.setattr(near_dup, "BLOCK", 64)
+    monkeypatch.setattr(near_dup, "MEMBERS", 16)
+    rng = np.random.default_rng(11)
+    shared, rows = [f"s{i}" for i in range(150)], []
+    for g in range(3):
+        own = [f"g{g}x{i}" for i in range(30)]
+        for k in range(400):
+            w = shared + own
+            for i in rng.integers(0, 180, k % 9):
+                w[i] = f"new{g}y{k}z{i}"
+            rows.append((50_000 + 1000 * g + k, " ".join(w), "en", "a", None))
+    rows += [(60_000 + k, " ".join(rng.choice(["p", "q", "r"], int(rng.integers(8, 12)))), "en", "a", None) for k in range(400)]
+    for shingle, percent in ((3, 85), (5, 80)):
+        want = brute_components(rows, shingle, percent)
+        got = near_dup.near_duplicates(frame(spark, rows, False), shingle, percent).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    from tidemark.llm import near_dup
+
+    one, other = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, one, "en", "a", 1), (7, other, "en", "a", 1), (7, one, "en", "a", 1), (7, None, "en", "a", 1), (9, other, "en", "a", 1), (None, one, "en", "a", 1)]
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_dup.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(0, 0, True), (1, 1, True), (7, 1, False), (7, 1, False), (7, 1, False), (9, 9, True)]
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     from tidemark.llm import near_dup
 

@@ -11,16 +11,19 @@ Copies are reduced to one document for each set first. Then candidates are linke
 
 1. Every member of a bucket is compared with the bucket's smallest id only: registers give a collision-corrected Jaccard
    estimate, and what could reach the threshold is compared by whole sets.
-2. The links give components. Two members of a bucket that are still in different components may be linked all the same,
-   so in such buckets whole sets are compared inside tasks, in blocks of BLOCK members: a member's overlaps with all
-   others are counted at once, and what comes out is one link for each two components that it joins.
+2. The links give components. Two members of a bucket that are still in different components may be linked all the same.
+   The documents of such buckets are split by shingles: each is dealt by the rarest of its shingles, as many as two
+   linked documents cannot all differ in, so documents that could be linked meet at one of them. Where few meet, those of
+   different components and fitting sizes are compared; where many do, whole sets are compared inside tasks, in blocks of
+   BLOCK documents: a document's overlaps with all others are counted at once, and what comes out is one link for each
+   two components that it joins. A passage that very many documents share is a frequent shingle, so nobody meets there.
 
 So every pair that shares a bucket is linked, refuted or inside one component: what banding finds is never lost, and no
 step lists the pairs of a bucket. Components spread their smallest id along links, with pointer jumping.
 
-Null texts and texts without words have the empty set, which is linked with nothing. A null doc_id takes no part
-(component_id null, kept true). Rows of one doc_id count as one document. An empty table gives no rows. Other columns
-are ignored.
+Null texts and texts without words have the empty set, which is linked with nothing. Texts are taken whole, however long.
+A null doc_id takes no part (component_id null, kept true). Rows of one doc_id are one document, that of the least text
+which isn't null; all of them get its results. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +37,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stash
+from tidemark.llm.common import discard, free_shuffles, stash, worker_cache
 
 BANDS, MISS = 40, 1e-5
 MANTISSA = 10  # bits of a register after its leading zeros
 FILLS = 24  # rounds in which empty registers are filled before banding
 BLOCK = 512  # members of a bucket that one task compares with as many others
 MEMBERS = 256  # of one leader, compared by one run of sets
+SALTS = 32  # over which the members of a leader with more than that are dealt
+FEW = 64  # documents that meet at a shingle and are paired there
+SLOTS = 1 << 20  # counters of frequent shingles
+OFTEN = 8  # times in one batch of documents from which a shingle is counted
 U64 = np.uint64
 
 
@@ -54,12 +61,13 @@ class _Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 150_000:
             self[word] = value
         return value
 
 
-_hashes = _Hashes()
+def _hashes() -> _Hashes:
+    return worker_cache("near_dup").setdefault("hashes", _Hashes())
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -73,7 +81,7 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     words = (text or b"").lower().split()  # of bytes: A-Z only, and exactly the six white space bytes
     if not words:
         return np.zeros(0, U64)
-    h = np.fromiter(map(_hashes.__getitem__, words), U64, len(words))
+    h = np.fromiter(map(_hashes().__getitem__, words), U64, len(words))
     n = min(shingle, len(words))
     acc = np.full(len(words) - n + 1, n, U64)
     for k in range(n):
@@ -196,9 +204,10 @@ def _estimated(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (u, v) that whole sets confirm. A set goes once to each run of its partners, so no task holds many."""
-    chunk = F.pmod(F.xxhash64("v"), F.col("chunks"))
-    sizes = pairs.groupBy("u").agg(F.ceil(F.count("*") / MEMBERS).alias("chunks"))
-    members = pairs.join(sizes, "u").select("u", chunk.alias("chunk"), F.col("v").alias("id"))
+    hot = pairs.groupBy("u").agg(F.ceil(F.count("*") / MEMBERS).alias("chunks")).where("chunks > 1")
+    hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(hot, ["u", "salt"], "left")
+    members = salted.select("u", F.pmod(F.xxhash64("v"), F.coalesce("chunks", F.lit(1))).alias("chunk"), F.col("v").alias("id"))
     # The leader comes first in its run: its id is smaller than those of the members.
     leaders = members.select("u", "chunk", F.col("u").alias("id")).distinct()
     wanted = members.union(leaders)
@@ -258,23 +267,66 @@ def links_among(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> lis
     return out
 
 
-def _unsettled(members: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (u, v) between different components in one bucket. ``members``: key, id, component."""
-    counts = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count("*").alias("n"))
-    # The pairs of a bucket of two were compared already.
-    open_keys = counts.where("a < z AND n > 2").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows = members.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    # A member goes to each pair of blocks that has its own: (block, j) for all j, the smaller first.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component")
+def _frequencies(open_docs: DataFrame, shingle: int) -> np.ndarray:
+    """How often shingles occur, by slots of their hashes; those that are rare in every batch count as 0."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            h, n = np.unique(np.concatenate([np.zeros(0, U64), *(shingle_set(x, shingle) for x in batch["text"])]), return_counts=True)
+            slot = (h[n >= OFTEN] % U64(SLOTS)).astype(np.int64)
+            n = np.bincount(slot, n[n >= OFTEN], SLOTS).astype(np.int64)
+            slot = np.flatnonzero(n)
+            yield pd.DataFrame({"slot": slot, "n": n[slot]})
+
+    found = open_docs.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    out = np.zeros(SLOTS, np.int32)
+    out[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
+    return out
+
+
+def _dealt(open_docs: DataFrame, often: np.ndarray, shingle: int, percent: int) -> DataFrame:
+    """A row for each document and each shingle at which it meets those that it could be linked with."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(x, shingle) for x in batch["text"]]
+            first = []
+            for h in sets:  # any order that all documents share will do; the rarest come first, so few meet
+                by = np.lexsort((h, often[(h % U64(SLOTS)).astype(np.int64)]))
+                first.append(h[by[: len(h) - (percent * len(h) + 99) // 100 + 1]].view(np.int64))
+            at = np.repeat(np.arange(len(sets)), [len(x) for x in first])
+            n = np.array([len(x) for x in sets], np.int64)
+            yield pd.DataFrame({"at": np.concatenate([np.zeros(0, np.int64), *first]), "id": batch["id"].to_numpy()[at], "component": batch["component"].to_numpy()[at], "n": n[at]})
+
+    return open_docs.select("id", "component", "text").mapInPandas(deal, "at long, id long, component long, n long")
+
+
+def _among_blocks(met: DataFrame, open_docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (u, v) between different components of documents that meet (``met``: at, id) where many do.
+
+    A large component has blocks of its own, and the documents of small ones share blocks. A pair of blocks is compared once,
+    however often its members meet, and not at all if both are of one component.
+    """
+    sizes = open_docs.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    small = max(1, math.ceil((sizes.where("blocks = 1").join(open_docs, "component").count()) / BLOCK))
+    own = F.when(F.col("blocks") > 1, F.struct(F.col("component").alias("of"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("k")))
+    shared = F.struct(F.lit(-(2**63)).cast("long").alias("of"), F.pmod(F.xxhash64("component"), F.lit(small)).alias("k"))
+    placed = stash(open_docs.select("id", "component").join(sizes, "component").select("id", "component", F.coalesce(own, shared).alias("block")), "near-blocks")
+    several = placed.groupBy("block").agg((F.min("component") < F.max("component")).alias("several"))
+    there = met.select("at", "id").join(placed, "id").groupBy("at").agg(F.sort_array(F.collect_set("block")).alias("all"))
+    other = lambda x: F.filter("all", lambda y: y >= x)
+    pairs = there.select(F.explode(F.flatten(F.transform("all", lambda x: F.transform(other(x), lambda y: F.struct(x.alias("i"), y.alias("j")))))).alias("p")).select("p.i", "p.j").distinct()
+    single = several.where("NOT several").select(F.col("block").alias("i"), F.lit(True).alias("single"))
+    pairs = pairs.join(single, "i", "left").where("NOT (coalesce(single, false) AND i.of = j.of)").select("i", "j")
+    sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "held": [shingle_set(x, shingle).tobytes() for x in batch["text"]]})
 
-    wanted = docs.join(rows.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi")
-    sets = wanted.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary")).mapInPandas(shingles, "id long, held binary")
-    rows = rows.join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    sets = open_docs.select("id", "text").mapInPandas(shingles, "id long, held binary")
+    rows = sides.join(placed, "block").join(sets, "id").select(F.xxhash64("i", "j").alias("pair"), "i", "j", "id", "component", "held")
+    rows = rows.repartition("pair").sortWithinPartitions("pair", "i", "j", "id").select("pair", "i.of", "i.k", F.col("j.of").alias("of2"), F.col("j.k").alias("k2"), "id", "component", "held")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, ids, labels, held = None, [], [], []
@@ -287,41 +339,80 @@ def _unsettled(members: DataFrame, docs: DataFrame, shingle: int, percent: int)
 
         for batch in batches:
             out = []
-            for k, i, j, one, label, text in batch[["key", "i", "j", "id", "component", "held"]].itertuples(index=False):
-                if (k, i, j) != run:
+            for *pair, one, label, text in batch.itertuples(index=False):
+                if pair != run:
                     out += settle()
-                    run, ids, labels, held = (k, i, j), [], [], []
-                if one not in ids[-1:]:
-                    ids.append(one)
-                    labels.append(label)
-                    held.append(text)
+                    run, ids, labels, held = pair, [], [], []
+                ids.append(one)
+                labels.append(label)
+                held.append(text)
             yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
         yield pd.DataFrame(settle(), columns=["u", "v"], dtype="int64")
 
-    return rows.mapInPandas(compare, "u long, v long").where("u < v").distinct()
+    return rows.mapInPandas(compare, "u long, v long").distinct()
+
+
+def _unsettled(members: DataFrame, docs: DataFrame, sigs: DataFrame, shingle: int, percent: int) -> DataFrame | None:
+    """Links (u, v) between different components in one bucket. ``members``: key, id, component."""
+    counts = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count("*").alias("n"))
+    # The pairs of a bucket of two were compared already.
+    some = members.join(counts.where("a < z AND n > 2").select("key"), "key").select("id", "component").distinct()
+    open_docs = stash(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).join(some, "id"), "near-open")
+    if open_docs.isEmpty():
+        return None
+    dealt = stash(_dealt(open_docs, _frequencies(open_docs, shingle), shingle, percent), "near-dealt")
+    free_shuffles(docs.sparkSession)
+    groups = dealt.groupBy("at").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count("*").alias("there")).where("a < z").select("at", "there")
+    met = stash(dealt.join(groups, "at"), "near-met")
+    discard(dealt)
+    # FEW documents at most in one list.
+    few = met.where(F.col("there") <= FEW).groupBy("at").agg(F.collect_list(F.struct("id", "component", "n")).alias("all"))
+    fits = lambda x, y: (x["id"] < y["id"]) & (x["component"] != y["component"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
+    near = F.transform("all", lambda x: F.transform(F.filter("all", lambda y: fits(x, y)), lambda y: F.struct(x["id"].alias("u"), y["id"].alias("v"))))
+    pairs = stash(_estimated(few.select(F.explode(F.flatten(near)).alias("p")).select("p.u", "p.v").distinct(), sigs, percent), "near-pairs")
+    links = stash(_verified(pairs, open_docs.withColumnRenamed("id", "doc_id"), shingle, percent), "near-few")
+    many = met.where(F.col("there") > FEW)
+    if not many.isEmpty():
+        links = stash(links.union(_among_blocks(many, open_docs, shingle, percent)), "near-many")
+    discard(met, pairs)
+    free_shuffles(docs.sparkSession)
+    return links
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id) and kept (the component's smallest) of each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark = docs.sparkSession
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        one = stash(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text")), "near-one-row")
+        found = near_duplicates(one.union(docs.where("doc_id IS NULL")), shingle, percent)
+        rows = docs.where("doc_id IS NOT NULL").select("doc_id").join(found, "doc_id")
+        return rows.union(found.where("doc_id IS NULL")).select("doc_id", "n_shingles", "component_id", "kept")
     signed = stash(signatures(docs, shingle, percent), "near-signatures")
     # One document for each set; copies count through the partial aggregation only.
     classes = stash(signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")), "near-classes")
     first = signed.where("digest IS NOT NULL").join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "digest"], "left_semi")
-    sigs = first.select(F.col("doc_id").alias("id"), "n_shingles", "regs", "bands").dropDuplicates(["id"])
-    keyed = first.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    sigs = first.select(F.col("doc_id").alias("id"), "n_shingles", "regs", "bands")
+    keyed = stash(sigs.select("id", F.explode("bands").alias("key")), "near-keys")
     shared = keyed.groupBy("key").agg(F.min("id").alias("u"), F.max("id").alias("last")).where("u < last").select("key", "u")
     buckets = stash(keyed.join(shared, "key"), "near-buckets")
+    discard(keyed)
     sigs = stash(sigs.select("id", "n_shingles", "regs").join(buckets.select("id").distinct(), "id", "left_semi"), "near-registers")
+    free_shuffles(spark)
     stars = buckets.where("u < id").select("u", F.col("id").alias("v")).distinct()
     reps = docs.join(buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     links = stash(_verified(stash(_estimated(stars, sigs, percent), "near-pairs"), reps, shingle, percent), "near-stars")
+    free_shuffles(spark)
     label = components(links)
     members = buckets.select("key", "id").distinct().join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    more = stash(_unsettled(members, reps, shingle, percent), "near-more")
-    if not more.isEmpty():
+    more = _unsettled(members, reps, sigs, shingle, percent)
+    if more is not None and not more.isEmpty():
         label = components(links.union(more))
-    found = classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
+    # Kept until the result is written; the large ones go now.
+    out = signed.select("doc_id", "n_shingles", "digest")
+    found = stash(classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component")), "near-found")
+    discard(buckets, sigs, classes)
+    free_shuffles(spark)
+    out = out.join(found, "digest", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
