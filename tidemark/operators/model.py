@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.counting import medians, placed
 from tidemark.plans.register import query
 from tidemark.sources.views import market, r, rounded
 
@@ -59,8 +60,9 @@ def ladder(s: DataFrame) -> DataFrame:
     x = s.join(F.broadcast(curve), "grade", "left").withColumn("g", F.coalesce("g", F.lit(0.0)))  # one row for each grade
     x = x.withColumn("base", F.col("lp") - F.col("g"))
     mid, n = F.expr("percentile(base, 0.5)"), F.count("*")
-    l0 = x.agg(mid.alias("m0"))
-    l3 = x.groupBy("rarity").agg(mid.alias("m3"), n.alias("n3"))
+    # All sales, and those of a rarity, grow with the data: their medians come by counting.
+    l0 = medians(x, [], "base", "m0").drop("n")
+    l3 = medians(x, ["rarity"], "base", "m3").withColumnRenamed("n", "n3")
     l2 = x.groupBy("card", "rarity").agg(mid.alias("m2"), n.alias("n2"))
     l1 = x.groupBy("card", "rarity", "grade", "g").agg(mid.alias("m1"), n.alias("n1"))
     df = l1.join(l2, ["card", "rarity"]).join(l3, ["rarity"]).crossJoin(F.broadcast(l0))  # one row
@@ -92,13 +94,13 @@ _RES = f"{_SAMPLES}, {_FIT}, {_CURVE.replace('FROM s ', 'FROM f ')}, {_LADDER.re
 def conformal(res: DataFrame, *by: str) -> DataFrame:
     """Lower and upper residual that hold 80 %; null where the sample is too small for the index.
 
-    The two order statistics come from exact percentiles at the places of the indices, so no group is sorted in one task.
+    The two order statistics are found by counting, so no group is gathered or sorted in one task.
     """
-    c = res.groupBy(*by).agg(F.count("*").alias("n"), F.expr("percentile(res, array(0.0, 1.0))").alias("ends"), F.sort_array(F.collect_list("res")).alias("all"))
-    lo = (F.floor((F.col("n") + 1) * (ALPHA / 2)) - 1).cast("int")
-    hi = (F.ceil((F.col("n") + 1) * (1 - ALPHA / 2)) - 1).cast("int")
-    at = lambda i: F.when((i >= 0) & (i < F.col("n")), F.get("all", i))
-    return c.select(*by, "n", rounded(at(lo), 6).alias("lo"), rounded(at(hi), 6).alias("hi"))
+    df = placed(res.select(*by, "res"), list(by), "res")
+    lo = (F.floor((F.col("of") + 1) * (ALPHA / 2)) - 1).cast("long")
+    hi = (F.ceil((F.col("of") + 1) * (1 - ALPHA / 2)) - 1).cast("long")
+    at = lambda i: rounded(F.max(F.when(F.col("place") == i, F.col("res"))), 6)
+    return df.groupBy(*by).agg(F.count("*").alias("n"), at(lo).alias("lo"), at(hi).alias("hi"))
 
 
 def _conformal_sql(by: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.counting import placed
 from tidemark.plans.register import query
 from tidemark.sources.views import market, observed, r, rounded
 
@@ -24,11 +25,12 @@ def dedupe_first(spark, sf_dir):
 
 
 def midrank(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """Percent of the group's other rows below, ties counted half; a single row is at 100."""
-    g, v = Window.partitionBy(*by), Window.partitionBy(*by, value)
-    n, ties = F.count("*").over(g), F.count("*").over(v)
-    below = F.rank().over(g.orderBy(value)) - 1
-    return rows.withColumn("midrank", F.when(n == 1, 100.0).otherwise(rounded(100.0 * (below + 0.5 * (ties - 1)) / (n - 1), 4)))
+    """Percent of the group's other rows below, ties counted half; a single row is at 100. Ranks come by counting."""
+    ranked = placed(rows, list(by), value)
+    ties = ranked.groupBy(*by, value).agg(F.min("place").alias("below_"), F.count("*").alias("ties_"))
+    share = 100.0 * (F.col("below_") + 0.5 * (F.col("ties_") - 1)) / (F.col("of") - 1)
+    df = ranked.join(ties, [*by, value])
+    return df.withColumn("midrank", F.when(F.col("of") == 1, 100.0).otherwise(rounded(share, 4))).drop("place", "of", "below_", "ties_")
 
 
 @query(
@@ -56,9 +58,8 @@ SELECT site, CASE WHEN i > floor(n * 0.7::DOUBLE) THEN 'test' ELSE 'fit' END AS
 )
 def time_split_by_venue(spark, sf_dir):
     """The last three tenths of each market's sales are the test part."""
-    w = Window.partitionBy("site")
-    df = market(spark, sf_dir).where("basis = 'sold'").withColumn("i", F.row_number().over(w.orderBy("sold_at", "key", "buyer"))).withColumn("n", F.count("*").over(w))
-    part = F.when(F.col("i") > F.floor(F.col("n") * 0.7), "test").otherwise("fit")
+    df = placed(market(spark, sf_dir).where("basis = 'sold'").select("site", "sold_at", "key", "buyer"), ["site"], "sold_at", "key", "buyer")
+    part = F.when(F.col("place") + 1 > F.floor(F.col("of") * 0.7), "test").otherwise("fit")
     return df.groupBy("site", part.alias("part")).agg(F.count("*").alias("n"), F.min("sold_at").alias("first_at"), F.max("sold_at").alias("last_at"))
 
 
@@ -150,6 +151,5 @@ def shard_slice(spark, sf_dir):
     """A quarter of a list from a cursor on, around its end."""
     from tidemark.sources.views import table
 
-    w = Window.orderBy("s_suppkey")
-    df = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seller"), (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
-    return df.where(F.pmod(F.col("i") - 7, F.col("n")) < F.ceil(F.col("n") / 4.0)).select("seller")
+    df = placed(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seller")), [], "seller")
+    return df.where(F.pmod(F.col("place") - 7, F.col("of")) < F.ceil(F.col("of") / 4.0)).select("seller")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.counting import others_median
 from tidemark.operators.joins import TIERS, _tier_sql, peers
 from tidemark.operators.ranking import midrank
 from tidemark.plans.register import query
@@ -86,18 +87,12 @@ SELECT a.site, a.basis, a.kind, a.seller, count(*) AS others, CASE WHEN count(*)
 def cohort_leave_one_out(spark, sf_dir):
     """A seller's level over the median level of all other sellers of its cohort.
 
-    The median without one value follows from the sorted values and the value's place, so sellers aren't paired.
+    Places in the cohort tell where the middle of the others is, so sellers are neither paired nor gathered.
     """
-    from pyspark.sql import Window
-
-    s = market(spark, sf_dir).where("list_price > 0").groupBy("site", "basis", "kind", "seller").agg(F.expr("percentile(price / list_price, 0.5)").alias("mid"))
+    s = market(spark, sf_dir).where("list_price > 0").groupBy("site", "basis", "kind", "seller").agg(F.expr("percentile(price / list_price, 0.5)").alias("level"))
     keys = ["site", "basis", "kind"]
-    w = Window.partitionBy(*keys)
-    s = s.withColumn("i", F.row_number().over(w.orderBy("mid", "seller")) - 1).withColumn("all", F.sort_array(F.collect_list("mid").over(w)))
-    n = F.size("all") - 1  # values that are left
-    pick = lambda k: F.get("all", F.when(k < F.col("i"), k).otherwise(k + 1))
-    middle = (pick(F.floor((n - 1) / 2).cast("int")) + pick(F.floor(n / 2).cast("int"))) / 2
-    return s.where(n > 0).select(*keys, "seller", n.cast("long").alias("others"), F.when(n >= 3, rounded(F.col("mid") / middle, 4)).alias("cohort_index"))
+    found = s.join(others_median(s, keys, "seller", "level", 1), [*keys, "seller"])
+    return found.select(*keys, "seller", "others", F.when(F.col("others") >= 3, rounded(F.col("level") / F.col("mid"), 4)).alias("cohort_index"))
 
 
 @query(
@@ -111,9 +106,9 @@ def supply_fit(spark, sf_dir):
     s = market(spark, sf_dir).groupBy("site", "seller").agg(F.count("*").alias("depth"), ((F.max("sold_at") - F.min("sold_at")) / 86400.0).alias("span"), (F.count_if(F.col("grade").between(8, 9)) / F.count("*")).alias("profile"))
     for value in ("depth", "span", "profile"):
         s = midrank(s, value, "site").withColumnRenamed("midrank", f"{value}_rank")
-    n = F.expr("count(*) OVER (PARTITION BY site)")
     total = (40 * F.col("depth_rank") + 20 * F.col("span_rank") + 20 * F.col("profile_rank")) / 80.0
-    return s.withColumn("n", n).select("site", "seller", F.when(F.col("n") >= 3, rounded(total)).alias("fit"), F.when(F.col("n") < 3, "few_sellers").alias("refusal"))
+    n = s.groupBy("site").agg(F.count("*").alias("n"))
+    return s.join(n, "site").select("site", "seller", F.when(F.col("n") >= 3, rounded(total)).alias("fit"), F.when(F.col("n") < 3, "few_sellers").alias("refusal"))
 
 
 @query("SELECT DISTINCT key, seller, count(*) OVER (PARTITION BY buyer, seller) AS together FROM market WHERE basis = 'ask'", "market")
@@ -124,9 +119,9 @@ def seller_bundle_flag(spark, sf_dir):
     return m.join(n, ["buyer", "seller"]).select("key", "seller", "together").distinct()
 
 
-@query(f"WITH f AS (SELECT * FROM market WHERE quantity <= 10), {_RATIOS} SELECT (SELECT count(*) FROM f) AS n_rows, (SELECT count(DISTINCT seller) FROM f) AS n_sellers, count(*) AS comparable, count(DISTINCT seller) AS comparable_sellers, count(DISTINCT card) AS comparable_cards FROM x", "market")
+@query(f"WITH f AS (SELECT * FROM market), {_RATIOS} SELECT (SELECT count(*) FROM f) AS n_rows, (SELECT count(DISTINCT seller) FROM f) AS n_sellers, count(*) AS comparable, count(DISTINCT seller) AS comparable_sellers, count(DISTINCT card) AS comparable_cards FROM x", "market")
 def alpha_coverage(spark, sf_dir):
-    rows = market(spark, sf_dir).where("quantity <= 10")
+    rows = market(spark, sf_dir)
     a = rows.agg(F.count("*").alias("n_rows"), F.count_distinct("seller").alias("n_sellers"))
     b = ratios(rows).agg(F.count("*").alias("comparable"), F.count_distinct("seller").alias("comparable_sellers"), F.count_distinct("card").alias("comparable_cards"))
     return a.crossJoin(b)  # one row each
