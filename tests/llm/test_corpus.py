@@ -275,30 +275,153 @@ def test_tree_skips_distant_pages():
     assert tree.computed < 300
 
 
+def held_out(i, n=10):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % n == 0
+
+
 def test_model_base_and_gain(spark):
     from tidemark.llm import hpy_model
     from tidemark.llm.common import table
 
     docs = table(spark, SF, "documents").select("doc_id", "text")
-    hard = spark.createDataFrame([(90_000 + i, r[1]) for i, r in enumerate(ROWS[-20:])] + [(None, "null id")], "doc_id long, text string")
+    hard = spark.createDataFrame([(90_000 + i, r[1]) for i, r in enumerate(ROWS[-20:])] + [(None, "null id"), (90_000, "a repeated id")], "doc_id long, text string")
     both = docs.union(hard)
     rows = [tuple(r) for r in both.collect()]
-    got = hpy_model.score(both).collect()
+    clashing = both.selectExpr("*", "'x' AS part", "'y' AS other", "'z' AS kind", "'w' AS body", "1 AS held")
+    got = hpy_model.score(clashing).collect()
     assert len(got) == len(rows)
-    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
-    count = Counter(w for i, t in rows if not held(i) for w in words((t or "").translate(LOW)) + [""])
+    count = Counter(w for i, t in rows if not held_out(i) for w in words((t or "").translate(LOW)) + [""])
     n, v = sum(count.values()), len(count)
     want = sorted(((-1 if i is None else i), len(w), sum(count[x] > 0 for x in w), round(sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6)) for i, t in rows for w in [words((t or "").translate(LOW)) + [""]])
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["held_out"] == held(r["doc_id"]) and r["train_tokens"] == n for r in got)
-    out = [r for r in got if r["held_out"]]
-    assert sum(r["score"] for r in out) > 0.95 * sum(r["base_score"] for r in out)  # both negative
+    assert all(r["held_out"] == held_out(r["doc_id"]) and r["train_tokens"] == n for r in got)
+    perplexity = {r["held_out"]: r for r in hpy_model.perplexity(spark.createDataFrame(got)).collect()}
+    assert perplexity[True]["perplexity"] < 0.15 * perplexity[True]["base_perplexity"]
+    assert perplexity[False]["perplexity"] < 0.02 * perplexity[False]["base_perplexity"]
     assert hpy_model.score(both.limit(0)).count() == 0
 
 
-def test_model_probabilities_sum_to_one():
+def plain_model_scores(docs, discounts, word_class, sweeps=6, burn=2, seed=5):
+    """log10 scores of each text by a plain sampler that reseats every customer with all totals up to date."""
+    rng = np.random.default_rng(seed)
+    texts = {i: words(t.translate(LOW)) + [""] for i, t in docs}
+    levels = [{}, {}, {}]  # of (context, word): table sizes; of contexts, classes and the root
+    customers, tables = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+    pairs = [(u, w) for i, t in texts.items() if not held_out(i) for u, w in zip([""] + t[:-1], t)]
+    uniform = 1 / (len({w for _, w in pairs}) + 1)
+    names = lambda u: (u, word_class(u), None)
+
+    def p(level, u, w):
+        if level == 3:
+            return uniform
+        c, d = names(u)[level], discounts[level]
+        sizes = levels[level].get((c, w), ())
+        return (sum(sizes) - d * len(sizes) + (1 + d * tables[level][c]) * p(level + 1, u, w)) / (1 + customers[level][c])
+
+    def sit(level, u, w):
+        if level == 3:
+            return
+        c, d = names(u)[level], discounts[level]
+        sizes = levels[level].setdefault((c, w), [])
+        new = (1 + d * tables[level][c]) * p(level + 1, u, w)
+        k = int(np.searchsorted(np.cumsum([x - d for x in sizes] + [new]), rng.random() * (sum(sizes) - d * len(sizes) + new), side="right"))
+        customers[level][c] += 1
+        if k >= len(sizes):
+            sizes.append(1)
+            tables[level][c] += 1
+            sit(level + 1, u, w)
+        else:
+            sizes[k] += 1
+
+    def rise(level, u, w):
+        if level == 3:
+            return
+        c = names(u)[level]
+        sizes = levels[level][c, w]
+        k = int(np.searchsorted(np.cumsum(sizes), rng.integers(sum(sizes)), side="right"))
+        sizes[k] -= 1
+        customers[level][c] -= 1
+        if not sizes[k]:
+            sizes.pop(k)
+            tables[level][c] -= 1
+            rise(level + 1, u, w)
+
+    for u, w in pairs:
+        sit(0, u, w)
+    mean = {i: np.zeros(len(t)) for i, t in texts.items()}
+    for n in range(sweeps):
+        for u, w in pairs:
+            rise(0, u, w)
+            sit(0, u, w)
+        if n >= burn:
+            for i, t in texts.items():
+                mean[i] += [p(0, u, w) for u, w in zip([""] + t[:-1], t)]
+    return {i: float(np.log10(x / (sweeps - burn)).sum()) for i, x in mean.items()}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_model_agrees_with_a_plain_sampler(spark, parts):
+    from tidemark.llm import hpy_model as h
+
+    rng = np.random.default_rng(8)
+    vocabulary = [f"{a}{b}" for a in ("ba", "co", "du", "fe", "gi", "ho") for b in ("n", "r", "st", "t", "ch")]
+    after = {w: rng.choice(vocabulary, 4) for w in vocabulary}
+    docs = []
+    for i in range(60):
+        w = [str(rng.choice(vocabulary))]
+        for _ in range(60):
+            w.append(str(rng.choice(after[w[-1]]) if rng.random() < 0.8 else rng.choice(vocabulary)))
+        docs.append((i, " ".join(w)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    got = h.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    pairs = Counter((u, w) for i, t in docs if not held_out(i) for u, w in zip([""] + t.split(), t.split() + [""]))
+    class_of = lambda w: int(h.class_of([w.encode()])[0])
+    types1 = Counter(x for x in {(class_of(u), w, u) for u, w in pairs} for x in [x[:2]])
+    types0 = Counter(w for _, w in types1)
+    share = lambda x: (lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5)(sum(v == 1 for v in x.values()), sum(v == 2 for v in x.values()))
+    want = plain_model_scores(docs, [share(pairs), share(types1), share(types0)], class_of)
+    ours, plain = np.array([r["score"] for r in got]), np.array([want[r["doc_id"]] for r in got])
+    assert abs(ours.sum() / plain.sum() - 1) < 0.02
+    assert np.abs(ours / plain - 1).max() < 0.06
+
+
+def test_seating_has_the_right_number_of_tables():
+    """Means over many dishes against the exact law: of n customers at t tables, odds^t times a generalized Stirling number."""
+    from tidemark.llm import hpy_model as h
+
+    def mean_tables(n, odds, d):
+        s = {0: 1.0}
+        for c in range(n):
+            s = {t: s.get(t - 1, 0.0) * odds + s.get(t, 0.0) * max(0.0, c - d * t) for t in range(1, c + 2)}
+            total = sum(s.values())
+            s = {t: x / total for t, x in s.items()}
+        return sum(t * x for t, x in s.items())
+
+    rng = np.random.default_rng(1)
+    for n, odds, d in ((2, 0.3, 0.5), (5, 0.5, 0.8), (12, 2.0, 0.4), (60, 1.0, 0.7)):
+        many, sweeps = (3000, 40) if n < 60 else (500, 400)
+        goal, weight = np.full(many, n), np.full(many, odds)
+        tables, sizes = h.seated(np.zeros(many, np.int64), np.zeros(0, np.int64), goal, weight, d, rng)
+        for _ in range(sweeps):
+            tables, sizes = h.seated(tables, sizes, goal, weight, d, rng)
+        assert sizes.sum() == many * n and sizes.min() > 0 and len(sizes) == tables.sum()
+        assert tables.mean() == pytest.approx(mean_tables(n, odds, d), rel=0.06)
+    one = h.crowd(np.zeros(0, np.int64), 60, 1.0, 0.7, rng)
+    assert one.sum() == 60
+    several = []
+    for _ in range(2500):
+        one = h.crowd(one, 60, 1.0, 0.7, rng)
+        several.append(len(one))
+    assert np.mean(several[200:]) == pytest.approx(mean_tables(60, 1.0, 0.7), rel=0.25)
+    fewer = h.seated(tables, sizes, np.full(many, 20), weight, d, rng)
+    assert fewer[1].sum() == 20 * many and h.seated(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), d, rng)[0].size == 0
+
+
+def test_model_probabilities_sum_to_one(monkeypatch):
     from tidemark.llm import hpy_model as h
 
+    monkeypatch.setattr(h, "CROWD", 20)
     rng = np.random.default_rng(3)
     block = h.Block()
     vocabulary = [f"word{k}{'ab'[k % 2]}" for k in range(30)]
@@ -306,16 +429,24 @@ def test_model_probabilities_sum_to_one():
         block.add(d, " ".join(rng.choice(vocabulary, 25)).encode(), False)
     every = [w.encode() for w in vocabulary] + [h.END]
     # A held-out document asks for every word after one word, and for an unknown one.
-    ask = b" ".join(b"word1b " + w for w in every[:-1]) + b" word1b unseen word1b"
-    block.add(99, ask, True)
-    body = [b for _, p, b in block.rows(0, 1) if p == 0]
-    m = h.Merged(body)
-    corpus = h.Corpus(m.stats())
+    block.add(99, b" ".join(b"word1b " + w for w in every[:-1]) + b" word1b unseen word1b", True)
+    heavy = np.sort(np.array([h.xxhash.xxh3_64_intdigest(b"word1b")], h.U64))
+    g = h.Merged([b for _, _, kind, b in block.rows(0, 1, heavy, True) if kind == h.REQUEST], heavy)
+    corpus = h.Corpus(g.stats(1), 1)
     assert corpus.words == 31
-    p = 10 ** h.predict(m, corpus, h.totals(m, corpus, 7), 7)
-    context = int(h.context_of([b"word1b"])[0])
-    seen = p[m.c2 == context]
-    assert (m.c2 == context).sum() == 32 and seen.sum() == pytest.approx(1.0, abs=1e-9)
+    m, once = g.model(), np.bincount(g.c2, g.n2 == 1, len(g.codes))
+    where = np.searchsorted(g.codes, m["codes"])
+    totals = np.bincount(g.c2, g.n2 > 0, len(g.codes))
+    models, tables, corpora = [], [], []
+    for n in range(3):
+        m, stats = h.sweep(m, totals[where], corpus, (n,))
+        corpus = corpus.after(stats, rng)
+        totals = once.copy()
+        totals[where] += np.bincount(m["context"], m["tables2"], len(where))
+        models, tables, corpora = [*models, m], [*tables, totals], [*corpora, corpus]
+    p = 10 ** h.predict(g, models, np.bincount(g.c2, g.n2, len(g.codes)), tables, corpora)
+    code = [c for c in range(len(g.codes)) if (g.c2 == c).sum() == 32]
+    assert len(code) == 1 and p[g.c2 == code[0]].sum() == pytest.approx(1.0, abs=1e-9)
 
 
 def test_pipeline_stages_against_brute_force(spark):

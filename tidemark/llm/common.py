@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from weakref import WeakKeyDictionary
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +99,12 @@ def worker_cache(owner: str) -> dict:
     return _caches[owner]
 
 
+def sorted_unique(x: np.ndarray) -> np.ndarray:
+    """``np.unique`` by one sort: on whole numbers that is many times faster than its hash table."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK), "")
