@@ -37,13 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, free_shuffles, stash, worker_cache
+from tidemark.llm.common import discard, free_shuffles, sorted_unique, stash, worker_cache
 
 BANDS, MISS = 40, 1e-5
 MANTISSA = 10  # bits of a register after its leading zeros
 FILLS = 24  # rounds in which empty registers are filled before banding
 BLOCK = 512  # members of a bucket that one task compares with as many others
-MEMBERS = 256  # of one leader, compared by one run of sets
+MEMBERS = 64  # of one leader, compared by one run of sets
 SALTS = 32  # over which the members of a leader with more than that are dealt
 FEW = 64  # documents that meet at a shingle and are paired there
 SLOTS = 1 << 20  # counters of frequent shingles
@@ -61,7 +61,7 @@ class _Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 150_000:
+        if len(self) < 400_000:
             self[word] = value
         return value
 
@@ -86,7 +86,7 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     acc = np.full(len(words) - n + 1, n, U64)
     for k in range(n):
         acc = _mix(acc * U64(0x9E3779B97F4A7C15) + h[k : len(words) - n + 1 + k])
-    return np.unique(acc)
+    return sorted_unique(acc)
 
 
 def registers(sets: list[np.ndarray], size: int) -> np.ndarray:
@@ -302,31 +302,32 @@ def _dealt(open_docs: DataFrame, often: np.ndarray, shingle: int, percent: int)
 
 
 def _among_blocks(met: DataFrame, open_docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (u, v) between different components of documents that meet (``met``: at, id) where many do.
+    """Links (u, v) between different components of documents that meet (``met``: at, id, component) where many do.
 
     A large component has blocks of its own, and the documents of small ones share blocks. A pair of blocks is compared once,
     however often its members meet, and not at all if both are of one component.
     """
-    sizes = open_docs.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    small = max(1, math.ceil((sizes.where("blocks = 1").join(open_docs, "component").count()) / BLOCK))
-    own = F.when(F.col("blocks") > 1, F.struct(F.col("component").alias("of"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("k")))
-    shared = F.struct(F.lit(-(2**63)).cast("long").alias("of"), F.pmod(F.xxhash64("component"), F.lit(small)).alias("k"))
-    placed = stash(open_docs.select("id", "component").join(sizes, "component").select("id", "component", F.coalesce(own, shared).alias("block")), "near-blocks")
-    several = placed.groupBy("block").agg((F.min("component") < F.max("component")).alias("several"))
+    # Small components lie with those that meet at the same shingle, the least of theirs, so few pairs of blocks come up.
+    home = met.groupBy("id", "component").agg(F.min("at").alias("home"))
+    own = home.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("component", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    home = home.join(own, "component", "left")
+    shared = home.where("blocks IS NULL").groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("share"))
+    place = lambda kind, of, n: F.struct(F.lit(kind).alias("kind"), F.col(of).alias("of"), F.pmod(F.xxhash64("id"), F.col(n)).alias("k"))
+    block = F.when(F.col("blocks").isNotNull(), place(0, "component", "blocks")).otherwise(place(1, "home", "share"))
+    placed = stash(home.join(shared, "home", "left").select("id", "component", block.alias("block")), "near-blocks")
     there = met.select("at", "id").join(placed, "id").groupBy("at").agg(F.sort_array(F.collect_set("block")).alias("all"))
     other = lambda x: F.filter("all", lambda y: y >= x)
     pairs = there.select(F.explode(F.flatten(F.transform("all", lambda x: F.transform(other(x), lambda y: F.struct(x.alias("i"), y.alias("j")))))).alias("p")).select("p.i", "p.j").distinct()
-    single = several.where("NOT several").select(F.col("block").alias("i"), F.lit(True).alias("single"))
-    pairs = pairs.join(single, "i", "left").where("NOT (coalesce(single, false) AND i.of = j.of)").select("i", "j")
+    pairs = pairs.where("NOT (i.kind = 0 AND j.kind = 0 AND i.of = j.of)")
     sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "held": [shingle_set(x, shingle).tobytes() for x in batch["text"]]})
 
-    sets = open_docs.select("id", "text").mapInPandas(shingles, "id long, held binary")
+    sets = open_docs.join(placed.select("id"), "id", "left_semi").select("id", "text").mapInPandas(shingles, "id long, held binary")
     rows = sides.join(placed, "block").join(sets, "id").select(F.xxhash64("i", "j").alias("pair"), "i", "j", "id", "component", "held")
-    rows = rows.repartition("pair").sortWithinPartitions("pair", "i", "j", "id").select("pair", "i.of", "i.k", F.col("j.of").alias("of2"), F.col("j.k").alias("k2"), "id", "component", "held")
+    rows = rows.repartition("pair").sortWithinPartitions("pair", "i", "j", "id").select("pair", "i.kind", "i.of", "i.k", F.col("j.kind").alias("kind2"), F.col("j.of").alias("of2"), F.col("j.k").alias("k2"), "id", "component", "held")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, ids, labels, held = None, [], [], []
