@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.plans.register import QUERIES, SQL
-from tidemark.operators import aggregates, cards, composites, filters, joins, ledger, model, money, ranking, sellers, signals, study, titles  # noqa: F401  they register their queries
+from tidemark.operators import aggregates, cards, composites, filters, joins, ledger, model, money, ranking, sellers, signals, study, titles, watch  # noqa: F401  they register their queries
 from tidemark.streaming import windows  # noqa: F401
 
 FLAGSHIP = "score_signals"
