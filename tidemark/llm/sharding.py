@@ -18,7 +18,7 @@ import math
 from bisect import bisect_right
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stash
@@ -43,6 +43,14 @@ def slim_rows(docs: DataFrame) -> DataFrame:
     return stash(docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("key")), "shard-rows")
 
 
+def _listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from one literal, so that neither Python workers nor local files are needed."""
+    names = [x.split() for x in schema.split(", ")]
+    text = "\n".join("\t".join(map(str, r)) for r in rows)
+    lines = spark.range(1).select(F.explode(F.split(F.lit(text), "\n")).alias("line")).select(F.split("line", "\t").alias("x"))
+    return lines.select(*[F.col("x")[i].cast(kind).alias(name) for i, (name, kind) in enumerate(names)])
+
+
 def find_splitters(rows: DataFrame, parts: int, total: int, first: str, last: str, tolerance: float = TOLERANCE) -> tuple[list[str], list[tuple[int, int, str]]]:
     """Key prefixes that cut ``rows`` into ``parts`` of near-equal size, and the cells that were divided (digits, digits of
     their parts, prefix).
@@ -60,11 +68,12 @@ def find_splitters(rows: DataFrame, parts: int, total: int, first: str, last: st
         finer = min(KEY_DIGITS, digits + (2 if len(open_cells) <= MANY_CELLS else 1))
         divided += [(digits, finer, c) for c in open_cells]
         part = F.substring("key", 1, digits)
-        inside = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(c,) for c in open_cells], "cell string")), part == F.col("cell"), "left_semi")
-        sums = sorted(inside.groupBy(F.substring("key", 1, finer).alias("cell")).agg(F.sum("size").alias("size")).collect())
+        # As many cells as targets are still open, at most.
+        inside = rows.join(F.broadcast(_listed(rows.sparkSession, [(c,) for c in open_cells], "cell string")), part == F.col("cell"), "left_semi")
+        sums = sorted(inside.groupBy(F.substring("key", 1, finer).alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect())
         below, again = dict(base), {}
         base = {}
-        for cell, size in sums:
+        for cell, size, n in sums:
             parent = cell[:digits]
             start, end = below[parent], below[parent] + size
             below[parent] = end
@@ -72,7 +81,8 @@ def find_splitters(rows: DataFrame, parts: int, total: int, first: str, last: st
             for t in open_cells[parent]:
                 if t in found or not start < t <= end:
                     continue
-                if min(t - start, end - t) <= allowed or finer == KEY_DIGITS:
+                # A cell of one row can't be divided.
+                if min(t - start, end - t) <= allowed or n == 1 or finer == KEY_DIGITS:
                     # A splitter is the first key of its right-hand side; "~" follows every digit.
                     found[t] = cell if t - start < end - t else cell + "~"
                 else:
@@ -98,13 +108,13 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     for d, finer in sorted({(d, f) for d, f, _ in divided}):
         parts = (f"{cell}{k:0{finer - d}X}" for cell in open_at[d] for k in range(16 ** (finer - d)))
         cells = [(c, bisect_right(cuts, c)) for c in parts if c not in open_at.get(finer, ())]
-        placed = spark.createDataFrame(cells, "cell string, at int")
+        placed = _listed(spark, cells, "cell string, at int")
         # As bounded as what the driver has seen: 16 or 256 rows for each divided cell.
         df = df.join(F.broadcast(placed), F.substring("key", 1, finer) == F.col("cell"), "left").withColumn("range", F.coalesce("range", "at")).drop("cell", "at")
     df = stash(df.select("doc_id", "size", "text_crc32", "key", "range"), "shard-ranges")
     counts = {r: c for r, c in df.groupBy("range").count().collect()}
     starts = [(r, s, o) for s in range(shards) for r, o in zip(range(s * ranges, (s + 1) * ranges), accumulate([0] + [counts.get(k, 0) for k in range(s * ranges, (s + 1) * ranges)]), strict=False)]
-    offsets = spark.createDataFrame(starts, "range int, shard int, before long")
+    offsets = _listed(spark, starts, "range int, shard int, before long")
     rank = F.expr("row_number() OVER (PARTITION BY range ORDER BY key)")
     df = df.withColumn("rank", rank).join(F.broadcast(offsets), "range")
     return df.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
