@@ -244,16 +244,22 @@ def brute_top(vectors, k):
     return out
 
 
-@pytest.mark.parametrize("subtree", [8192, 40])
+@pytest.mark.parametrize("subtree", [8192, 40, 6])
 def test_tree_search_equals_brute_force(spark, monkeypatch, subtree):
+    """With small leaves the tree has several levels, and one common vector fills a leaf that can't be divided."""
     from tidemark.llm import metric_tree as mt
 
     monkeypatch.setattr(mt, "SUBTREE", subtree)
+    monkeypatch.setattr(mt, "FANOUT", 8)
+    monkeypatch.setattr(mt, "RUN", 100)
+    monkeypatch.setattr(mt, "QUERY_BLOCK", 5)
     rng = np.random.default_rng(subtree)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(300)]
     rows += [(400 + i, [0.5] * 8) for i in range(120)]  # one common vector, in ties
     rows += [(600, None), (650, [0.1, None] + [0.0] * 6), (700, [float("nan")] + [0.0] * 7), (750, [float("inf")] + [0.0] * 7), (800, []), (850, [0.3, 0.1]), (None, [1.0] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows += [(950, [0.9, -0.2] + [0.1] * 6), (950, [-0.7] * 8), (951, [0.9, -0.2] + [0.1] * 6), (1000, [1e30] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS id", "2 AS v", "3 AS node", "4 AS score")
+    rows = rows[:-1]  # too long for a score that fits a long
     fine = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     v = mt.quantized(df)
     got = sorted(tuple(r) for r in mt.top_k(v, v.where("id % 50 = 0")).collect())
@@ -261,6 +267,16 @@ def test_tree_search_equals_brute_force(spark, monkeypatch, subtree):
     assert mt.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_tree_of_large_components(spark):
+    from tidemark.llm import metric_tree as mt
+
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.integers(-(2**20), 2**20, 5)]) for i in range(120)]
+    v = mt.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted(tuple(r) for r in mt.top_k(v, v.where("id % 50 = 0")).collect())
+    assert got == sorted(brute_top([(i, [math.floor(256 * x) for x in w]) for i, w in rows], 5))
+
+
 def test_tree_skips_distant_pages():
     from tidemark.llm import metric_tree as mt
 
