@@ -200,6 +200,86 @@ def test_toxicity_on_held_out_labels(spark):
     assert n[1, True] / (n[1, True] + n.get((0, True), 0)) > 0.9
 
 
+def plain_toxicity(rows, labels):
+    """score and evidence of each text by plain dictionaries: all cosines, votes, and pools merged until they rise."""
+    from tidemark.llm import toxicity as t
+
+    train = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 4 != 2}
+    counted = {i: Counter(x for w in (text or "").split() for x in t.terms_of(w)) for i, text in rows}
+    known = {i: counted[i] for i in train}
+    p, n = sum(train.values()), len(train)
+    has = {x: [i for i in known if known[i][x]] for x in set().union(*known.values())}
+    weight = {}
+    for x, ids in has.items():
+        a, b = sum(train[i] for i in ids), sum(1 - train[i] for i in ids)
+        told = 1 + n * (a * (n - p - b) - b * (p - a)) ** 2 / ((a + b) * (n - a - b) * p * (n - p)) if a * (n - p) > b * p and a + b < n else 1
+        weight[x] = told * (math.log((len(rows) + 1) / (sum(bool(c[x]) for c in counted.values()) + 1)) + 1)
+
+    def unit(c):
+        v = {x: (1 + math.log(k)) * weight[x] for x, k in c.items() if x in weight}
+        norm = math.sqrt(sum(y * y for y in v.values()))
+        return {x: y / norm for x, y in v.items()}
+
+    vectors = {i: unit(c) for i, c in known.items() if c}
+    base = (p + 0.5) / (n + 1)
+    blank = [i for i in known if not known[i]]
+    base = (sum(train[i] for i in blank) + base) / (len(blank) + 1)
+
+    def judged(v, leave=None):
+        near = sorted(((-round(sum(y * u.get(x, 0) for x, y in v.items()), 9), i) for i, u in vectors.items() if i != leave))
+        near = [(-c, i) for c, i in near if c < 0][: t.NEAREST]
+        votes = sum(c * c for c, _ in near)
+        return (sum(c * c * train[i] for c, i in near) + t.PRIOR_VOTES * base) / (votes + t.PRIOR_VOTES) if near else base, [i for _, i in near]
+
+    pools = []
+    own = sorted((round(s / t.KNOT), s, train[i]) for i in vectors for s in [judged(vectors[i], i)[0]])
+    for k in sorted({k for k, *_ in own}):
+        mine = [(s, y) for step, s, y in own if step == k]
+        pools.append((len(mine), sum(y for _, y in mine), sum(s for s, _ in mine)))
+        while len(pools) > 1 and pools[-2][1] / pools[-2][0] >= pools[-1][1] / pools[-1][0]:
+            a, b = pools.pop(), pools.pop()
+            pools.append(tuple(x + y for x, y in zip(a, b)))
+    at, rate = [s / k for k, _, s in pools], [(y + 0.5) / (k + 1) for k, y, _ in pools]
+    out = {}
+    for i, c in counted.items():
+        share, near = judged(unit(c))
+        out[i] = (float(np.interp(share, at, rate)) if near else base, near)
+    return out
+
+
+def test_toxicity_equals_plain_votes(spark):
+    from tidemark.llm.toxicity import score
+
+    rng = np.random.default_rng(12)
+    plain = [f"{a}{b}{c}" for a in "bdfg" for b in ("ara", "elo", "iru") for c in ("ne", "so", "ti")]
+    rude = ["vilewort", "vilest", "grimmer", "grimly"]
+    rows, labels = [], {}
+    for i in range(160):
+        w = [str(x) for x in rng.choice(plain, 12)]
+        toxic = int(rng.random() < 0.4)
+        if toxic and rng.random() < 0.9 or rng.random() < 0.05:
+            w[0] = str(rng.choice(rude))
+        rows.append((i, " ".join(w)))
+        if i < 120:
+            labels[i] = toxic
+    rows += [(200, None), (201, ""), (202, "unheard words only"), (203, "Vilewort!")]
+    labels[201] = 1
+    want = plain_toxicity(rows, labels)
+    marks = spark.createDataFrame([(i, 1, y) for i, y in labels.items()], "doc_id long, quality int, toxic int")
+    got = score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), marks).collect()
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]][0], abs=1e-6) and list(r["evidence"]) == want[r["doc_id"]][1], r
+
+
+def test_rates_rise_with_shares():
+    from tidemark.llm.toxicity import isotonic
+
+    shares = np.array([0.05, 0.1, 0.2, 0.3, 0.6, 0.9])
+    at, rate = isotonic(shares, np.array([0.0, 1.0, 0.0, 0.0, 1.0, 1.0]), np.ones(6))
+    assert (np.diff(at) > 0).all() and (np.diff(rate) > 0).all() and rate[0] < 0.5 < rate[-1]
+    assert isotonic(np.zeros(0), np.zeros(0), np.zeros(0))[0].size == 0
+
+
 def test_toxicity_of_hard_rows(spark):
     from tidemark.llm.toxicity import score
 

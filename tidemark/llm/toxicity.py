@@ -8,13 +8,15 @@ its IDF and leaves no term out. Term frequencies are counted in whole texts, and
 The index has the COMMON most frequent terms as columns, with the largest weight of each block of examples, and the postings
 of all others. A search sums the others' postings, bounds each block by its best sum and the query's weights times the
 block's largest ones, and leaves out the blocks that cannot reach the k-th cosine, so its result is exact; ties go to the
-smaller id. The NEAREST neighbours vote by squared cosine, together with a small prior; the score is the share of votes for
-label 1 and the neighbours are its evidence. A text that shares no term with an example gets the share of label 1 among
-labelled training rows, or among those without words.
-
-Null and empty texts have no terms. A null doc_id is scored as any other (its text counts, its id doesn't). Rows without
-a label are never examples; a repeated label row counts once. With no labelled rows every score is 0. An empty table
-gives no rows.
+smaller id. The NEAREST neighbours vote by squared cosine, together with a small prior, and are the evidence. The share of
+votes for label 1 becomes a probability by isotonic regression: every example is judged by the others, and the map from shares to
+observed rates is fitted on those, so no held-out label is seen. A text that shares no term with an example gets the share of
+label 1 among labelled training rows, or among those without words.
+
+Null and empty texts have no terms; texts count whole, however long. A null doc_id is scored as any other (its text counts, its
+id doesn't). Rows without a label are never examples; a repeated label row counts once, of contradicting ones label 1. Where a
+labelled doc_id has several rows, the example is the row of the least text. With no labelled rows every score is 0. An empty
+table gives no rows. Columns other than doc_id, text and toxic are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ EXAMPLES = 2000  # of each class at most
 COMMON = 512  # terms that are columns of the index
 BEGINNINGS = range(3, 8)
 NEAREST, PRIOR_VOTES, BLOCK = 15, 0.02, 64
+KNOT = 0.02
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&"
 
 
@@ -55,9 +58,10 @@ class Terms(dict):
     def __missing__(self, word: str) -> int:
         w = word.strip(STRIP).lower()
         found = self.ids.get(w, -1) if w else -1
-        for k in reversed(BEGINNINGS) if found < 0 else ():
-            if len(w) >= k and (found := self.ids.get(w[:k] + "*", -1)) >= 0:
+        for k in BEGINNINGS if found < 0 else ():  # a beginning is a term only if all shorter ones are
+            if len(w) < k or (at := self.ids.get(w[:k] + "*", -1)) < 0:
                 break
+            found = at
         if len(self) < 200_000:
             self[word] = found
         return found
@@ -154,7 +158,7 @@ def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
     order = F.xxhash64("doc_id", F.lit("example"))
     picked = [train.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(EXAMPLES).withColumn("rows", F.lit(sizes.get(y, 0) / max(1, min(EXAMPLES, sizes.get(y, 0))))) for y in (0, 1)]
     # At most 2 x EXAMPLES slim rows.
-    return docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("rows").alias("rows"))
 
 
 def weighted_terms(sample: DataFrame) -> tuple[str, np.ndarray]:
@@ -210,7 +214,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     *with_term, n_docs = sum_arrays(counted.select("terms").mapInPandas(frequencies, SUMMED), n_terms + 1)
     weight = label_weight * (np.log((n_docs + 1.0) / (np.array(with_term) + 1.0)) + 1)
-    found = sample.dropDuplicates(["doc_id"]).select("doc_id", "toxic", "rows", "text").mapInPandas(count, f"doc_id long, toxic int, rows double, {COUNTED}").toArrow().sort_by("doc_id")
+    found = sample.select("doc_id", "toxic", "rows", "text").mapInPandas(count, f"doc_id long, toxic int, rows double, {COUNTED}").toArrow().sort_by("doc_id")
     ids, toxic, stands = (found[c].to_numpy() for c in ("doc_id", "toxic", "rows"))
     vectors = [_unit(all_terms(above, np.array(t.values, np.int32), np.array(n.values, np.int32)), weight) for t, n in zip(found["terms"], found["counts"], strict=True)]
     blank = np.array([not len(t) for t, _ in vectors], bool)
@@ -223,20 +227,55 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ids, toxic, stands = ids[order], toxic[order].astype(float), stands[order]
     scale = stands.mean() if len(stands) else 1.0
 
+    def share_of(near: list[tuple[float, int]]) -> float:
+        at = [e for _, e in near]
+        votes = np.array([s * s for s, _ in near]) * stands[at] / scale if near else np.zeros(0)
+        return float((votes @ toxic[at] + PRIOR_VOTES * base) / (votes.sum() + PRIOR_VOTES)) if near else base
+
+    def by_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Shares of the examples, each without its own vote."""
+        place = {int(x): i for i, x in enumerate(ids)}
+        for batch in batches:
+            rows = []
+            for doc_id, t, n in zip(batch["doc_id"], batch["terms"], batch["counts"], strict=True):
+                if int(doc_id) in place:
+                    near = index.nearest(_unit(all_terms(above, t, n), weight), NEAREST + 1)[0]
+                    rows.append((int(doc_id), share_of([x for x in near if x[1] != place[int(doc_id)]][:NEAREST])))
+            yield pd.DataFrame(rows, columns=["doc_id", "share"]).astype({"doc_id": "int64", "share": float})
+
+    judged = sample.select("doc_id", "text").repartition(16).mapInPandas(count, f"doc_id long, {COUNTED}").mapInPandas(by_others, "doc_id long, share double").toArrow().sort_by("doc_id")
+    at = {int(x): i for i, x in enumerate(ids)}
+    own = [at[x] for x in judged["doc_id"].to_pylist()]
+    knots = isotonic(judged["share"].to_numpy(), toxic[own], stands[own])
+
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             scores, evidence = [], []
             for t, n in zip(batch["terms"], batch["counts"], strict=True):
                 near = index.nearest(_unit(all_terms(above, t, n), weight), NEAREST)[0] if len(t) else []
-                at = [e for _, e in near]
-                votes = np.array([s * s for s, _ in near]) * stands[at] / scale if near else np.zeros(0)
-                scores.append(float((votes @ toxic[at] + PRIOR_VOTES * base) / (votes.sum() + PRIOR_VOTES)) if near else base)
-                evidence.append([int(ids[e]) for e in at])
+                scores.append(float(np.interp(share_of(near), *knots)) if near and len(knots[0]) else base)
+                evidence.append([int(ids[e]) for _, e in near])
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": scores, "evidence": evidence})
 
     return counted.mapInPandas(judge, "doc_id long, score double, evidence array<long>")
 
 
+def isotonic(shares: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (share, rate) of the best rising map from shares to labels, weighted by ``rows``: neighbours that fall are pooled.
+
+    Shares are taken in steps of KNOT, and each pool has half a row of each label besides its own, so no rate is 0 or 1.
+    """
+    step = np.round(shares / KNOT).astype(int)
+    pools: list[list[float]] = []  # weight, weight of label 1, weighted share
+    for k in np.unique(step):
+        i = step == k
+        pools.append([rows[i].sum(), rows[i] @ labels[i], rows[i] @ shares[i]])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    return np.array([s / n for n, _, s in pools]), np.array([(y + 0.5) / (n + 1) for n, y, _ in pools])
+
+
 def ids_kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Null ids stay null."""
     for batch in batches:
