@@ -102,6 +102,60 @@ def test_quality_counts_match_brute_force(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
+def plain_verdicts(rows):
+    """class_distance, word_distance and kept of each row, with medians taken from sorted lists."""
+    from tidemark.llm import quality as q
+
+    feats = []
+    for doc_id, text, lang, *_ in rows:
+        t, w = text or "", words(text)
+        windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        twice = {x for x, n in Counter(windows).items() if n > 1}
+        repeat = len({i + k for i, x in enumerate(windows) if x in twice for k in range(5)})
+        failed = len(w) < 10 or 100 * repeat > 20 * len(w)
+        rest = re.sub(q.LOWER, "", t)
+        counts = [len(t) - sum(map(len, w)), sum(map(len, w)) - len(rest), *(len(re.sub(x, "", rest)) for x in q.CLASSES.values())]
+        shares = lambda c, n: [x / n for x in c] + [1 - sum(x / n for x in c)] if n else None
+        listed = q.COMMON_WORDS.get(lang)
+        feats.append((doc_id, lang if listed else "other", len(t), len(w), failed, shares(counts, len(t)), shares([w.count(x) for x in listed], len(w)) if listed else None))
+
+    def reference(lang, at):
+        held = [f[at] for f in feats if f[1] == lang and not f[4] and f[at] is not None]
+        if not held:
+            return None
+        middle = [sorted(x)[-(-len(x) // 2) - 1] for x in zip(*held)]
+        return [x / sum(middle) for x in middle]
+
+    def distance(p, r):
+        part = lambda a, b: a * np.log2(2 * a / (a + b)) if a > 0 else 0.0
+        return np.sqrt(max(0.0, sum(part(a, b) + part(b, a) for a, b in zip(p, r)) / 2))
+
+    refs = {(lang, at): reference(lang, at) for lang in {f[1] for f in feats} for at in (5, 6)}
+    out = {}
+    for doc_id, lang, chars, n, failed, classes, common in feats:
+        c = distance(classes, refs[lang, 5]) if chars >= q.MIN_CHARS and classes and refs[lang, 5] else None
+        w = distance(common, refs[lang, 6]) if n >= q.MIN_JUDGED_WORDS and common and refs[lang, 6] else None
+        out[doc_id] = (c, w, not failed and (c or 0) <= q.MAX_CLASS_DISTANCE and (w or 0) <= q.MAX_WORD_DISTANCE)
+    return out
+
+
+def test_quality_verdicts_match_brute_force(spark):
+    from tidemark.llm import quality
+
+    rows = [*ROWS, (70_000, ROWS[0][1].upper() * 3, "en", "a", None), (70_001, "zq! " * 200, "de", "a", None)]
+    want = plain_verdicts(rows)
+    got = quality.quality(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        c, w, kept = want[r["doc_id"]]
+        assert r["kept"] == kept, r
+        for a, b in ((r["class_distance"], c), (r["word_distance"], w)):
+            assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, abs=1e-9)), r
+    assert not all(x[2] for x in want.values()) and any(x[2] for x in want.values())
+    doubled = quality.quality(frame(spark, rows + rows)).collect()
+    assert len(doubled) == 2 * len(rows) and quality.quality(frame(spark, [])).count() == 0
+
+
 def test_quality_finds_junk_and_keeps_prose(spark):
     from tidemark.llm import quality
     from tidemark.llm.common import table

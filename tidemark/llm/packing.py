@@ -6,7 +6,9 @@ if another is needed, the fullest closes first. Bins that are still open at a pa
 themselves as wholes, in groups of a bounded number of bins, so partitions leave no half-empty sequences behind.
 
 Only documents of more than 4096 tokens are cut. A null or empty text is its end id alone. Repeated rows are packed each
-(their pieces are alike), null ids are carried through, and an empty table gives no rows. Other columns are ignored.
+(their pieces are alike), null ids are carried through, and an empty table gives no rows. Texts are encoded whole, however long.
+``pieces`` ignores columns other than doc_id and text, whatever their names; ``pack`` keeps those of its input, which must not
+be named bin, place, used, sequence_id or offset.
 """
 
 from __future__ import annotations

@@ -6,7 +6,10 @@ base rules, by the Jensen-Shannon distance (base 2, so 0 to 1). A document is re
 short documents, whose histograms are noise, are guarded by a minimum length and not judged by that distance.
 
 Null or empty texts have no words and fail the base rules. A language that is null or has no word list here shares one
-pooled reference of character classes and is not judged by common words. Repeated rows are judged alike.
+pooled reference of character classes and is not judged by common words. Repeated rows, also whole ones, count each in the
+reference and are judged alike. Texts are judged whole, however long. An empty table gives no rows; where no document of a
+language passes the base rules, nothing is judged by distance. Only the columns in ``keep`` come along: those of other names
+can't clash, and ``keep`` must not name one of this module's own.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ def op2_mtree_topk(spark, sf_dir):
 
 
 def op3_hpy_scores(spark, sf_dir):
-    return hpy_model.score(table(spark, sf_dir, "documents"))
+    df = hpy_model.score(table(spark, sf_dir, "documents"))
+    return df.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def op4_quality_divergence(spark, sf_dir):

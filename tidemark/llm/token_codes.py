@@ -11,7 +11,8 @@ with a null mask (u8), document ends (u32); then for each level its number of ch
 tokens before the segment.
 
 A null text is empty (only the end id is written); a null doc_id comes first; equal ids go by a hash of their texts;
-repeated rows are kept; an empty table gives a table without rows. Other columns are ignored.
+repeated rows are kept; an empty table gives a table without rows. Texts are encoded whole, however long: a document of more
+tokens than a segment's share is a segment of its own. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
