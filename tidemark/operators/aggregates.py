@@ -141,9 +141,9 @@ def match_report(spark, sf_dir):
 
 
 @query(
-    f"""WITH t AS (SELECT a.key, a.card, CASE WHEN s.grade = a.grade AND s.grader = a.grader THEN 1 WHEN s.grade = a.grade THEN 2 ELSE 3 END AS tier, s.price FROM (SELECT DISTINCT key, card, rarity, grader, grade FROM market WHERE basis = 'ask') a JOIN (SELECT card, rarity, grader, grade, price FROM market WHERE basis = 'sold') s ON a.card = s.card AND a.rarity = s.rarity),
+    f"""WITH t AS (SELECT a.key, a.card, CASE WHEN s.grade = a.grade AND s.grader = a.grader AND s.rarity = a.rarity THEN 1 WHEN s.grade = a.grade AND s.rarity = a.rarity THEN 2 WHEN s.rarity = a.rarity THEN 3 ELSE 4 END AS tier, s.price, s.site FROM (SELECT DISTINCT key, card, rarity, grader, grade FROM market WHERE basis = 'ask') a JOIN (SELECT card, rarity, grader, grade, price, site FROM market WHERE basis = 'sold') s ON a.card = s.card),
 b AS (SELECT *, min(tier) OVER (PARTITION BY key) AS best FROM t)
-SELECT key, card, best AS tier, count(*) AS n, {r("median(price)", 6)} AS median_price FROM b WHERE tier = best GROUP BY key, card, best""",
+SELECT key, card, best AS tier, count(*) AS n, count(DISTINCT site) AS venues, {r("median(price)", 6)} AS median_price FROM b WHERE tier = best GROUP BY key, card, best""",
     "market",
 )
 def comparables_best_tier(spark, sf_dir):
@@ -153,7 +153,8 @@ def comparables_best_tier(spark, sf_dir):
     """
     m = market(spark, sf_dir)
     out, sold = m.where("basis = 'ask'").select("key", "card", "rarity", "grader", "grade").distinct(), m.where("basis = 'sold'")
-    for tier, keys in enumerate((["card", "rarity", "grader", "grade"], ["card", "rarity", "grade"], ["card", "rarity"]), 1):
-        out = out.join(sold.groupBy(*keys).agg(F.count("*").alias(f"n{tier}"), F.expr("percentile(price, 0.5)").alias(f"m{tier}")), keys, "left")
-    tier = F.when(F.col("n1").isNotNull(), 1).when(F.col("n2").isNotNull(), 2).when(F.col("n3").isNotNull(), 3)
-    return out.select("key", "card", tier.alias("tier"), F.coalesce("n1", "n2", "n3").alias("n"), rounded(F.coalesce("m1", "m2", "m3"), 6).alias("median_price")).where("tier IS NOT NULL")
+    for tier, keys in enumerate((["card", "rarity", "grader", "grade"], ["card", "rarity", "grade"], ["card", "rarity"], ["card"]), 1):
+        out = out.join(sold.groupBy(*keys).agg(F.count("*").alias(f"n{tier}"), F.count_distinct("site").alias(f"v{tier}"), F.expr("percentile(price, 0.5)").alias(f"m{tier}")), keys, "left")
+    first = lambda x: F.coalesce(*[f"{x}{k}" for k in range(1, 5)])
+    tier = F.coalesce(*[F.when(F.col(f"n{k}").isNotNull(), k) for k in range(1, 5)])
+    return out.select("key", "card", tier.alias("tier"), first("n").alias("n"), first("v").alias("venues"), rounded(first("m"), 6).alias("median_price")).where("tier IS NOT NULL")

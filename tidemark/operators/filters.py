@@ -124,16 +124,18 @@ def departure_verdict(spark, sf_dir):
 
 
 @query(
-    f"""WITH s AS (SELECT card, rarity, grade, count(*) AS n, quantile_cont(price, 0.25) AS lo, quantile_cont(price, 0.75) AS hi FROM market WHERE basis = 'sold' GROUP BY ALL)
-SELECT DISTINCT a.key, CASE WHEN n IS NULL OR n < 10 THEN 'insufficient_data' WHEN price <= lo * 0.9::DOUBLE THEN 'buy' WHEN price <= hi THEN 'fair' ELSE 'too_dear' END AS verdict, {r("price / hi", 4)} AS against_high FROM market a LEFT JOIN s USING (card, rarity, grade) WHERE basis = 'ask'""",
+    f"""WITH s AS (SELECT card, rarity, grade, count(*) AS n, quantile_cont(price, 0.25) AS lo, quantile_cont(price, 0.65) AS likely, quantile_cont(price, 0.75) AS hi FROM market WHERE basis = 'sold' GROUP BY ALL)
+SELECT DISTINCT a.key, CASE WHEN n IS NULL OR n < 10 THEN 'insufficient_data' WHEN price <= lo * 0.9::DOUBLE THEN 'buy' WHEN price <= likely THEN 'fair' WHEN price <= hi THEN 'unlikely' ELSE 'too_dear' END AS verdict, {r("price / hi", 4)} AS against_high FROM market a LEFT JOIN s USING (card, rarity, grade) WHERE basis = 'ask'""",
     "market",
 )
 def decide_verdict(spark, sf_dir):
-    """Enough data first, then the price against the interval."""
+    """Enough data first, then the price against the interval; inside it, a price that fewer than 35 % of the sales reach is unlikely
+    to be worth it."""
     m = market(spark, sf_dir)
-    s = m.where("basis = 'sold'").groupBy("card", "rarity", "grade").agg(F.count("*").alias("n"), F.expr("percentile(price, 0.25)").alias("lo"), F.expr("percentile(price, 0.75)").alias("hi"))
+    s = m.where("basis = 'sold'").groupBy("card", "rarity", "grade").agg(F.count("*").alias("n"), F.expr("percentile(price, array(0.25, 0.65, 0.75))").alias("q"))
+    s = s.select("card", "rarity", "grade", "n", F.col("q")[0].alias("lo"), F.col("q")[1].alias("likely"), F.col("q")[2].alias("hi"))
     df = m.where("basis = 'ask'").join(s, ["card", "rarity", "grade"], "left")
-    v = F.when(F.col("n").isNull() | (F.col("n") < 10), "insufficient_data").when(F.col("price") <= F.col("lo") * 0.9, "buy").when(F.col("price") <= F.col("hi"), "fair").otherwise("too_dear")
+    v = F.when(F.col("n").isNull() | (F.col("n") < 10), "insufficient_data").when(F.col("price") <= F.col("lo") * 0.9, "buy").when(F.col("price") <= F.col("likely"), "fair").when(F.col("price") <= F.col("hi"), "unlikely").otherwise("too_dear")
     return df.select("key", v.alias("verdict"), rounded(F.col("price") / F.col("hi"), 4).alias("against_high")).distinct()
 
 

@@ -114,14 +114,24 @@ def conformal_quantiles(spark, sf_dir):
     return conformal(residuals(samples(spark, sf_dir)))
 
 
-@query(f"WITH {_RES}, a AS ({_conformal_sql('')}), b AS ({_conformal_sql('bucket, ')}) SELECT bucket, b.n, CASE WHEN b.n >= 30 THEN least(b.lo, a.lo) ELSE a.lo END AS lo, CASE WHEN b.n >= 30 THEN b.hi ELSE a.hi END AS hi, CASE WHEN b.n >= 30 THEN 'group' ELSE 'global' END AS source FROM b CROSS JOIN a", "market")
+MIN_GROUP = 30
+
+
+@query(
+    f"""WITH {_RES}, a AS ({_conformal_sql('')}), b AS ({_conformal_sql('bucket, ')}), c AS ({_conformal_sql('site, bucket, ')}), u AS (SELECT c.site, c.bucket, c.n, CASE WHEN c.n >= {MIN_GROUP} THEN 'market' WHEN b.n >= {MIN_GROUP} THEN 'bucket' ELSE 'global' END AS source, c.lo AS lo1, c.hi AS hi1, b.lo AS lo2, b.hi AS hi2, a.lo AS lo3, a.hi AS hi3 FROM c JOIN b USING (bucket) CROSS JOIN a)
+SELECT site, bucket, n, source, least(lo3, CASE source WHEN 'market' THEN lo1 WHEN 'bucket' THEN lo2 ELSE lo3 END) AS lo, CASE source WHEN 'market' THEN hi1 WHEN 'bucket' THEN hi2 ELSE hi3 END AS hi FROM u""",
+    "market",
+)
 def group_conformal(spark, sf_dir):
-    """Quantiles of each count bucket from 30 residuals on, else the global ones; never a higher lower bound than those."""
+    """Quantiles of the finest rung with 30 residuals: market and count bucket, then the bucket, then all; the lower bound is never
+    above the global one."""
     res = residuals(samples(spark, sf_dir))
-    a = conformal(res).select(F.col("lo").alias("glo"), F.col("hi").alias("ghi"))
-    b = conformal(res, "bucket").crossJoin(F.broadcast(a))  # one row
-    own = F.col("n") >= 30
-    return b.select("bucket", "n", F.when(own, F.least("lo", "glo")).otherwise(F.col("glo")).alias("lo"), F.when(own, F.col("hi")).otherwise(F.col("ghi")).alias("hi"), F.when(own, "group").otherwise("global").alias("source"))
+    a = conformal(res).select(F.col("lo").alias("lo3"), F.col("hi").alias("hi3"))
+    b = conformal(res, "bucket").select("bucket", F.col("n").alias("n2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    u = conformal(res, "site", "bucket").join(b, "bucket").crossJoin(F.broadcast(a))  # one row
+    source = F.when(F.col("n") >= MIN_GROUP, "market").when(F.col("n2") >= MIN_GROUP, "bucket").otherwise("global")
+    pick = lambda x: F.when(source == "market", F.col(x)).when(source == "bucket", F.col(f"{x}2")).otherwise(F.col(f"{x}3"))
+    return u.select("site", "bucket", "n", source.alias("source"), F.least("lo3", pick("lo")).alias("lo"), pick("hi").alias("hi"))
 
 
 @query(f"WITH {_RES} SELECT bucket, step / 10.0::DOUBLE AS log_room, {r('count(*) FILTER (res > step / 10.0::DOUBLE) / CAST(count(*) AS DOUBLE)', 6)} AS p_worth FROM res CROSS JOIN range(-5, 6) AS t(step) GROUP BY bucket, step", "market")
