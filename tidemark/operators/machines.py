@@ -54,6 +54,58 @@ def alert_machine(spark, sf_dir):
     return alert_machine_of(o.select("site", "day", F.when(F.col("level") > 58, 2).when(F.col("level") > 50, 1).otherwise(0).alias("severity")))
 
 
+#: Crashes, stalls and blocked runs in a row after which a shard is skipped.
+LIMITS = {"crash": 2, "stall": 3, "blocked": 3}
+
+
+def shard_cursor_of(runs: DataFrame) -> DataFrame:
+    """Where each source's cursor stands after its runs (site, day, outcome: success, crash, stall or blocked).
+
+    A success moves the cursor on and forgets the failures; a kind of failure that reaches its limit skips the shard. A fold over
+    the source's runs in order, one entry for each day.
+    """
+    days = runs.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("day", "outcome"))).alias("days"))
+    zero = F.struct(F.lit(0).cast("long").alias("cursor"), F.lit(0).cast("long").alias("skipped"), *[F.lit(0).alias(k) for k in LIMITS])
+
+    def step(s, x):
+        counts = {k: s[k] + (x["outcome"] == k).cast("int") for k in LIMITS}
+        over = F.lit(False)
+        for k, n in LIMITS.items():
+            over = over | (counts[k] >= n)
+        on = (x["outcome"] == "success") | over
+        kept = [F.when(on, 0).otherwise(counts[k]).alias(k) for k in LIMITS]
+        return F.struct((s["cursor"] + on.cast("long")).alias("cursor"), (s["skipped"] + over.cast("long")).alias("skipped"), *kept)
+
+    end = F.aggregate("days", zero, step)
+    return days.select("site", F.size("days").cast("long").alias("runs"), end["cursor"].alias("cursor"), end["skipped"].alias("skipped"), *[end[k].alias(f"{k}s") for k in LIMITS])
+
+
+_OVER = " OR ".join(f"w.{k} + CASE WHEN outcome = '{k}' THEN 1 ELSE 0 END >= {n}" for k, n in LIMITS.items())
+
+
+@query(
+    f"""WITH RECURSIVE f AS (SELECT site, day, outcome, row_number() OVER (PARTITION BY site ORDER BY day) AS i FROM (SELECT event_type AS site, CAST(floor(floor(epoch(ts)) / 86400) AS BIGINT) AS day, CASE WHEN sum(event_id) % 5 < 2 THEN 'success' WHEN sum(event_id) % 5 = 2 THEN 'crash' WHEN sum(event_id) % 5 = 3 THEN 'stall' ELSE 'blocked' END AS outcome FROM events GROUP BY ALL)),
+w AS (SELECT site, 0::BIGINT AS i, 0::BIGINT AS cursor, 0::BIGINT AS skipped, {', '.join(f'0 AS {k}' for k in LIMITS)} FROM (SELECT DISTINCT site FROM f)
+UNION ALL SELECT w.site, f.i, w.cursor + CASE WHEN outcome = 'success' OR {_OVER} THEN 1 ELSE 0 END, w.skipped + CASE WHEN {_OVER} THEN 1 ELSE 0 END, {', '.join(f"CASE WHEN outcome = 'success' OR {_OVER} THEN 0 ELSE w.{k} + CASE WHEN outcome = '{k}' THEN 1 ELSE 0 END END" for k in LIMITS)} FROM w JOIN f ON f.site = w.site AND f.i = w.i + 1)
+SELECT site, max(i) AS runs, arg_max(cursor, i) AS cursor, arg_max(skipped, i) AS skipped, {', '.join(f'CAST(arg_max({k}, i) AS INT) AS {k}s' for k in LIMITS)} FROM w GROUP BY site"""
+)
+def shard_cursor_log(spark, sf_dir):
+    """Cursors of the sources with crashes, stalls and blocks accounted for."""
+    o = observed(spark, sf_dir).groupBy("site", "day").agg((F.sum("event_id") % 5).alias("x"))
+    x = F.col("x")
+    return shard_cursor_of(o.select("site", "day", F.when(x < 2, "success").when(x == 2, "crash").when(x == 3, "stall").otherwise("blocked").alias("outcome")))
+
+
+@query("WITH k AS (SELECT key, max(event_id) AS last_id FROM observed GROUP BY key), m AS (SELECT max(day) AS now FROM observed) SELECT site, CASE WHEN event_id = last_id THEN 'kept_as_latest' WHEN day >= now - 7 THEN 'kept_as_recent' ELSE 'pruned' END AS fate, count(*) AS n FROM observed JOIN k USING (key) CROSS JOIN m GROUP BY ALL", "observed")
+def prune_obs(spark, sf_dir):
+    """What retention keeps: the last sighting of every key whatever its age, and a week of all others."""
+    df = observed(spark, sf_dir)
+    last = df.groupBy("key").agg(F.max("event_id").alias("last_id"))
+    df = df.join(last, "key").crossJoin(F.broadcast(df.agg(F.max("day").alias("now"))))  # one row
+    fate = F.when(F.col("event_id") == F.col("last_id"), "kept_as_latest").when(F.col("day") >= F.col("now") - 7, "kept_as_recent").otherwise("pruned")
+    return df.groupBy("site", fate.alias("fate")).agg(F.count("*").alias("n"))
+
+
 HEALTHY = 3
 
 

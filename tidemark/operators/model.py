@@ -146,7 +146,11 @@ def p_worth(spark, sf_dir):
 
 @query(f"WITH {_RES}, a AS ({_conformal_sql('')}) SELECT site, res.bucket, count(*) AS n, {r('count(*) FILTER (res BETWEEN a.lo AND a.hi) / CAST(count(*) AS DOUBLE)', 4)} AS coverage, {r('count(*) FILTER (res < a.lo) / CAST(count(*) AS DOUBLE)', 4)} AS lower_tail FROM res CROSS JOIN a GROUP BY site, res.bucket", "market")
 def coverage_by_group(spark, sf_dir):
-    """How often the interval holds, and how often the price is under it, by market and bucket."""
+    """How often the interval holds, and how often the price is under it, by market and bucket.
+
+    All together it holds by construction, as these residuals have set it; ``coverage_hash_folds`` and ``coverage_time_split`` measure
+    it on sales that had no part in it.
+    """
     res = residuals(samples(spark, sf_dir))
     df = res.crossJoin(F.broadcast(conformal(res).select("lo", "hi")))  # one row
     share = lambda c: rounded(F.count_if(c) / F.count("*").cast("double"), 4)
