@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from weakref import WeakKeyDictionary
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,7 +95,10 @@ def worker_cache(owner: str) -> dict:
     """A dict that this Python worker keeps between tasks, until another operator asks for one: workers are reused, and what all
     operators remember would add up."""
     if owner not in _caches:
-        _caches.clear()
+        if _caches:
+            _caches.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
         _caches[owner] = {}
     return _caches[owner]
 

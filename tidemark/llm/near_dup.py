@@ -47,7 +47,8 @@ MEMBERS = 64  # of one leader, compared by one run of sets
 SALTS = 32  # over which the members of a leader with more than that are dealt
 FEW = 64  # documents that meet at a shingle and are paired there
 SLOTS = 1 << 20  # counters of frequent shingles
-OFTEN = 8  # times in one batch of documents from which a shingle is counted
+CHUNK = 1000  # documents whose sets a task holds at once
+OFTEN = 6  # of them that hold a shingle from which on it is counted
 U64 = np.uint64
 
 
@@ -61,7 +62,7 @@ class _Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < 150_000:
             self[word] = value
         return value
 
@@ -268,15 +269,14 @@ def links_among(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> lis
 
 
 def _frequencies(open_docs: DataFrame, shingle: int) -> np.ndarray:
-    """How often shingles occur, by slots of their hashes; those that are rare in every batch count as 0."""
+    """How often shingles occur, by slots of their hashes; those that are rare in every chunk count as 0."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            h, n = np.unique(np.concatenate([np.zeros(0, U64), *(shingle_set(x, shingle) for x in batch["text"])]), return_counts=True)
-            slot = (h[n >= OFTEN] % U64(SLOTS)).astype(np.int64)
-            n = np.bincount(slot, n[n >= OFTEN], SLOTS).astype(np.int64)
-            slot = np.flatnonzero(n)
-            yield pd.DataFrame({"slot": slot, "n": n[slot]})
+            for at in range(0, len(batch), CHUNK):
+                h, n = np.unique(np.concatenate([shingle_set(x, shingle) for x in batch["text"].iloc[at : at + CHUNK]]), return_counts=True)
+                often = n >= OFTEN
+                yield pd.DataFrame({"slot": (h[often] % U64(SLOTS)).astype(np.int64), "n": n[often]})
 
     found = open_docs.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
     out = np.zeros(SLOTS, np.int32)
@@ -288,15 +288,16 @@ def _dealt(open_docs: DataFrame, often: np.ndarray, shingle: int, percent: int)
     """A row for each document and each shingle at which it meets those that it could be linked with."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_set(x, shingle) for x in batch["text"]]
-            first = []
-            for h in sets:  # any order that all documents share will do; the rarest come first, so few meet
-                by = np.lexsort((h, often[(h % U64(SLOTS)).astype(np.int64)]))
-                first.append(h[by[: len(h) - (percent * len(h) + 99) // 100 + 1]].view(np.int64))
-            at = np.repeat(np.arange(len(sets)), [len(x) for x in first])
-            n = np.array([len(x) for x in sets], np.int64)
-            yield pd.DataFrame({"at": np.concatenate([np.zeros(0, np.int64), *first]), "id": batch["id"].to_numpy()[at], "component": batch["component"].to_numpy()[at], "n": n[at]})
+        for whole in batches:
+            for start in range(0, len(whole), CHUNK):
+                batch, first, n = whole.iloc[start : start + CHUNK], [], []
+                for x in batch["text"]:  # any order that all documents share will do; the rarest come first, so few meet
+                    h = shingle_set(x, shingle)
+                    by = np.lexsort((h, often[(h % U64(SLOTS)).astype(np.int64)]))
+                    first.append(h[by[: len(h) - (percent * len(h) + 99) // 100 + 1]].view(np.int64))
+                    n.append(len(h))
+                at = np.repeat(np.arange(len(n)), [len(x) for x in first])
+                yield pd.DataFrame({"at": np.concatenate(first), "id": batch["id"].to_numpy()[at], "component": batch["component"].to_numpy()[at], "n": np.array(n, np.int64)[at]})
 
     return open_docs.select("id", "component", "text").mapInPandas(deal, "at long, id long, component long, n long")
 
