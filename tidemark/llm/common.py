@@ -46,6 +46,22 @@ def _place(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+#: Rows that go to a Python worker at once: whole texts are large, and JVM and worker each hold a batch.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_BATCH)
+    try:
+        if not 0 < int(before) <= BATCH_ROWS:
+            spark.conf.set(_BATCH, str(BATCH_ROWS))
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut and every later read sees the same rows.
 
@@ -53,7 +69,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     files, at = _place(spark, path)
     files.deleteOnExit(at)
     out = spark.read.schema(schema).parquet(path)

@@ -23,7 +23,7 @@ from tidemark.llm.common import worker_cache
 _CUT = re.compile(r" (?=\S)")
 _RUN = re.compile(r" (?:\s|\Z)")
 _BLANK = re.compile(r"\s")
-MOST_CACHED = 100_000  # parts, and half as many words
+MOST_CACHED = 300_000  # parts
 
 
 def _byte_letters() -> list[str]:
@@ -40,29 +40,13 @@ def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-class _Words(dict):
-    """Ids of single words, as the model gives them."""
-
-    def __init__(self, encoder: Encoder, before: str):
-        super().__init__()
-        self.encoder, self.before = encoder, before
-
-    def __missing__(self, word: str) -> bytes:
-        e = self.encoder
-        text = self.before + (word if word.isascii() else "".join(_LETTER[b] for b in word.encode()))
-        ids = _packed([t.id for t in e.model.tokenize(text)])
-        if len(self) < MOST_CACHED // 2:
-            self[word] = ids
-        return ids
-
-
 class _Parts(dict):
     """Ids of parts; ``spaced``: of the part with a space before it."""
 
     def __init__(self, encoder: Encoder, spaced: bool):
         super().__init__()
         self.encoder, self.before = encoder, " " if spaced else ""
-        self.words = _Words(encoder, _LETTER[32] if spaced else "")
+        self.first = _LETTER[32] if spaced else ""
 
     def _plain(self, part: str) -> bytes | None:
         """A word of Latin letters with marks after it, if the part is that."""
@@ -74,7 +58,10 @@ class _Parts(dict):
             if not core.isascii() and not (low.isalpha() and len(low) == len(core) and unicodedata.is_normalized("NFC", part)):
                 return None
             core, part = low, low + part[len(core) :]
-        return self.words[core] + (self.encoder.marks[part[len(core) :]] if len(part) > len(core) else b"")
+        if len(part) > len(core):
+            return self[core] + self.encoder.marks[part[len(core) :]]
+        text = self.first + (core if core.isascii() else "".join(_LETTER[b] for b in core.encode()))
+        return _packed([t.id for t in self.encoder.model.tokenize(text)])
 
     def __missing__(self, part: str) -> bytes:
         e = self.encoder
