@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import hpy_model, metric_tree, mixing, near_dup, packing, quality, secrets, sharding, token_codes, toxicity
+from tidemark.llm import fast_quality, hpy_model, importance, metric_tree, mixing, near_dup, packing, quality, secrets, sharding, spelling, token_codes, toxicity
 from tidemark.llm.common import id_hash, table
 
 
@@ -54,5 +54,19 @@ def op10_hyperminhash(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_spans, op2_mtree_topk, op3_hpy_scores, op4_quality_divergence, op5_histogram_shards, op6_token_codes, op7_best_fit_packing, op8_pareto_mix, op9_nearest_toxic, op10_hyperminhash)}
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_subword_quality(spark, sf_dir):
+    df = fast_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held_out = F.pmod(id_hash(F.col("doc_id")), F.lit(5)) == 0
+    return df.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_spans, op2_mtree_topk, op3_hpy_scores, op4_quality_divergence, op5_histogram_shards, op6_token_codes, op7_best_fit_packing, op8_pareto_mix, op9_nearest_toxic, op10_hyperminhash, op11_spelling_variants, op12_importance_resampling, op13_subword_quality)}
 SQL = {"op8_pareto_mix": mixing.ORACLE}
