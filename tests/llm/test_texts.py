@@ -1,6 +1,7 @@
 """Operators on single texts: secrets, quality, tokens, packing."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -44,6 +45,54 @@ def test_novelty_tells_random_strings_from_names():
     assert secrets.redact_text(None) is None and secrets.redact_text("") == ""
 
 
+@pytest.mark.parametrize("apart", [10, 100, 385, 399, 410, 5000])
+def test_repeated_keys_are_found_at_every_place(apart):
+    from tidemark.llm import secrets
+
+    rng = random.Random(apart)
+    key, plain = "Zq8Rk2Lw9Xv4Tn7Bm3Pc6Hd1", "the river went on and people read of it in town ".split()
+    fill = " ".join(rng.choice(plain) for _ in range(2 * apart))[: max(0, apart - 9)]
+    text = f"the client id was {key} {fill} bearer {key} and so on, client_id={key}"
+    want = [(m.start(), m.end()) for m in re.finditer(key, text)]
+    assert [(s["start"], s["end"]) for s in secrets.find_spans(text) if s["kind"] == "novel"] == want and len(want) == 3
+    assert key not in secrets.redact_text(text)
+
+
+def plain_novel(text):
+    """Spans by the definition: every candidate measured with the other copies of it blanked in the whole text."""
+    from tidemark.llm import secrets as s
+
+    def share(a, b):
+        token = text[a:b]
+        blank = text[:a].replace(token, " " * len(token))[-s.AROUND :] + text[b:].replace(token, " " * len(token))[: s.AROUND]
+        size = lambda x: len(s._compressor(()).compress(x.encode("utf-8", "surrogatepass")))
+        return (size(blank + token) - size(blank)) / len(token)
+
+    found = s.candidates(text, s.known_spans(text))
+    least = lambda t: s.MIN_SHARE if re.search("[0-9]", t) and re.search("[A-Za-z]", t) else s.MIN_SHARE_PLAIN
+    novel = {text[a:b] for a, b in found if share(a, b) >= least(text[a:b])}
+    return [(a, b) for a, b in found if text[a:b] in novel]
+
+
+def test_added_spans_equal_plain_measures():
+    from tidemark.llm import secrets
+
+    rng = random.Random(8)
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    names = ["application.server.config.value", "handler_of_the_request_body", "0123456789012345678901"]
+    found = 0
+    for _ in range(150):
+        keys = ["".join(rng.choice(letters) for _ in range(rng.randint(16, 40))) for _ in range(2)] + names
+        parts = []
+        for _ in range(rng.randint(2, 12)):
+            parts += [rng.choice(["bearer", "the secret of", "client_id=", "token", "words", "private key:", "pwd."]), rng.choice(keys), " ".join(rng.choice("on and off the wide road".split()) for _ in range(rng.randint(0, 90)))]
+        text = rng.choice([" ", "\n"]).join(parts)
+        got = [(s["start"], s["end"]) for s in secrets.find_spans(text) if s["kind"] == "novel"]
+        assert got == plain_novel(text)
+        found += len(got)
+    assert found > 300
+
+
 def test_secret_scan_of_long_texts_is_linear():
     import time
 

@@ -138,3 +138,14 @@ def n_words(text: Column) -> Column:
 def id_hash(doc_id: Column) -> Column:
     """crc32 of the id written as text (a null id counts as an empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text's UTF-8 bytes: the least bit of each byte comes first."""
+    bits = f"list_transform(range(8 * strlen({text})), lambda i: (('0x' || substr(hex({text}), 2 * (i // 8) + 1, 2))::BIGINT >> (i % 8)) & 1)"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))))"
+
+
+def sql_lower(text: str) -> str:
+    """DuckDB SQL for a text with A-Z in lower case."""
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

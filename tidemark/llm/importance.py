@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stash
+from tidemark.llm.common import sql_crc32, sql_lower, stash
 
 BUCKETS, LEAST_WORDS, PERCENT, SEED = 10_000, 20, 25, 7
 BLOCK_BYTES = 8 << 20
@@ -148,3 +148,21 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, seed: i
     gain = gains(source, features(target.select(F.lit(None).cast("long").alias("doc_id"), "text")))
     scored = stash(weighted(source, gain).withColumn("score", F.col("weight") + noise(seed)), "importance-scores")
     return drawn(scored, percent).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: DuckDB SQL of the query.
+ORACLE = f"""
+WITH split AS (SELECT 0 AS side, doc_id, row_number() OVER () AS row, list_filter(regexp_split_to_array({sql_lower("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM documents
+UNION ALL SELECT 1, NULL, row_number() OVER (), list_filter(regexp_split_to_array({sql_lower("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') FROM benchmark),
+f AS (SELECT side, row, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature FROM split),
+n AS (SELECT side, row, feature, count(*) AS n FROM f GROUP BY ALL),
+b AS (SELECT feature, {sql_crc32("feature")} % 10000 AS bucket FROM (SELECT DISTINCT feature FROM n)),
+c AS (SELECT bucket, sum(CASE WHEN side = 0 THEN n ELSE 0 END) AS s, sum(CASE WHEN side = 1 THEN n ELSE 0 END) AS t FROM n JOIN b USING (feature) GROUP BY bucket),
+a AS (SELECT coalesce(sum(s), 0)::DOUBLE AS all_s, coalesce(sum(t), 0)::DOUBLE AS all_t FROM c),
+g AS (SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (all_s + 10000) / ((s + 1.0::DOUBLE) * (all_t + 10000))))::BIGINT AS gain FROM c, a),
+d AS (SELECT row, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM n JOIN b USING (feature) JOIN g USING (bucket) WHERE side = 0 GROUP BY row),
+h AS (SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM split LEFT JOIN d USING (row) WHERE side = 0),
+x AS (SELECT doc_id, n_words, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS able FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= floor(25 * able / 100) THEN place END AS rank FROM r
+"""

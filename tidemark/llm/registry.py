@@ -69,4 +69,4 @@ def op13_subword_quality(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_spans, op2_mtree_topk, op3_hpy_scores, op4_quality_divergence, op5_histogram_shards, op6_token_codes, op7_best_fit_packing, op8_pareto_mix, op9_nearest_toxic, op10_hyperminhash, op11_spelling_variants, op12_importance_resampling, op13_subword_quality)}
-SQL = {"op8_pareto_mix": mixing.ORACLE}
+SQL = {"op8_pareto_mix": mixing.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_importance_resampling": importance.ORACLE}

@@ -5,7 +5,8 @@ that follows a sensitive word closely is a candidate. Its novelty is measured, n
 by which the compressed size grows when the candidate is added to the text around it, with a compressor primed by two
 dictionaries: common words and code words (fixed), and the identifiers that the corpus itself uses most (``identifiers``).
 Prose, paths, repeated names and version numbers cost a few bytes; random strings cost most of their length and are
-reported as kind ``novel``. Candidates that overlap a known shape are not reported twice.
+reported as kind ``novel``. Copies of a candidate in the text around don't count against it, and equal strings fare alike.
+Candidates that overlap a known shape are not reported twice.
 
 Null texts are empty; offsets are code points, end exclusive. Texts are scanned whole and in linear time, however long
 they are. Rows are scanned independently, so repeated rows give equal results and an empty table gives no rows. Spans that
@@ -15,6 +16,7 @@ start at one place are ordered by kind as listed. Columns other than doc_id and
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,6 +38,8 @@ SENSITIVE = re.compile(r"(?ai:pass(?:word|wd|phrase)?|pwd|secret|token|api[ _-]?
 DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "authorization", "bearer", "client")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+#: Between a sensitive word and its key within one run, and before a key at the start of a run.
+JOINED, EQUALS = re.compile(r"[=._~-]*"), re.compile("=*")
 LEAST = 16  # characters of a candidate
 #: Identifiers are words joined by _ . / - or by case; they hold no digits, so keys that leak often don't become one.
 IDENTIFIER = r"\b(?:[A-Za-z]{2,}(?:[_./-][A-Za-z]{2,})+|[a-z]+(?:[A-Z][a-z]+)+)\b"
@@ -79,10 +83,16 @@ def _compressor(names: tuple[str, ...]) -> zstandard.ZstdCompressor:
 
 
 def marginal_bytes(text: str, start: int, end: int, names: tuple[str, ...] = ()) -> int:
-    """Compressed bytes that text[start:end] adds to the text around it."""
-    around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).encode("utf-8", "surrogatepass")
+    """Compressed bytes that text[start:end] adds to the text around it, in which its own copies are blanked.
+
+    Copies that reach over the edge of the text around are whole in the wider cut and go before it is trimmed.
+    """
+    token, size = text[start:end], end - start
+    before = text[max(0, start - AROUND - size) : start].replace(token, " " * size)[-AROUND:]
+    after = text[end : end + AROUND + size].replace(token, " " * size)[:AROUND]
+    around = (before + after).encode("utf-8", "surrogatepass")
     z = _compressor(names)
-    return len(z.compress(around + text[start:end].encode())) - len(z.compress(around))
+    return len(z.compress(around + token.encode())) - len(z.compress(around))
 
 
 def known_spans(text: str) -> list[tuple[int, int, int]]:
@@ -101,11 +111,11 @@ def known_spans(text: str) -> list[tuple[int, int, int]]:
 LONG_HEX = re.compile(rf"[0-9a-f]{{{MIN_HEX},}}")
 
 
-def novel_spans(text: str, known: list[tuple[int, int, int]], names: tuple[str, ...] = ()) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of incompressible strings after sensitive words, apart from the known shapes.
+def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of strings after sensitive words, apart from the known shapes.
 
-    A run of key characters is a candidate once: as a whole, if a sensitive word ends closely before it, or else from the
-    end of the first sensitive word in it.
+    A run of key characters is a candidate once: from the end of the last sensitive word in it that leaves enough, or else as
+    a whole, if a sensitive word ends closely before it. What joins a word to its key isn't part of the key.
     """
     low = text.lower()
     if not any(k in low for k in HINTS):
@@ -113,33 +123,44 @@ def novel_spans(text: str, known: list[tuple[int, int, int]], names: tuple[str,
     ends = [m.end() for m in SENSITIVE.finditer(text)]
     if not ends:
         return []
-    out, w, shape, last = [], 0, 0, 0
+    out, shape, last = [], 0, 0
     for run in CANDIDATE.finditer(text):
         start, end = run.span()
-        while w < len(ends) and ends[w] < start - NEAR:
-            w += 1
-        if w == len(ends):
-            break
-        start = max(start, ends[w])
+        inside = bisect_right(ends, end - LEAST) - 1
+        if inside >= 0 and ends[inside] > start:
+            start = JOINED.match(text, ends[inside]).end()
+        elif ends[0] <= start and ends[bisect_right(ends, start) - 1] >= start - NEAR:
+            start = EQUALS.match(text, start).end()
+        else:
+            continue
         if end - start < LEAST:
             continue
         # Known shapes come by start; ``last`` is the furthest end of those that start before this candidate's end.
         while shape < len(known) and known[shape][0] < end:
             last = max(last, known[shape][2])
             shape += 1
-        token = text[start:end]
-        least = MIN_SHARE if DIGIT.search(token) and LETTER.search(token) else MIN_SHARE_PLAIN
-        if last <= start and marginal_bytes(text, start, end, names) >= least * len(token):
-            out.append((start, 3, end))
+        if last <= start:
+            out.append((start, end))
     return out
 
 
+def novel_spans(text: str, known: list[tuple[int, int, int]], names: tuple[str, ...] = ()) -> list[tuple[int, int, int, int]]:
+    """(start, kind, end, marginal bytes) of incompressible candidates. Equal strings fare alike: novel at one place, novel at all."""
+    measured = [(a, b, marginal_bytes(text, a, b, names)) for a, b in candidates(text, known)]
+    novel = set()
+    for a, b, n in measured:
+        token = text[a:b]
+        if n >= (MIN_SHARE if DIGIT.search(token) and LETTER.search(token) else MIN_SHARE_PLAIN) * len(token):
+            novel.add(token)
+    return [(a, 3, b, n) for a, b, n in measured if text[a:b] in novel]
+
+
 def find_spans(text: str | None, names: tuple[str, ...] = ()) -> list[dict]:
-    """All spans of a text: kind, start, end and marginal bytes, by start and then by kind as listed."""
+    """All spans of a text by start and then by kind as listed: kind, start, end, and the marginal bytes of measured ones."""
     text = text or ""
     known = known_spans(text)
-    spans = sorted(known + novel_spans(text, known, names))
-    return [{"kind": KINDS[k], "start": a, "end": b, "bytes": marginal_bytes(text, a, b, names)} for a, k, b in spans]
+    spans = sorted([(*s, None) for s in known] + novel_spans(text, known, names), key=lambda s: s[:3])
+    return [{"kind": KINDS[k], "start": a, "end": b, "bytes": n} for a, k, b, n in spans]
 
 
 SPANS = "spans array<struct<kind string, start int, end int, bytes int>>"

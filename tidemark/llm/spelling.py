@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, sorted_unique, stash
+from tidemark.llm.common import discard, sorted_unique, sql_crc32, sql_lower, stash
 
 MODULUS, LEAST_LETTERS, LEAST_COUNT, TIMES = 199, 6, 5, 5
 HELD = 200_000
@@ -268,3 +268,24 @@ def spelling_variants(docs: DataFrame, times: int = TIMES, shard_words: int = SH
     formed = F.col("best_n") >= times * F.col("n")
     found = stash(words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(formed, F.col("best")).alias("form"), F.when(formed, F.col("best_n")).alias("form_n")), "spelling-forms")
     return found.join(roots(found.where("form IS NOT NULL")), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+#: DuckDB SQL of the query.
+ORACLE = f"""
+WITH RECURSIVE per AS (SELECT doc_id, unnest(regexp_extract_all({sql_lower("text")}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+each AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS keyed, count(*) AS n FROM per GROUP BY ALL),
+hashed AS (SELECT run, n, {sql_crc32("keyed")} AS h FROM each),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM w, unnest(range(1, length(word) + 1)) AS t(i)),
+near AS (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM less a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM less a JOIN w b ON a.rest = b.word
+),
+best AS (SELECT near.word, count(*) AS n_near, max(o.n) AS best_n, arg_min(other, (-o.n, other)) AS best FROM near JOIN w o ON near.other = o.word GROUP BY near.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form, CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL),
+roots AS (SELECT walk.word, walk.root FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN roots USING (word)
+"""
