@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.register import query
+from tidemark.sources.feed import feed
 from tidemark.sources.views import market, table, titled
 
 # --- Protocol and registry
@@ -60,6 +61,30 @@ class MarketSource:
         return Scan(rows, "empty" if not self.search("", None, sold).isEmpty() else "broken")
 
 
+@dataclass(frozen=True)
+class FeedSource:
+    """A market read through the ``market_feed`` data source: site, basis, price and keyword reach its reader."""
+
+    spark: SparkSession
+    folder: str
+    site: str
+    supports_sold: bool = True
+
+    def search(self, keyword: str, max_price: float | None = None, sold: bool = False, pages: int | None = None) -> DataFrame:
+        if sold and not self.supports_sold:
+            raise ValueError(f"{self.site} shows no sales")
+        rows = feed(self.spark, self.folder).where((F.col("site") == self.site) & (F.col("basis") == ("sold" if sold else "ask")))
+        rows = rows.where(F.contains(F.lower("title"), F.lit(keyword.lower()))) if keyword else rows
+        rows = rows.where(F.col("price") <= max_price) if max_price is not None else rows
+        return rows.orderBy("price", "key").limit(pages * PAGE_ROWS) if pages else rows
+
+    def search_detailed(self, keyword: str, max_price: float | None = None, sold: bool = False, pages: int | None = None) -> Scan:
+        rows = self.search(keyword, max_price, sold, pages)
+        if not rows.isEmpty():
+            return Scan(rows, "ok")
+        return Scan(rows, "empty" if not self.search("", None, sold).isEmpty() else "broken")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], Source]] = {}
 
 
