@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from tidemark.plans.register import QUERIES, SQL
 from tidemark.operators import aggregates, cards, composites, filters, joins, ledger, machines, model, money, ranking, sellers, signals, study, titles, watch  # noqa: F401  they register their queries
-from tidemark.sources import scans  # noqa: F401
-from tidemark.streaming import windows  # noqa: F401
+from tidemark.sources import feed, scans, sinks  # noqa: F401
+from tidemark.streaming import presence, windows  # noqa: F401
 
 FLAGSHIP = "score_signals"
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.register import query
+from tidemark.sources import sinks
 from tidemark.sources.views import table
 
 
@@ -34,19 +35,15 @@ def stream_events(spark: SparkSession, folder: str, schema) -> DataFrame:
 
 
 def keep_presence(stream: DataFrame, target: str, checkpoint: str):
-    """Runs the ledger over a stream: each micro-batch is merged into the table of first and last sightings.
+    """Runs the ledger over a stream: each micro-batch is merged into the table of first and last sightings (``sinks.read``).
 
-    A version of the table is written for each batch and the next reads the last one, so a batch that is run again after
-    a failure overwrites its own version and counts nothing twice.
+    A batch rewrites the buckets that it touches, and one that is run again after a failure counts nothing twice.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         seen = batch.groupBy("event_type", "user_id").agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.count("*").alias("seen"))
-        if batch_id:
-            seen = spark.read.parquet(f"{target}/version={batch_id - 1}").unionByName(seen)
-        out = seen.groupBy("event_type", "user_id").agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("seen").alias("seen"))
-        out.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        sum_up = lambda rows: rows.groupBy("event_type", "user_id").agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("seen").alias("seen"))
+        sinks.merge(target, seen, batch_id, F.pmod(F.xxhash64("event_type", "user_id"), F.lit(sinks.BUCKETS)).cast("int"), sum_up, ("event_type", "user_id"))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
