@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.counting import others_median
+from tidemark.operators.dictionary import longest_match
 from tidemark.plans.register import query
 from tidemark.sources.views import market, observed, r, rounded, table, titled
 
@@ -114,20 +115,6 @@ def dictionary_longest_match(spark, sf_dir):
     return longest_match(t, table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct())
 
 
-def longest_match(titles: DataFrame, names: DataFrame) -> DataFrame:
-    """Titles with the name that starts first in them, the longest of those.
-
-    The pieces of a title that are as long as some name are joined to the names by equality, so that titles and names
-    are never crossed, and a name is found inside words as well.
-    """
-    d = names.withColumn("size", F.length("name"))
-    sizes = d.where("size IS NOT NULL").agg(F.array_sort(F.collect_set("size")).alias("sizes"))  # one row
-    pieces = titles.crossJoin(F.broadcast(sizes)).select("title", F.explode("sizes").alias("size")).where(F.length("title") >= F.col("size"))
-    pieces = pieces.select("title", "size", F.explode(F.sequence(F.lit(1), F.length("title") - F.col("size") + 1)).alias("at"))
-    pieces = pieces.select("title", "size", "at", F.substring("title", F.col("at"), F.col("size")).alias("name"))
-    return pieces.join(names, "name").groupBy("title").agg(F.max_by("name", F.struct(-F.col("at"), F.col("size"))).alias("name"))
-
-
 @query("SELECT w.id AS watch_id, CASE WHEN contains(title, concat('PSA ', w.grade)) THEN 'hit' WHEN contains(title, 'PSA') THEN 'other_grade' ELSE 'name_only' END AS tier, count(*) AS n FROM titled JOIN (VALUES (1, 'red', 9), (2, 'gear', 10), (3, 'widget', 8)) w(id, name, grade) ON contains(title, w.name) GROUP BY ALL", "titled")
 def watch_classify(spark, sf_dir):
     """Titles against a short watch list, by how well they fit."""
