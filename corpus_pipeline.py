@@ -4,12 +4,13 @@ Every stage works on all rows that its predecessor kept. All but the last return
 as one struct beside the columns that a stage needs, so extra columns come through whatever their names are.
 
 A stage's result must be written before the next stage is called, as ``run`` does: on entry a stage deletes what the one
-before it has left in the shared folder, so intermediates don't pile up.
+before it has left in the shared folder (in the same thread), so intermediates don't pile up.
 """
 
 from __future__ import annotations
 
 import functools
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,23 +18,38 @@ from pyspark.sql import functions as F
 from tidemark.llm import mixing, near_dup, packing, quality, secrets
 from tidemark.llm.common import collected, discard, free_shuffles, n_words, stash, table
 
-_left: list[DataFrame] = []  # by the stage before
+_of = threading.local()
+
+
+def _left() -> list[DataFrame]:
+    """What the stage before has left in this thread: pipelines in other threads have their own."""
+    if not hasattr(_of, "left"):
+        _of.left = []
+    return _of.left
+
+
+def _tidy() -> None:
+    discard(*_left())
+    _left().clear()
 
 
 def _stage(work):
     @functools.wraps(work)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(*_left)
-        _left.clear()
+        _tidy()
         free_shuffles(spark)
-        with collected(_left):
+        with collected(_left()):
             return work(spark, docs, sf_dir)
 
     return run
 
 
+def _quoted(names: list[str]) -> list[str]:
+    return [f"`{c.replace('`', '``')}`" for c in names]
+
+
 def _row(docs: DataFrame):
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return F.struct(*_quoted(docs.columns)).alias("row")
 
 
 @_stage
@@ -51,11 +67,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count()
     if not ids.where("count > 1").isEmpty():
-        order = F.struct(F.col("text").isNull(), F.col("text"), *[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")])
+        order = F.struct(F.col("text").isNull(), F.col("text"), *[F.col(c).cast("string") for c in _quoted([c for c in docs.columns if c not in ("doc_id", "text")])])
         one = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(_row(docs), order).alias("row")).select("row.*")
         docs = stash(one.unionByName(docs.where("doc_id IS NULL")), "pipeline-one-row")
     found = near_dup.near_duplicates(docs.select("doc_id", "text")).where("kept AND doc_id IS NOT NULL").select("doc_id")
-    return docs.join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    return docs.join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(_quoted(docs.columns))
 
 
 @_stage
@@ -93,6 +109,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         before, docs = docs, stash(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
         discard(before)
-    discard(*_left)
-    _left.clear()
+    _tidy()
     return docs

@@ -3,6 +3,8 @@
 import random
 import statistics
 
+import pytest
+
 
 def rows():
     rng = random.Random(4)
@@ -35,3 +37,33 @@ def test_median_of_the_others(spark):
         if len(others) >= 1:
             want[cell, seller] = (len(others), statistics.median(others))
     assert {(r["cell"], r["seller"]): (r["others"], r["mid"]) for r in others_median(df, ["cell"], "seller", "value", 1).collect()} == want
+
+
+@pytest.mark.parametrize("cell_rows", [10**6, 50])
+def test_rows_with_the_median_of_the_others(spark, cell_rows):
+    from tidemark.operators.counting import with_others_median
+
+    rng = random.Random(7)
+    data = [(i, c, rng.choice("xy"), s, v) for i, (c, s, v) in enumerate(rows())]
+    df = spark.createDataFrame(data, "id int, cell string, part string, seller int, value double").repartition(3)
+    got = {r["id"]: (r["n1"], r["m1"], r["n2"], r["m2"]) for r in with_others_median(df, ["cell"], {"1": ("cell", "part"), "2": ("cell",)}, "seller", "value", 2, cell_rows).collect()}
+
+    def others(pick):
+        return (len(pick), statistics.median(pick)) if len(pick) >= 2 else (None, None)
+
+    for i, cell, part, seller, value in data:
+        near = [(p, v) for _, c, p, s, v in data if c == cell and s != seller and v is not None]
+        want = (*others([v for p, v in near if p == part]), *others([v for _, v in near])) if value is not None else (None,) * 4
+        assert got[i] == want, (i, cell, part, seller)
+    assert len(got) == len(data) and with_others_median(df.limit(0), ["cell"], {"1": ("cell",)}, "seller", "value", 2).count() == 0
+
+
+def test_equal_values_are_counted_before_they_are_dealt(spark):
+    """Nine rows in ten have one value: no stage but the scan sees more than a few rows of it."""
+    from tidemark.operators.counting import medians
+
+    df = spark.range(200_000).selectExpr("'all' AS cell", "CASE WHEN id % 10 < 9 THEN 5.0D ELSE CAST(id AS double) END AS value")
+    plan = medians(df, ["cell"], "value")
+    assert plan.first()["mid"] == 5.0
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in text and "partial_count" in text

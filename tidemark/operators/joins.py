@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.counting import others_median
+from tidemark.operators.counting import with_others_median
 from tidemark.operators.dictionary import longest_match
 from tidemark.plans.register import query
+from tidemark.sources.shared import kept
 from tidemark.sources.views import market, observed, r, rounded, table, titled
 
 @query("WITH s AS (SELECT seller, count(*) AS listings FROM market WHERE basis = 'ask' GROUP BY seller), o AS (SELECT seller, count(*) AS seen, max(ts_s) AS last_at FROM observed GROUP BY seller) SELECT seller, listings, seen, last_at FROM s LEFT JOIN o USING (seller)", "market", "observed")
@@ -71,12 +72,12 @@ MIN_PEERS = 3
 def peers(rows: DataFrame) -> DataFrame:
     """Median price of each row's peers in the first tier that has MIN_PEERS rows of other sellers.
 
-    A cell isn't paired with itself and its prices aren't gathered: places in the cell tell where the middle of the others is.
+    A cell isn't paired with itself: places in the cell tell where the middle of the others is. The first tier's cells are parts of
+    the second's, so rows are dealt twice for three tiers, and nothing is joined back.
     """
-    out = rows
-    for tier, keys in TIERS.items():
-        found = others_median(rows, list(keys), "seller", "price", MIN_PEERS)
-        out = out.join(found.withColumnsRenamed({"others": f"n{tier}", "mid": f"m{tier}"}), [*keys, "seller"], "left")
+    rows = kept(rows, "peers")  # they are counted first
+    rows = with_others_median(rows, list(TIERS[2]), {"1": TIERS[1], "2": TIERS[2]}, "seller", "price", MIN_PEERS)
+    out = with_others_median(kept(rows, "peers"), list(TIERS[3]), {"3": TIERS[3]}, "seller", "price", MIN_PEERS)
     tier = F.when(F.col("n1").isNotNull(), 1).when(F.col("n2").isNotNull(), 2).when(F.col("n3").isNotNull(), 3)
     return out.withColumn("tier", tier).withColumn("n_peers", F.coalesce("n1", "n2", "n3")).withColumn("peer_median", F.coalesce("m1", "m2", "m3"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.counting import medians, placed
 from tidemark.plans.register import query
+from tidemark.sources.shared import kept
 from tidemark.sources.views import market, r, rounded
 
 BASE_GRADE, MIN_CELL, SHRINK = 9, 3, 4
@@ -81,10 +82,14 @@ def valuation_ladder(spark, sf_dir):
 
 
 def residuals(s: DataFrame) -> DataFrame:
-    """Signed residuals of the calibration side against the ladder of the fit side, by count bucket of the ladder."""
+    """Signed residuals of the calibration side against the ladder of the fit side, by count bucket of the ladder.
+
+    Computed once, as intervals read them at several levels.
+    """
+    s = kept(s, "samples")
     est = ladder(s.where("NOT calibration")).select("card", "rarity", "grade", "n", "est")
     bucket = F.when(F.col("n") < 3, "<3").when(F.col("n") < 10, "3-9").when(F.col("n") < 50, "10-49").otherwise(">=50")
-    return s.where("calibration").join(est, ["card", "rarity", "grade"]).select("key", "site", bucket.alias("bucket"), (F.col("lp") - F.col("est")).alias("res"))
+    return kept(s.where("calibration").join(est, ["card", "rarity", "grade"]).select("key", "site", bucket.alias("bucket"), (F.col("lp") - F.col("est")).alias("res")), "residuals")
 
 
 _FIT = "f AS (SELECT * FROM s WHERE NOT calibration)"
