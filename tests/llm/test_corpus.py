@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tests.llm.cases import LOW, documents, frame, words
+from tests.llm.cases import LOW, SCHEMA, documents, frame, words
 
 ROWS = documents()
 SF = "/root/testdata/sf0.01"
@@ -568,3 +568,58 @@ def test_pipeline_stages_against_brute_force(spark):
     packed = Counter(r[0] for r in after["best-fit packing"] if r[1] == 0)
     assert packed == copies
     assert set(stage) == {"quality rules", "near-dedup", "secret scan", "source mix", "best-fit packing"}
+
+
+ODD = {"a.b": "x.y", "we`ird": "w", "size": "s", "row": "r", "kept": "k", "Text 2": "t"}
+
+
+def odd_documents(spark, rows):
+    from pyspark.sql import functions as F
+
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).select("*", *[F.lit(v).alias(k) for k, v in ODD.items()])
+
+
+def test_pipeline_stages_bear_odd_names_nulls_and_repeats(spark):
+    import corpus_pipeline as cp
+
+    rows = documents(60)
+    prose = next(t for _, t, lang, *_ in rows if lang == "en" and t and len(words(t)) > 60)
+    rows += [rows[0], rows[0], (None, prose, "en", "a", 5), (None, None, None, None, None), (9001, "the client id is Zq8Rk2Lw9Xv4Tn7Bm3Pc6Hd1 and so on", "en", "a", 1)]
+    docs = odd_documents(spark, rows)
+    mixed_in = None
+    for name, f in cp.STAGES[:-1]:
+        if name == "source mix":
+            mixed_in = docs.collect()
+        docs = cp.stash(f(spark, docs, SF), "test-odd")
+        assert docs.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), *ODD], name
+        assert all(r["a.b"] == "x.y" and r["we`ird"] == "w" for r in docs.collect()), name
+    # The mix against its targets: what a source gives is near its target, and no document is taken more than twice.
+    size = {}
+    for r in mixed_in:
+        size[r["source"]] = size.get(r["source"], 0) + len(words(r["text"]))
+    order = sorted(size, key=lambda x: (x is None, x or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, free, rest = dict.fromkeys(order, 0.0), set(order), 1.5 * sum(size.values())
+    while free:
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        full = {s for s in free if share[s] > 2 * size[s]}
+        target |= {s: 2.0 * size[s] for s in full} if full else share
+        rest -= sum(2.0 * size[s] for s in full)
+        free = free - full if full else set()
+    taken = Counter()
+    for r in docs.collect():
+        taken[r["source"]] += len(words(r["text"]))
+    for s in order:
+        largest = max(len(words(r["text"])) for r in mixed_in if r["source"] == s)
+        assert abs(taken[s] - target[s]) <= largest, s
+    packed = cp.STAGES[-1][1](spark, docs, SF)
+    assert packed.count() >= docs.count()
+
+
+def test_pipeline_of_an_empty_table(spark):
+    import corpus_pipeline as cp
+
+    docs = odd_documents(spark, documents(1)[:1]).limit(0)
+    for _, f in cp.STAGES:
+        docs = cp.stash(f(spark, docs, SF), "test-none")
+        assert docs.count() == 0

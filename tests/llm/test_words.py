@@ -203,11 +203,16 @@ def test_classifier_learns_rare_marks_and_calibrates():
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(40)) + (" zz##" if i % 4 == 0 else "") for i in range(400)]
     y = np.array([float(i % 4 > 0) if i % 10 else 1.0 for i in range(400)])
-    docs = [q.counts_of(t, {}) for t in texts]
+    docs = [q.counts_of(t) for t in texts]
     m = q.fit(docs, y, np.ones(400))
     scores = np.array([m.score(m.amount[b] @ n, n.sum()) for b, n in docs])
     marked = np.arange(400) % 4 == 0
     assert scores[marked].mean() < 0.5 < scores[~marked].min() and abs(scores[marked].mean() - y[marked].mean()) < 0.15
+    total, n = q.Amounts(m.amount).sums([*texts, None, "", "x" * 3000])
+    assert np.allclose(total[:400], [m.amount[b] @ k for b, k in docs]) and n[:400].tolist() == [k.sum() for _, k in docs] and n[400:402].tolist() == [0, 0]
+    words, size = ["", "ab", "ßé🙂"], lambda w: 1 + sum(max(0, len(w) + 2 - k + 1) for k in q.GRAMS)
+    place, bucket = q.features_of(words)
+    assert np.bincount(place).tolist() == [size(w) for w in words] and all(sorted(bucket[place == i]) == sorted(q.features_of([w])[1]) for i, w in enumerate(words))
     assert q.counted_words("a a a b  a")[q.AGAIN] == 2 and not q.counted_words(None)
     assert m.score(0.0, 0.0) == m.blank
 

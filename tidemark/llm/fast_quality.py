@@ -1,6 +1,6 @@
 """Quality by supervised subword embeddings: the mean of learned word and character n-gram vectors, and a softmax over it.
 
-A word gives its own feature and the character n-grams (GRAMS) of the word between ``<`` and ``>``; each is hashed by crc32 to one
+A word gives its own feature and the character n-grams (GRAMS) of the word between ``<`` and ``>``; each is hashed to one
 of BUCKETS vectors of DIM numbers. A word that repeats the one before it gives the features of the word AGAIN as well. A document is the mean of its features' vectors, counted as often as they occur, in its whole
 text; a linear layer and a softmax give the probability of label 1. Vectors and layer are learned by stochastic gradient descent
 in numpy (minibatches, step sizes by AdaGrad) in one task on a bounded sample of labelled training rows: at most FIT of each
@@ -20,6 +20,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ FIT = 3000  # rows of each label at most
 BUCKETS, DIM, GRAMS = 1 << 14, 8, (1, 2, 3, 4)
 EPOCHS, BATCH, RATE = 12, 32, 0.5
 KEPT_WORDS = 300_000
+SLICE_WORDS, SLICE_LETTERS = 4096, 1 << 20  # looked at together
+MULTIPLIER = 0x9E3779B1  # of the hash of n-grams: odd, near the golden ratio of 2^32
 AGAIN = "= ="  # no word, as words have no blanks
 
 
@@ -48,26 +51,56 @@ def counted_words(text: str | None) -> Counter:
     return n
 
 
-def features_of(word: str) -> np.ndarray:
-    """Buckets of a word and of its character n-grams."""
-    b = f"<{word}>"
-    return np.array([zlib.crc32(g.encode()) % BUCKETS for g in [b + "w", *(b[i : i + k] for k in GRAMS for i in range(len(b) - k + 1))]], np.int32)
+def features_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all words as (place of the word, bucket): the word itself, and its character n-grams."""
+    letters = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word, left = np.repeat(np.arange(len(words)), size), np.repeat(np.cumsum(size), size) - np.arange(len(letters))
+    places, hashes = [np.arange(len(words))], [np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words))]
+    h = np.zeros(len(letters), np.uint32)
+    for k in range(1, max(GRAMS) + 1):
+        h = (h[: max(0, len(letters) - k + 1)] ^ letters[k - 1 :]) * np.uint32(MULTIPLIER)
+        if k in GRAMS:
+            whole = left[: len(h)] >= k
+            places.append(word[: len(h)][whole])
+            hashes.append(h[whole] ^ h[whole] >> np.uint32(15))
+    return np.concatenate(places), (np.concatenate(hashes) % np.uint32(BUCKETS)).astype(np.int64)
 
 
-def counts_of(text: str | None, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def counts_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text's features in ascending order with how often each occurs."""
-    words, found = counted_words(text), []
-    for word in words:
-        if (at := known.get(word)) is None:
-            at = features_of(word)
-            if len(known) < KEPT_WORDS and len(word) < 40:
-                known[word] = at
-        found.append(at)
-    n = np.bincount(np.concatenate(found), np.repeat(list(words.values()), list(map(len, found))), BUCKETS) if found else np.zeros(BUCKETS)
+    words = counted_words(text)
+    place, bucket = features_of(list(words))
+    n = np.bincount(bucket, np.fromiter(words.values(), float, len(words))[place], BUCKETS)
     at = np.flatnonzero(n)
     return at, n[at]
 
 
+class Amounts:
+    """What each word adds to the log odds in all, and the number of its features, filled as words come up."""
+
+    def __init__(self, amount: np.ndarray):
+        self.amount, self.ids, self.of, self.many = amount, {}, np.zeros(0), np.zeros(0)
+
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text: what its words add, and the number of features."""
+        counted = [counted_words(t) for t in texts]
+        if len(self.ids) > KEPT_WORDS:
+            self.ids, self.of, self.many = {}, np.zeros(0), np.zeros(0)
+        new = list(dict.fromkeys(w for words in counted for w in words if w not in self.ids))
+        if new:
+            self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
+            # Every word has a feature, so the sums of a slice have a place for each of its words.
+            found = [features_of(new[k : k + SLICE_WORDS]) for k in range(0, len(new), SLICE_WORDS)]
+            self.of = np.concatenate([self.of, *(np.bincount(place, self.amount[bucket]) for place, bucket in found)])
+            self.many = np.concatenate([self.many, *(np.bincount(place) for place, _ in found)])
+        n = sum(map(len, counted))
+        at = np.fromiter((self.ids[w] for words in counted for w in words), np.int64, n)
+        times = np.fromiter((x for words in counted for x in words.values()), float, n)
+        text = np.repeat(np.arange(len(texts)), [len(words) for words in counted])
+        return np.bincount(text, times * self.of[at], len(texts)), np.bincount(text, times * self.many[at], len(texts))
+
+
 class Model(NamedTuple):
     amount: np.ndarray  # what each bucket adds to the log odds, times the number of features
     bias: float
@@ -159,9 +192,8 @@ def train(rows: DataFrame) -> Model:
     """Counts features wherever the rows are, and fits the model in one task that holds a bounded sample."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, np.ndarray] = {}
         for batch in batches:
-            found = [counts_of(t, known) for t in batch["text"]]
+            found = [counts_of(t) for t in batch["text"]]
             yield batch.drop(columns="text").assign(buckets=[b.astype(np.int32).tobytes() for b, _ in found], counts=[n.astype(np.float32).tobytes() for _, n in found])
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,23 +215,14 @@ def score(docs: DataFrame, labels: DataFrame, size: int = FIT) -> DataFrame:
     model = train(sample(docs, labels, size).select("doc_id", F.col("quality").cast("int").alias("quality"), "rows", "text"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = worker_cache("fast-quality")
-        if known.get("") is not model.amount and not np.array_equal(known.get("", ()), model.amount):
-            known.clear()
-            known[""] = model.amount
+        held = worker_cache("fast-quality")
+        if "words" not in held or not np.array_equal(held["words"].amount, model.amount):
+            held["words"] = Amounts(model.amount)
         for batch in batches:
-            scores = []
-            for text in batch["text"]:
-                total = n = 0.0
-                for word, times in counted_words(text).items():
-                    if (w := known.get(word)) is None:
-                        at = features_of(word)
-                        w = (float(model.amount[at].sum()), len(at))
-                        if len(known) < KEPT_WORDS and len(word) < 40:
-                            known[word] = w
-                    total += times * w[0]
-                    n += times * w[1]
-                scores.append(model.score(total, n))
+            texts, scores = list(batch["text"]), []
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum([len(t or "") for t in texts]) // SLICE_LETTERS)) + 1), len(texts)]
+            for a, b in itertools.pairwise(cuts):
+                scores += [model.score(total, n) for total, n in zip(*held["words"].sums(texts[a:b]), strict=True)]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": scores})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(judge, "doc_id long, score double")

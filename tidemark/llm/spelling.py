@@ -206,7 +206,7 @@ def neighbours(words: DataFrame, shard_words: int = SHARD_WORDS, round_bytes: in
             room = round_bytes
         rounds[-1].append(r["shard"])
         room -= r["size"]
-    dealt = stash(words.select("word").repartition(max(1, -(-n_words // TASK_WORDS)), "word"), "spelling-dealt")
+    dealt = words.select("word").repartition(max(1, -(-n_words // TASK_WORDS)), "word")  # Spark would read a table of these parts in few tasks
     parts = []
     for ids in rounds:
         sent = spark.sparkContext.broadcast([bytes(r["body"]) for r in found.where(F.col("shard").isin(ids)).select("body").toLocalIterator()])
@@ -223,7 +223,7 @@ def neighbours(words: DataFrame, shard_words: int = SHARD_WORDS, round_bytes: in
 
         parts.append(stash(dealt.mapInPandas(search, "word string, n_near long, best_n long, best string"), "spelling-near"))
         sent.destroy()
-    discard(found, dealt)
+    discard(found)
     if not parts:
         return spark.createDataFrame([], "word string, n_near long, best_n long, best string")
     rows = parts[0]
