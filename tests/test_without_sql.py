@@ -21,8 +21,8 @@ def test_greedy_cover(spark):
     from tidemark.sources.views import observed
 
     items = {}
-    for r in observed(spark, SF).where("price > 100").select("key", "site").collect():
-        items.setdefault(r["site"], set()).add(r["key"].split(":")[1])
+    for r in observed(spark, SF).select("key", "site", "day").collect():
+        items.setdefault(r["site"], set()).add((r["key"].split(":")[1], r["day"]))
     want, covered = [], set()
     while len(want) < 5 and items:
         site = min(items, key=lambda s: (-len(items[s] - covered), s))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.register import query
@@ -112,18 +113,21 @@ def venue_q3(spark, sf_dir):
     return x.select("site", "gone", "decided", F.when(enough, F.floor(F.col("gone") * 1000.0 / F.col("decided") + 0.5).cast("double") / 10).alias("sell_through"), refusal.alias("refusal"))
 
 
+FEW_SALES = 3
+
+
 @query(
-    """WITH d AS (SELECT card, count(*) AS demand FROM market WHERE basis = 'ask' GROUP BY card), s AS (SELECT card, count(*) AS comps FROM market WHERE basis = 'sold' GROUP BY card)
-SELECT card, demand, coalesce(comps, 0) AS comps FROM d LEFT JOIN s USING (card) WHERE coalesce(comps, 0) < 40 ORDER BY demand DESC, comps, card LIMIT 10""",
+    f"""WITH d AS (SELECT part_key, site, min(card) AS card, count(*) AS demand FROM market WHERE basis = 'ask' GROUP BY part_key, site), s AS (SELECT part_key, site, count(*) AS comps FROM market WHERE basis = 'sold' GROUP BY part_key, site)
+SELECT part_key, site, card, demand, coalesce(comps, 0) AS comps FROM d LEFT JOIN s USING (part_key, site) WHERE coalesce(comps, 0) < {FEW_SALES} ORDER BY demand DESC, comps, part_key, site LIMIT 10""",
     "market",
 )
 def refill_selection(spark, sf_dir):
-    """Cards in demand with too few sales, the most wanted first (a report of ten)."""
+    """Cards in demand in a market with too few sales there, the most wanted first (a report of ten)."""
     m = market(spark, sf_dir)
-    demand = m.where("basis = 'ask'").groupBy("card").agg(F.count("*").alias("demand"))
-    known = m.where("basis = 'sold'").groupBy("card").agg(F.count("*").alias("comps"))
-    df = demand.join(known, "card", "left").na.fill(0, ["comps"]).where("comps < 40")
-    return df.orderBy(F.desc("demand"), "comps", "card").limit(10)
+    demand = m.where("basis = 'ask'").groupBy("part_key", "site").agg(F.min("card").alias("card"), F.count("*").alias("demand"))
+    known = m.where("basis = 'sold'").groupBy("part_key", "site").agg(F.count("*").alias("comps"))
+    df = demand.join(known, ["part_key", "site"], "left").na.fill(0, ["comps"]).where(F.col("comps") < FEW_SALES)
+    return df.orderBy(F.desc("demand"), "comps", "part_key", "site").limit(10)
 
 
 @query("SELECT site, day, count(*) AS n, max(CASE WHEN price < 10 THEN 2 WHEN price < 40 THEN 1 ELSE 0 END) AS severity, CASE max(CASE WHEN price < 10 THEN 2 WHEN price < 40 THEN 1 ELSE 0 END) WHEN 2 THEN 'blocked' WHEN 1 THEN 'partial' ELSE 'ok' END AS health FROM observed GROUP BY site, day", "observed")
@@ -140,6 +144,20 @@ def match_report(spark, sf_dir):
     return df.withColumn("hit_percent", F.floor(F.col("hits") * 1000.0 / F.col("n") + 0.5).cast("double") / 10)
 
 
+SAMPLE, SEED = 20, 11
+
+
+@query(f"SELECT site, key, title, contains(title, 'PSA') AS hit FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY md5('{SEED}:' || key), key) AS n FROM (SELECT DISTINCT site, key, title FROM titled)) WHERE n <= {SAMPLE}", "titled")
+def match_sample(spark, sf_dir):
+    """A seeded sample of each market's titles to look at: those of the least hashes, so the same ones whatever the partitions.
+
+    Spark limits each group to SAMPLE rows before the shuffle, so a large market costs no more than a small one there.
+    """
+    rows = titled(market(spark, sf_dir)).select("site", "key", "title").distinct().withColumn("hash", F.md5(F.concat(F.lit(f"{SEED}:"), F.col("key")).cast("binary")))
+    sample = rows.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("hash", "key"))).where(F.col("n") <= SAMPLE)
+    return sample.select("site", "key", "title", F.contains("title", F.lit("PSA")).alias("hit"))
+
+
 @query(
     f"""WITH t AS (SELECT a.key, a.card, CASE WHEN s.grade = a.grade AND s.grader = a.grader AND s.rarity = a.rarity THEN 1 WHEN s.grade = a.grade AND s.rarity = a.rarity THEN 2 WHEN s.rarity = a.rarity THEN 3 ELSE 4 END AS tier, s.price, s.site FROM (SELECT DISTINCT key, card, rarity, grader, grade FROM market WHERE basis = 'ask') a JOIN (SELECT card, rarity, grader, grade, price, site FROM market WHERE basis = 'sold') s ON a.card = s.card),
 b AS (SELECT *, min(tier) OVER (PARTITION BY key) AS best FROM t)

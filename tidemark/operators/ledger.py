@@ -133,12 +133,12 @@ def alert_cooldown(spark, sf_dir):
     return alert_steps(observed(spark, sf_dir).where("k >= 70").select("key", "ts_s"))
 
 
-@query("WITH s AS (SELECT site, day, lead(day) OVER (PARTITION BY site ORDER BY day) AS next_day FROM (SELECT DISTINCT site, day FROM observed WHERE price > 150)) SELECT site, day + i AS missed_day FROM s, unnest(range(1, next_day - day)) AS u(i) WHERE next_day - day > 1", "observed")
+@query("WITH s AS (SELECT site, seller, day, lead(day) OVER (PARTITION BY site, seller ORDER BY day) AS next_day FROM (SELECT DISTINCT site, seller, day FROM observed)) SELECT site, seller, day + i AS missed_day FROM s, unnest(range(1, next_day - day)) AS u(i) WHERE next_day - day > 1", "observed")
 def missed_slots(spark, sf_dir):
-    """Days of a schedule on which a source had no run, between two runs."""
-    w = Window.partitionBy("site").orderBy("day")
-    s = observed(spark, sf_dir).where("price > 150").select("site", "day").distinct().withColumn("next_day", F.lead("day").over(w)).where("next_day - day > 1")
-    return s.select("site", F.explode(F.sequence(F.col("day") + 1, F.col("next_day") - 1)).alias("missed_day"))
+    """Days of a schedule on which a seller's page of a source had no run, between two runs."""
+    w = Window.partitionBy("site", "seller").orderBy("day")
+    s = observed(spark, sf_dir).select("site", "seller", "day").distinct().withColumn("next_day", F.lead("day").over(w)).where("next_day - day > 1")
+    return s.select("site", "seller", F.explode(F.sequence(F.col("day") + 1, F.col("next_day") - 1)).alias("missed_day"))
 
 
 @query("WITH h AS (SELECT key, arg_max(CASE WHEN k >= 98 THEN 'bought' WHEN k >= 95 THEN 'ignored' END, event_id) FILTER (k >= 95) AS human, arg_max(CASE WHEN price > 100 THEN 'new' ELSE 'seen' END, event_id) AS machine FROM observed GROUP BY key) SELECT key, coalesce(human, machine) AS state, human IS NOT NULL AS by_hand FROM h", "observed")

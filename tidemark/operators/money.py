@@ -40,13 +40,23 @@ def overhead_alert(spark, sf_dir):
     return q.where(overhead(q) >= 0.4).select("key", "route", rounded(overhead(q), 4).alias("overhead_ratio"))
 
 
-@query(f"SELECT route, route_site, target, {r(f'greatest(0, (target - ((order_fee + shipment_fee / bundle) * {JPY}::DOUBLE) * {_UP}) / (1 * {JPY}::DOUBLE * {_UP}))')} AS most_price FROM {ROUTES_SQL} CROSS JOIN (VALUES (500::DOUBLE), (1000::DOUBLE), (2000::DOUBLE), (5000::DOUBLE)) AS t(target) WHERE NOT direct")
+_MOST = f"greatest(0, (target - ((order_fee + shipment_fee / bundle) * {JPY}::DOUBLE) * {_UP}) / (1 * {JPY}::DOUBLE * {_UP}))"
+
+
+@query(
+    f"""WITH b AS (SELECT route, route_site, target, {_MOST} AS most FROM {ROUTES_SQL} CROSS JOIN (VALUES (500::DOUBLE), (1000::DOUBLE), (2000::DOUBLE), (5000::DOUBLE)) AS t(target) WHERE NOT direct)
+SELECT route, route_site, target, {r('most')} AS most_price, CAST(count(*) FILTER (price * {USD}::DOUBLE / {JPY}::DOUBLE <= most) AS BIGINT) AS within, count(price) AS asks FROM b LEFT JOIN (SELECT site, price FROM market WHERE basis = 'ask') a ON site = route_site GROUP BY route, route_site, target, most""",
+    "market",
+)
 def breakeven_table(spark, sf_dir):
-    """The highest price in yen at which a route stays within a target."""
+    """The highest price in yen at which a route stays within a target, and how many of its market's asks cost no more."""
     t = spark.createDataFrame([(x,) for x in (500.0, 1000.0, 2000.0, 5000.0)], "target double")
     fees = to_home(F.col("order_fee") + F.col("shipment_fee") / F.col("bundle"), JPY)
     most = F.greatest(F.lit(0.0), (F.col("target") - fees) / to_home(1.0, JPY))
-    return routes(spark).where("NOT direct").crossJoin(F.broadcast(t)).select("route", "route_site", "target", rounded(most).alias("most_price"))
+    table = routes(spark).where("NOT direct").crossJoin(F.broadcast(t)).select("route", "route_site", "target", most.alias("most"))  # fixed rows
+    prices = asks(spark, sf_dir).groupBy(F.col("site").alias("route_site"), "price").agg(F.count("*").alias("n"))
+    df = table.join(prices, "route_site", "left").withColumn("within", F.when(F.col("price") * USD / JPY <= F.col("most"), F.col("n")).otherwise(0))
+    return df.groupBy("route", "route_site", "target", "most").agg(F.sum("within").alias("within"), F.coalesce(F.sum("n"), F.lit(0)).alias("asks")).select("route", "route_site", "target", rounded("most").alias("most_price"), "within", "asks")
 
 
 _VENUES = "(VALUES " + ", ".join(f"('{v}', {c}::DOUBLE, {p}::DOUBLE, {f}::DOUBLE, {s}::DOUBLE)" for v, c, p, f, s in VENUES) + ") AS v(venue, commission, payment, fixed, shipping)"

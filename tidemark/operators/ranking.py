@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.counting import placed
 from tidemark.plans.register import query
+from tidemark.sources.shared import kept
 from tidemark.sources.views import market, observed, r, rounded
 
 
@@ -69,7 +70,7 @@ def cap_per_rule(spark, sf_dir):
     rule = F.when(F.col("k") >= 90, "urgent").when(F.col("k") >= 60, "watched").otherwise("other")
     df = observed(spark, sf_dir).select(rule.alias("rule"), "key", "price").distinct()
     cap = F.when(F.col("rule") == "urgent", 20).when(F.col("rule") == "watched", 10).otherwise(5)
-    return df.withColumn("n", F.row_number().over(Window.partitionBy("rule").orderBy(F.desc("price"), "key"))).where(F.col("n") <= cap).drop("n")
+    return df.withColumn("n", F.row_number().over(Window.partitionBy("rule").orderBy(F.desc("price"), "key"))).where((F.col("n") <= 20) & (F.col("n") <= cap)).drop("n")  # the largest cap as a number limits groups before the shuffle
 
 
 @query("SELECT seller, max(sold_at) - min(sold_at) AS span_seconds, count(*) AS n FROM market GROUP BY seller", "market")
@@ -83,11 +84,11 @@ def topk_signals(spark, sf_dir):
     return df.orderBy(F.desc("price"), F.desc("sold_at"), "key").limit(50)
 
 
-@query("SELECT key, price, p, position FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN price <= 1500 THEN 0 ELSE 1 END, coalesce(p, -1) DESC, price, key) AS position FROM (SELECT DISTINCT key, price, CASE WHEN quantity % 3 <> 0 THEN quantity / 50.0::DOUBLE END AS p FROM market WHERE basis = 'ask' AND grader = 'A')) WHERE position <= 100", "market")
+@query("SELECT key, price, p, position FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN price <= 1500 THEN 0 ELSE 1 END, coalesce(p, -1) DESC, price, key) AS position FROM (SELECT DISTINCT key, price, CASE WHEN quantity % 3 <> 0 THEN quantity / 50.0::DOUBLE END AS p FROM market WHERE basis = 'ask')) WHERE position <= 100", "market")
 def market_search_order(spark, sf_dir):
     """Within budget first, then by probability (unknown last), then by cost: the first hundred, numbered."""
     p = F.when(F.col("quantity") % 3 != 0, F.col("quantity") / 50.0)
-    df = market(spark, sf_dir).where("basis = 'ask' AND grader = 'A'").select("key", "price", p.alias("p")).distinct()
+    df = market(spark, sf_dir).where("basis = 'ask'").select("key", "price", p.alias("p")).distinct()
     order = [F.when(F.col("price") <= 1500, 0).otherwise(1), F.coalesce("p", F.lit(-1.0)).desc(), F.col("price"), F.col("key")]
     top = df.orderBy(*order).limit(100)
     return top.withColumn("position", F.row_number().over(Window.orderBy(*order)))
@@ -108,21 +109,45 @@ def union_size(spark, sf_dir):
     return items.groupBy("site").agg(F.count("*").alias("own")).crossJoin(F.broadcast(total))  # one row
 
 
+def cover_bitmaps(items: DataFrame) -> DataFrame:
+    """site, block and bits: the items of each set as bitmaps of 32,768 items, numbered by their order in ranges.
+
+    Items are numbered once; all further work is on bitmaps, of which a set has one for each block of numbers that it meets.
+    """
+    numbered = kept(items.select("item").distinct().repartitionByRange("item").withColumn("id", F.monotonically_increasing_id()), "cover-items")
+    # Ids of one range follow each other from a multiple of 2^33, so blocks of a range are dense.
+    placed_items = items.join(numbered, "item").select("site", "id")
+    place = F.col("id") % (1 << 15)
+    return placed_items.groupBy("site", F.shiftright("id", 15).alias("block")).agg(F.bitmap_construct_agg(place).alias("bits"))
+
+
 def greedy_cover(items: DataFrame, most: int = 5) -> list[tuple[str, int]]:
-    """Sets (column ``site``) in the order in which each adds most new items; one small aggregate for each choice."""
-    out: list[tuple[str, int]] = []
+    """Sets (column ``site``) in the order in which each adds most new items; ties go to the smaller name.
+
+    What is covered is one row of bitmaps; a step joins it to the sets by block and counts bits, so items are read once and the
+    plan of a step doesn't contain the steps before it. New items of a set are those of the union less those covered.
+    """
+    sets = kept(cover_bitmaps(items), "cover-sets")
+    covered, out = None, []
     while len(out) < most:
-        best = items.groupBy("site").agg(F.count_distinct("item").alias("gain")).orderBy(F.desc("gain"), "site").first()
+        if covered is None:
+            gain = sets.groupBy("site").agg(F.sum(F.bitmap_count("bits")).alias("gain"))
+        else:
+            both = sets.unionByName(sets.select("site", "block").join(covered, "block"))
+            joined = both.groupBy("site", "block").agg(F.bitmap_or_agg("bits").alias("bits")).join(covered.select("block", F.bitmap_count("bits").alias("had")), "block", "left")
+            gain = joined.groupBy("site").agg(F.sum(F.bitmap_count("bits") - F.coalesce("had", F.lit(0))).alias("gain"))
+        best = gain.where(~F.col("site").isin([s for s, _ in out]) if out else F.lit(True)).where("gain > 0").orderBy(F.desc("gain"), "site").first()
         if best is None:
             break
         out.append((best["site"], best["gain"]))
-        items = items.join(items.where(F.col("site") == best["site"]).select("item").distinct(), "item", "left_anti")
+        chosen = sets.where(F.col("site") == best["site"]).select("block", "bits")
+        covered = kept(chosen if covered is None else covered.unionByName(chosen).groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits")), "cover")
     return out
 
 
 @query(None)
 def greedy_max_cover(spark, sf_dir):
-    items = observed(spark, sf_dir).where("price > 100").select(F.split_part("key", F.lit(":"), F.lit(2)).alias("item"), "site").distinct()
+    items = observed(spark, sf_dir).select(F.concat_ws("@", F.split_part("key", F.lit(":"), F.lit(2)), "day").alias("item"), "site").distinct()
     chosen = greedy_cover(items)
     return spark.createDataFrame([(i, s, g) for i, (s, g) in enumerate(chosen)], "step int, site string, gain long")
 
