@@ -97,3 +97,28 @@ def test_expiry_by_timers_equals_the_batch_rule(spark, tmp_path):
         last[k] = max(last.get(k, ts), ts)
     want = {k for k, ts in last.items() if ts < start + dt.timedelta(days=31) - dt.timedelta(hours=1)}
     assert {k for k, s in got.items() if s == "expired"} == want and 5 < len(want) < 40
+
+
+def test_notices_over_batches_equal_the_fold(spark, tmp_path):
+    """Rows come up to twelve hours late; each listing's notices are those of its candidates in order of time."""
+    from tidemark.streaming.notices import WEEK, notice_stream, notices_of
+
+    with_rocks(spark)
+    rng = random.Random(12)
+    schema = "key string, ts_s long, rule string, event_id long"
+    rows = [(f"k{rng.randrange(12)}", 1_700_000_000 + 3600 * rng.randrange(24 * 60), rng.choice(["likely", "likely", "urgent"]), i) for i in range(250)]
+    rows += [(k, t, "urgent", 1000 + i) for i, (k, t, *_) in enumerate(rows[:30])]  # ties
+    arrival = sorted(rows, key=lambda r: r[1] + rng.randrange(12 * 3600))
+    end = max(r[1] for r in rows) + 10 * 86400
+    parts = [arrival[i : i + 40] for i in range(0, len(arrival), 40)] + [[("end", end, "likely", 9999)], [("end", end + 1, "likely", 10000)]]
+    got = []
+    stream_of = notice_stream(stream(spark, None, schema, str(tmp_path / "in"), parts))
+    stream_of.writeStream.foreachBatch(lambda b, i: got.extend(map(tuple, b.collect()))).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    want, ledger = [], {}
+    for key, t, rule, event_id in sorted(rows, key=lambda r: (r[0], r[1], r[2] != "urgent", r[3])):
+        urgent, last = ledger.get(key, (False, t - WEEK))
+        if not urgent if rule == "urgent" else t - last >= WEEK:
+            want.append((key, t, rule, event_id))
+            ledger[key] = (urgent or rule == "urgent", t)
+    assert sorted(map(tuple, notices_of(spark.createDataFrame(rows, schema)).collect())) == sorted(want)
+    assert sorted(r for r in got if r[0] != "end") == sorted(want) and {r[2] for r in want} == {"urgent", "likely"}
