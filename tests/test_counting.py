@@ -1,5 +1,6 @@
 """Places and medians by counting against plain Python."""
 
+import math
 import random
 import statistics
 
@@ -23,6 +24,12 @@ def test_places_and_medians(spark):
         want = sorted(v for c, _, v in rows() if c == cell and v is not None)
         assert [v for _, v, _ in sorted(found)] == want and sorted(p for p, *_ in found) == list(range(len(want))) and {n for *_, n in found} == {len(want)}
     assert {(r["cell"], r["n"]): r["mid"] for r in medians(df, ["cell"], "value").collect()} == {(c, len(x)): statistics.median(x) for c in got for x in [[v for k, _, v in rows() if k == c and v is not None]]}
+    for share in (0.25, 0.9):
+        got_at = {r["cell"]: r["mid"] for r in medians(df, ["cell"], "value", share=share).collect()}
+        for c in got:
+            v = sorted(v for k, _, v in rows() if k == c and v is not None)
+            at = (len(v) - 1) * share
+            assert math.isclose(got_at[c], v[int(at)] + (v[math.ceil(at)] - v[int(at)]) * (at - int(at)), rel_tol=1e-9, abs_tol=1e-9)
     assert medians(df, [], "value").first()["mid"] == statistics.median(v for *_, v in rows() if v is not None)
     assert placed(df.limit(0), ["cell"], "value").count() == 0
 

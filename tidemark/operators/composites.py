@@ -9,6 +9,7 @@ from tidemark.functions.text import folded
 from tidemark.operators.aggregates import cells, paired_ratio
 from tidemark.operators.filters import _REASON, reject_reason
 from tidemark.operators.ledger import presence
+from tidemark.operators.counting import medians
 from tidemark.plans.register import query
 from tidemark.sources.views import market, observed, r, rounded, table, titled
 
@@ -142,7 +143,7 @@ def round_trips(spark, sf_dir):
     """Buying cheapest in one market and selling at the median in another, after fees and transfer."""
     m = market(spark, sf_dir)
     buy = quotes(m.where("basis = 'ask'").select("key", "site", "price").distinct()).groupBy("site").agg(F.min("landed").alias("cost"))
-    sell = m.where("basis = 'sold'").groupBy(F.col("site").alias("sell_site")).agg(F.expr("percentile(price, 0.5)").alias("mid"))
+    sell = medians(m.where("basis = 'sold'"), ["site"], "price").select(F.col("site").alias("sell_site"), "mid")
     gain = F.col("mid") * USD * 0.8 - F.col("cost") - F.lit(2200) * JPY
     verdict = F.when(F.col("site") == F.col("sell_site"), "same_market").when(gain > GRADING_FEE, "go").otherwise("stay")
     return buy.crossJoin(F.broadcast(sell)).select("site", "sell_site", rounded(gain).alias("gain"), verdict.alias("verdict"))  # one row for each market

@@ -34,14 +34,15 @@ def placed(rows: DataFrame, by: list[str], value: str, *ties: str) -> DataFrame:
     return df.join(counts, [*by, "bucket_"]).withColumn("place", F.col("before_") + inside).drop("bucket_", "before_")
 
 
-def medians(rows: DataFrame, by: list[str], value: str, to: str = "mid") -> DataFrame:
-    """The exact median of each group, and its n.
+def medians(rows: DataFrame, by: list[str], value: str, to: str = "mid", share: float = 0.5) -> DataFrame:
+    """The exact median of each group, or another quantile (between two values by their distances), and its n.
 
     Equal values are counted before anything is dealt by bucket, so a value that most rows share is one row; only the buckets
     in which the middle lies are looked into.
     """
     at = lambda place: (F.col("before_") <= place) & (F.col("before_") + F.col("here_") > place)
-    low, high = F.floor((F.col("of") - 1) / 2), F.floor(F.col("of") / 2)
+    at_share = (F.col("of") - 1) * share
+    low, high = F.floor(at_share), F.ceil(at_share)
     group = Window.partitionBy(*by)
     upto = lambda w, x: F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(x)
     values = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n_")).withColumn("bucket_", _bucket(F.col(value)))
@@ -49,7 +50,9 @@ def medians(rows: DataFrame, by: list[str], value: str, to: str = "mid") -> Data
     buckets = buckets.withColumn("before_", upto(group.orderBy("bucket_"), "here_")).withColumn("of", F.sum("here_").over(group)).where(at(low) | at(high))
     inside = values.join(buckets.select(*by, "bucket_", F.col("before_").alias("start_"), "of"), [*by, "bucket_"])
     inside = inside.withColumn("here_", F.col("n_")).withColumn("before_", F.col("start_") + upto(Window.partitionBy(*by, "bucket_").orderBy(value), "n_"))
-    return inside.where(at(low) | at(high)).groupBy(*by).agg(((F.min(value) + F.max(value)) / 2).alias(to), F.first("of").alias("n"))
+    found = inside.where(at(low) | at(high)).groupBy(*by).agg(F.min(value).alias("least_"), F.max(value).alias("most_"), F.first("of").alias("n"), F.first("of").alias("of"))
+    between = (F.col("least_") + F.col("most_")) / 2 if share == 0.5 else F.when(low == high, F.col("least_")).otherwise((high - at_share) * F.col("least_") + (at_share - low) * F.col("most_"))
+    return found.select(*by, between.alias(to), "n")
 
 
 def others_median(rows: DataFrame, keys: list[str], own: str, value: str, least: int) -> DataFrame:

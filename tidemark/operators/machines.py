@@ -9,6 +9,8 @@ from tidemark.functions.money import VENUES, USD, quotes, quotes_sql
 from tidemark.operators.aggregates import comparables_best_tier
 from tidemark.operators.ledger import presence
 from tidemark.operators.model import valuation_ladder
+from tidemark.operators.counting import medians
+from tidemark.sources.shared import kept
 from tidemark.plans.register import SQL, query
 from tidemark.sources.views import market, observed, r, rounded
 
@@ -165,7 +167,7 @@ SELECT rarity, venue, n, {r('net', 2)} AS net, CASE WHEN venue = 'hold' THEN 'ho
 )
 def sell_options(spark, sf_dir):
     """Where a kind of card could be sold, at the low quarter of the venue's own sales less its costs, and the choice to hold."""
-    p = market(spark, sf_dir).where("basis = 'sold'").groupBy("site", "rarity").agg(F.expr("percentile(price, 0.25)").alias("low"), F.count("*").alias("n"))
+    p = kept(medians(market(spark, sf_dir).where("basis = 'sold'"), ["site", "rarity"], "price", "low", 0.25), "low-prices")
     w = spark.createDataFrame([tuple(v) for v in VENUES], "venue string, commission double, payment double, fixed double, shipping double")
     sold = p.join(F.broadcast(w), F.col("venue") == F.col("site"))  # a fixed list of venues
     o = sold.select("rarity", "venue", "n", (F.col("low") * (1 - F.col("commission") - F.col("payment")) - F.col("fixed") - F.col("shipping")).alias("net"))

@@ -25,7 +25,7 @@ _SAMPLES = "s AS (SELECT key, card, rarity, grader, grade, site, ln(price) AS lp
 
 def grade_curve(s: DataFrame) -> DataFrame:
     """ln price of a grade over grade 9: the median over rarities of differences of cell medians, shrunk to 0."""
-    cell = s.groupBy("rarity", "grade").agg(F.expr("percentile(lp, 0.5)").alias("m"), F.count("*").alias("n")).where(F.col("n") >= MIN_CELL)
+    cell = medians(s, ["rarity", "grade"], "lp", "m").where(F.col("n") >= MIN_CELL)
     base = cell.where(F.col("grade") == BASE_GRADE).select("rarity", F.col("m").alias("m9"), F.col("n").alias("n9"))
     g = cell.join(base, "rarity").groupBy("grade").agg(F.percentile(F.col("m") - F.col("m9"), F.lit(0.5)).alias("d"), F.sum(F.least("n", "n9")).alias("support"))
     return g.withColumn("effect", F.col("d") * F.col("support") / (F.col("support") + SHRINK))
@@ -48,7 +48,7 @@ SELECT a.site, CAST(sum(least(a.n, b.n)) AS BIGINT) AS support, {r(f"median(a.m
 def fit_venue_curve(spark, sf_dir):
     """The same for markets, within rarity, grader and grade; the market with most sales is the base."""
     s = samples(spark, sf_dir)
-    cell = s.groupBy("site", "rarity", "grader", "grade").agg(F.expr("percentile(lp, 0.5)").alias("m"), F.count("*").alias("n")).where(F.col("n") >= MIN_CELL)
+    cell = medians(s, ["site", "rarity", "grader", "grade"], "lp", "m").where(F.col("n") >= MIN_CELL)
     base = s.groupBy("site").count().orderBy(F.desc("count"), "site").limit(1).select(F.col("site").alias("base"))
     other = cell.join(F.broadcast(base), F.col("site") == F.col("base")).select("rarity", "grader", "grade", F.col("m").alias("mb"), F.col("n").alias("nb"))
     g = cell.join(other, ["rarity", "grader", "grade"]).groupBy("site").agg(F.percentile(F.col("m") - F.col("mb"), F.lit(0.5)).alias("d"), F.sum(F.least("n", "nb")).alias("support"))

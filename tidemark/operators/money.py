@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.money import BATCH, DIRECT_SHIPPING, JPY, REMITTANCE, SPREAD, USD, VENUES, overhead, quotes, quotes_sql, routes, to_home, ROUTES_SQL, _UP
+from tidemark.operators.counting import medians
 from tidemark.plans.register import query
 from tidemark.sources.views import market, r, rounded
 
@@ -130,9 +131,9 @@ FROM (SELECT site, {r("median(price)")} AS buy FROM market WHERE basis = 'ask' G
 def feasibility_matrix(spark, sf_dir):
     """Every market to buy in against every venue to sell in; the first obstacle is named."""
     m = market(spark, sf_dir)
-    mid = rounded(F.expr("percentile(price, 0.5)"))
-    buy = m.where("basis = 'ask'").groupBy(F.col("site").alias("buy_site")).agg(mid.alias("buy"))
-    sell = m.where("basis = 'sold'").groupBy(F.col("site").alias("venue")).agg(mid.alias("sell"))
+    both = medians(m, ["basis", "site"], "price").withColumn("mid", rounded("mid"))
+    buy = both.where("basis = 'ask'").select(F.col("site").alias("buy_site"), F.col("mid").alias("buy"))
+    sell = both.where("basis = 'sold'").select(F.col("site").alias("venue"), F.col("mid").alias("sell"))
     v = spark.createDataFrame([(x[0],) for x in VENUES], "venue string")
     df = buy.crossJoin(F.broadcast(v)).join(sell, "venue", "left")
     verdict = F.when(F.col("buy_site") == F.col("venue"), "same_market").when(F.col("sell").isNull(), "no_price").when(F.col("sell") <= F.col("buy"), "no_margin").otherwise("feasible")

@@ -9,13 +9,14 @@ from tidemark.operators.counting import medians, placed
 from tidemark.operators.model import BASE_GRADE, MIN_CELL, SHRINK, residuals, samples
 from tidemark.operators.model import _RES, _SAMPLES, _conformal_sql, conformal
 from tidemark.plans.register import query
+from tidemark.sources.shared import kept
 from tidemark.sources.views import market, r, rounded
 
 # --- Curves fitted one after the other
 
 
 def grade_effects(s: DataFrame, value: str) -> DataFrame:
-    cell = s.groupBy("rarity", "grade").agg(F.expr(f"percentile({value}, 0.5)").alias("m"), F.count("*").alias("n")).where(F.col("n") >= MIN_CELL)
+    cell = medians(s, ["rarity", "grade"], value, "m").where(F.col("n") >= MIN_CELL)
     base = cell.where(F.col("grade") == BASE_GRADE).select("rarity", F.col("m").alias("mb"), F.col("n").alias("nb"))
     g = cell.join(base, "rarity").groupBy("grade").agg(F.percentile(F.col("m") - F.col("mb"), F.lit(0.5)).alias("d"), F.sum(F.least("n", "nb")).alias("support"))
     return g.select("grade", (F.col("d") * F.col("support") / (F.col("support") + SHRINK)).alias("grade_effect"))
@@ -31,14 +32,15 @@ def level_effects(s: DataFrame, by: str, value: str, to: str) -> DataFrame:
 def backfit(s: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Effects of grade, market and rarity: grade, then market on what is left, grade again without the market, then rarity.
 
-    Each table has one row for each level, so Spark may broadcast it.
+    Each table has one row for each level, so Spark may broadcast it. What a step leaves is written, as the next one reads it twice.
     """
-    with_grade = s.join(grade_effects(s, "lp"), "grade", "left").withColumn("left1", F.col("lp") - F.coalesce("grade_effect", F.lit(0.0))).drop("grade_effect")
-    site = level_effects(with_grade, "site", "left1", "site_effect")
-    no_site = s.join(site, "site", "left").withColumn("left2", F.col("lp") - F.coalesce("site_effect", F.lit(0.0)))
-    grade = grade_effects(no_site, "left2")
+    s = kept(s, "backfit")
+    with_grade = s.join(kept(grade_effects(s, "lp"), "backfit"), "grade", "left").withColumn("left1", F.col("lp") - F.coalesce("grade_effect", F.lit(0.0))).drop("grade_effect")
+    site = kept(level_effects(kept(with_grade, "backfit"), "site", "left1", "site_effect"), "backfit")
+    no_site = kept(s.join(site, "site", "left").withColumn("left2", F.col("lp") - F.coalesce("site_effect", F.lit(0.0))), "backfit")
+    grade = kept(grade_effects(no_site, "left2"), "backfit")
     rest = no_site.join(grade, "grade", "left").withColumn("left3", F.col("left2") - F.coalesce("grade_effect", F.lit(0.0)))
-    return grade, site, level_effects(rest.drop("grade_effect"), "rarity", "left3", "rarity_effect")
+    return grade, site, level_effects(kept(rest.drop("grade_effect"), "backfit"), "rarity", "left3", "rarity_effect")
 
 
 def _grade_sql(source: str, value: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.money import USD, to_home
-from tidemark.operators.counting import placed
+from tidemark.operators.counting import medians, placed
 from tidemark.operators.filters import evidence_gate
 from tidemark.operators.money import bid_ceiling
 from tidemark.operators.sellers import _METRICS, _RATIOS, herfindahl, metrics, ratios, seller_score
@@ -177,9 +177,10 @@ def lens_conflicts(spark, sf_dir):
     """
     m = market(spark, sf_dir)
     a = metrics(ratios(m)).select("seller", F.col("q")[1].alias("lens_a"))
-    b = m.where("price > 0 AND list_price > 0").groupBy("seller").agg(F.percentile(F.ln(F.col("price") / F.col("list_price")), F.lit(0.5)).alias("lens_b"))
+    b = medians(m.where("price > 0 AND list_price > 0").select("seller", F.ln(F.col("price") / F.col("list_price")).alias("x")), ["seller"], "x", "lens_b").drop("n")
     sold = m.where("basis = 'sold' AND price > 0").select("seller", "card", "rarity", "grade", F.ln("price").alias("lp"))
-    c = sold.join(ladder(samples(spark, sf_dir)).select("card", "rarity", "grade", "est"), ["card", "rarity", "grade"]).groupBy("seller").agg(F.percentile(F.col("lp") - F.col("est"), F.lit(0.5)).alias("lens_c"))
+    c = sold.join(ladder(samples(spark, sf_dir)).select("card", "rarity", "grade", "est"), ["card", "rarity", "grade"]).select("seller", (F.col("lp") - F.col("est")).alias("x"))
+    c = medians(c, ["seller"], "x", "lens_c").drop("n")
     sign = lambda x: F.when(F.col(x) > DEAD_BAND, 1).when(F.col(x) < -DEAD_BAND, -1).otherwise(0)
     conflict = (sign("lens_a") * sign("lens_b") == -1) | (sign("lens_a") * sign("lens_c") == -1)
     return a.join(b, "seller", "left").join(c, "seller", "left").select("seller", *[rounded(x, 4).alias(x) for x in ("lens_a", "lens_b", "lens_c")], conflict.alias("conflict"), F.lit("B,C").alias("untrusted"))
