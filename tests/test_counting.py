@@ -74,3 +74,16 @@ def test_equal_values_are_counted_before_they_are_dealt(spark):
     assert plan.first()["mid"] == 5.0
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "row_number" not in text and "partial_count" in text
+
+
+def test_seller_report_finds_peers_once(spark, monkeypatch):
+    """All parts of the report rest on one search for peers and one stored table."""
+    from tidemark.operators import joins, sellers, watch
+
+    calls, stored = [], []
+    real, keep = joins.with_others_median, sellers.kept
+    monkeypatch.setattr(joins, "with_others_median", lambda rows, by, *a, **k: calls.append((tuple(by), rows.columns)) or real(rows, by, *a, **k))
+    monkeypatch.setattr(sellers, "kept", lambda df, name: stored.append(df.columns) or keep(df, name))
+    watch.seller_alpha_report(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1 and calls[0][0] == joins.TIERS[2] and "key" not in calls[0][1]
+    assert len(stored) == 1 and "key" not in stored[0]

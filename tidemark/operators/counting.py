@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from tidemark.sources.shared import kept
+
 STEPS = 1024  # buckets for each doubling of 1 + |value|
 
 
@@ -101,12 +103,14 @@ def _medians_of_others(cell: np.ndarray, own: np.ndarray, value: np.ndarray, lea
     return n, mid
 
 
-def with_others_median(rows: DataFrame, by: list[str], tiers: dict[str, tuple[str, ...]], own: str, value: str, least: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+def with_others_median(rows: DataFrame, by: list[str], tiers: dict[str, tuple[str, ...]], own: str, value: str, least: int, cell_rows: int = CELL_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """``rows`` with n<tier> and m<tier>: how many rows of the same cell aren't of the same ``own``, and their median.
 
     A tier's cell is what agrees in its columns; all tiers have the columns ``by``, so that rows are dealt once for all of them.
     Both are null where there are fewer than ``least`` such rows, and for rows without a value, which count for nobody. Tasks hold
     one cell of ``by`` at a time, of ``cell_rows`` rows at most; the rows of larger ones are found by counting (``others_median``).
+    Cells are counted on ``counted``, which has the same rows in a form that is cheaper to read; ``rows`` are then stored only if
+    there are large cells.
     """
     names = list(rows.columns)
     added = [pa.field(f"{x}{t}", pa.int64() if x == "n" else pa.float64()) for t in tiers for x in "nm"]
@@ -147,8 +151,10 @@ def with_others_median(rows: DataFrame, by: list[str], tiers: dict[str, tuple[st
             yield from cells(pa.Table.from_batches(held)).to_batches()
 
     schema = StructType([*rows.schema.fields, *[StructField(f.name, LongType() if f.name[0] == "n" else DoubleType()) for f in added]])
-    large = rows.groupBy(*by).agg(F.count("*").alias("rows_")).where(F.col("rows_") > cell_rows).select(*by)
+    large = (rows if counted is None else counted).groupBy(*by).agg(F.count("*").alias("rows_")).where(F.col("rows_") > cell_rows).select(*by)
     hot = not large.isEmpty()
+    if hot and counted is not None:
+        rows = kept(rows, "cells")
     small = rows.join(large, by, "left_anti").select(*names) if hot else rows
     out = small.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
     if not hot:

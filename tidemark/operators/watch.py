@@ -9,9 +9,10 @@ from tidemark.functions.money import USD, to_home
 from tidemark.operators.counting import medians, placed
 from tidemark.operators.filters import evidence_gate
 from tidemark.operators.money import bid_ceiling
-from tidemark.operators.sellers import _METRICS, _RATIOS, herfindahl, metrics, ratios, seller_score
-from tidemark.operators.model import _CURVE, _LADDER, _SAMPLES, ladder, samples
+from tidemark.operators.sellers import _METRICS, _RATIOS, concentration, levels, metrics, ratios, scores, seller_score, stock
+from tidemark.operators.model import _CURVE, _LADDER, _SAMPLES, ladder
 from tidemark.plans.register import SQL, query
+from tidemark.sources.shared import kept
 from tidemark.sources.views import market, observed, r, rounded, table, titled
 
 
@@ -175,11 +176,16 @@ def lens_conflicts(spark, sf_dir):
 
     Only the first lens is trusted; the others see the seller's own mix of goods.
     """
-    m = market(spark, sf_dir)
-    a = metrics(ratios(m)).select("seller", F.col("q")[1].alias("lens_a"))
+    m = stock(spark, sf_dir, "list_price")
+    return lenses(m, metrics(ratios(m)))
+
+
+def lenses(m: DataFrame, found: DataFrame) -> DataFrame:
+    """``lens_conflicts`` from the stock and its ``metrics``."""
+    a = found.select("seller", F.col("q")[1].alias("lens_a"))
     b = medians(m.where("price > 0 AND list_price > 0").select("seller", F.ln(F.col("price") / F.col("list_price")).alias("x")), ["seller"], "x", "lens_b").drop("n")
     sold = m.where("basis = 'sold' AND price > 0").select("seller", "card", "rarity", "grade", F.ln("price").alias("lp"))
-    c = sold.join(ladder(samples(spark, sf_dir)).select("card", "rarity", "grade", "est"), ["card", "rarity", "grade"]).select("seller", (F.col("lp") - F.col("est")).alias("x"))
+    c = sold.join(ladder(sold).select("card", "rarity", "grade", "est"), ["card", "rarity", "grade"]).select("seller", (F.col("lp") - F.col("est")).alias("x"))
     c = medians(c, ["seller"], "x", "lens_c").drop("n")
     sign = lambda x: F.when(F.col(x) > DEAD_BAND, 1).when(F.col(x) < -DEAD_BAND, -1).otherwise(0)
     conflict = (sign("lens_a") * sign("lens_b") == -1) | (sign("lens_a") * sign("lens_c") == -1)
@@ -189,7 +195,8 @@ def lens_conflicts(spark, sf_dir):
 @query("SELECT seller, score, cards, hhi, CAST(row_number() OVER (ORDER BY score DESC, hhi, seller) AS BIGINT) AS position FROM (" + SQL["seller_score"] + ") s JOIN (" + SQL["herfindahl"] + ") h USING (seller) WHERE score IS NOT NULL ORDER BY position LIMIT 50")
 def rank_sellers(spark, sf_dir):
     """The fifty best sellers: score first, then the wider stock, then the key (a report)."""
-    df = seller_score(spark, sf_dir).where("score IS NOT NULL").join(herfindahl(spark, sf_dir), "seller")
+    m = stock(spark, sf_dir)
+    df = scores(m, metrics(ratios(m))).where("score IS NOT NULL").join(concentration(m), "seller")
     order = [F.desc("score"), F.col("hhi"), F.col("seller")]
     top = df.select("seller", "score", "cards", "hhi").orderBy(*order).limit(50)
     return top.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))  # fifty rows
@@ -198,11 +205,10 @@ def rank_sellers(spark, sf_dir):
 @query("SELECT seller, s.score, s.refusal, m.cards, m.comparable, m.median_lr, h.hhi, l.conflict FROM (" + SQL["seller_score"] + ") s JOIN (" + SQL["seller_metrics"] + ") m USING (seller) LEFT JOIN (" + SQL["herfindahl"] + ") h USING (seller) LEFT JOIN (" + SQL["lens_conflicts"] + ") l USING (seller)")
 def seller_alpha_report(spark, sf_dir):
     """Everything about a seller in one row: score or refusal, evidence, level, concentration, and whether lenses disagree."""
-    from tidemark.operators.sellers import seller_metrics
-
-    h = herfindahl(spark, sf_dir).select("seller", "hhi")
-    m = seller_metrics(spark, sf_dir).select("seller", "cards", "comparable", "median_lr")
-    df = seller_score(spark, sf_dir).join(m, "seller").join(h, "seller", "left").join(lens_conflicts(spark, sf_dir).select("seller", "conflict"), "seller", "left")
+    m = stock(spark, sf_dir, "list_price")
+    found = kept(metrics(ratios(m)), "metrics")  # one row for each seller, read three times
+    df = scores(m, found).join(levels(found).select("seller", "cards", "comparable", "median_lr"), "seller")
+    df = df.join(concentration(m).select("seller", "hhi"), "seller", "left").join(lenses(m, found).select("seller", "conflict"), "seller", "left")
     return df.select("seller", "score", "refusal", "cards", "comparable", "median_lr", "hhi", "conflict")
 
 
