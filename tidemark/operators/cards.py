@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.parsing import Lexicon, edition_of, grade_of, markers, parsed_card, resolved_grade, series_of
+from tidemark.functions.parsing import Lexicon, edition_of, evidence_of, grade_of, markers, parsed_card, resolved_grade, series_of
 from tidemark.plans.register import query
 from tidemark.sources.views import market, titled
 
@@ -82,6 +82,6 @@ SELECT hit, count(*) AS n FROM e GROUP BY hit""",
 )
 def keyword_evidence(spark, sf_dir):
     """Words that exclude a title or prove its era, place by place: a word followed by its anti-suffix is no proof."""
-    df = titled(market(spark, sf_dir)).select("title").distinct().select(parsed_card(F.col("title"), LEXICON).alias("c"))
+    df = titled(market(spark, sf_dir)).select("title").distinct().select(evidence_of(F.col("title"), LEXICON).alias("c"))
     hit = F.when(F.col("c.excluded_by").isNotNull(), "excluded").when(F.exists("c.era_evidence", lambda x: x.startswith("word:")), "era_word").otherwise("none")
     return df.groupBy(hit.alias("hit")).agg(F.count("*").alias("n"))
