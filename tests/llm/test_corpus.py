@@ -514,6 +514,18 @@ def test_seating_has_the_right_number_of_tables():
     assert fewer[1].sum() == 20 * many and h.seated(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), d, rng)[0].size == 0
 
 
+def test_a_sweep_moves_as_many_customers_as_a_dish_has():
+    """From a table for each customer, a single sweep leaves few tables, in small, large and very large dishes."""
+    from tidemark.llm import hpy_model as h
+
+    rng = np.random.default_rng(2)
+    for n, many in ((400, 100), (400, 3), (20_000, 1)):
+        tables, sizes = h.seated(np.full(many, n), np.ones(n * many, np.int64), np.full(many, n), np.full(many, 0.5), 0.5, rng)
+        assert sizes.sum() == n * many and sizes.min() > 0 and len(sizes) == tables.sum() and tables.max() < 0.8 * n
+    one = h.crowd(np.ones(100_000, np.int64), 100_000, 0.5, 0.5, rng)
+    assert one.sum() == 100_000 and one.min() > 0 and len(one) < 80_000
+
+
 def test_model_probabilities_sum_to_one(monkeypatch):
     from tidemark.llm import hpy_model as h
 

@@ -8,7 +8,7 @@ customer of its parent, so contexts share what their parents know.
 Seats are drawn by Gibbs sampling. Every dish starts with a seating by the Chinese restaurant process. In a sweep, customers
 are taken out one by one, each drawn from all customers of its dish, and seated again given the rest: at a table in proportion
 to its customers less the discount, or at a new one in proportion to the context's weight times the parent's predictive
-probability of the word. A dish of n customers makes MOVES times the root of n such moves, n at most. Then the parents get the
+probability of the word. A dish of n customers makes n such moves in a sweep. Then the parents get the
 tables as customers, and make their moves. As customers of one dish are alike, a dish's state is the sizes of its tables. The
 dishes of a sweep are drawn in parallel, given the totals and parents' probabilities that the sweep before has left (the
 usual approximation for distributed Gibbs sampling). After BURN sweeps the predictive probabilities of SAMPLES sweeps are
@@ -33,6 +33,7 @@ other than doc_id and text are ignored, whatever their names.
 from __future__ import annotations
 
 import io
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,10 +51,11 @@ BLOCK_TOKENS = 1_500_000
 PART_BYTES = 8 << 20  # of text for each part, so that a part's requests fit a worker whatever the input is
 CLASS_BITS, CODE_BITS = 11, 40  # a context's code: a hash, and its class in the low bits
 CLASSES = 1 << CLASS_BITS
-BURN, SAMPLES, CONCENTRATION, MOVES = 1, 2, 1.0, 1
+BURN, SAMPLES, CONCENTRATION = 1, 2, 1.0
 EVERY = 8
 STEPS = 5000  # of an answer's log10, which is a whole number of them
-CROWD = 1 << 16  # customers from which a dish keeps table sizes alone
+CROWD = 1 << 16  # customers from which a dish keeps table sizes alone between sweeps
+FEW = 48  # dishes that are no longer moved side by side
 END = b""  # no word is empty
 U64 = np.uint64
 ROW = "part int, other long, kind int, body binary"
@@ -337,19 +339,66 @@ class Seating:
             self.add(d, np.minimum(goal[d] - self.c[d], np.maximum(1, self.c[d] // 16)), odds, discount)
 
     def sweep(self, odds: np.ndarray, discount: float) -> None:
-        moves = np.where(self.c > 1, np.minimum(self.c, np.ceil(MOVES * np.sqrt(self.c))), 0).astype(np.int64)
+        """As many moves of each dish as it has customers: side by side while there are many such dishes, then each of the largest."""
+        moves = np.where(self.c > 1, self.c, 0)
         order = np.argsort(-moves, kind="stable")
         many = moves[order]
         for step in range(int(many[0]) if len(many) else 0):
             d = order[: np.searchsorted(-many, -step, side="left")]
+            if len(d) < FEW:
+                for i in d:
+                    self.finish(i, int(moves[i]) - step, float(odds[i]), discount)
+                break
             self.remove(d)
             self.add(d, None, odds, discount)
 
+    def finish(self, i: int, moves: int, odds: float, discount: float) -> None:
+        """The last moves of a dish; of its seats only the table sizes are kept."""
+        at = self.at[i]
+        names, seats = np.unique(self.table[at : at + self.c[i]], return_inverse=True)
+        sizes = moved(seats, self.size[names], moves, odds, discount, self.rng)
+        self.size[at : at + self.room[i]] = 0
+        self.size[at : at + len(sizes)] = sizes
+        self.t[i] = len(sizes)
+
     def sizes(self) -> np.ndarray:
         """Table sizes, dish after dish."""
         return self.size[self.size > 0]
 
 
+def moved(seats: np.ndarray, sizes: np.ndarray, moves: int, odds: float, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Table sizes of one dish after so many moves; ``seats`` has the table of each customer."""
+    at, size, free, c, t = array("i", seats.astype(np.int32).tobytes()), sizes.tolist(), [], len(seats), len(sizes)
+
+    def draws() -> Iterator[float]:
+        while True:
+            yield from rng.random(1 << 12).tolist()
+
+    draw = draws().__next__
+    for _ in range(moves):
+        i = int(draw() * c)
+        table = at[i]
+        size[table] -= 1
+        if not size[table]:
+            free.append(table)
+            t -= 1
+        if draw() * (odds + c - 1 - discount * t) < odds:
+            if not free:
+                free.append(len(size))
+                size.append(0)
+            table = free.pop()
+            t += 1
+        else:
+            while True:  # the table of any other customer, kept in proportion to its customers less the discount
+                j = int(draw() * (c - 1))
+                table = at[j + (j >= i)]
+                if draw() * size[table] >= discount:
+                    break
+        at[i] = table
+        size[table] += 1
+    return np.array([n for n in size if n], np.int64)
+
+
 def crowd(sizes: np.ndarray, goal: int, odds: float, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Table sizes of one dish of very many customers after they are brought to ``goal`` and have made a sweep's moves."""
     sizes, c = sizes.astype(np.int64), int(sizes.sum())
@@ -362,17 +411,7 @@ def crowd(sizes: np.ndarray, goal: int, odds: float, discount: float, rng: np.ra
     if c > goal:
         sizes = rng.multivariate_hypergeometric(sizes, goal, method="marginals")
         sizes, c = sizes[sizes > 0], goal
-    for _ in range(int(min(c, np.ceil(MOVES * np.sqrt(c))))):
-        k = int(np.searchsorted(np.cumsum(sizes), rng.integers(c), side="right"))
-        sizes[k] -= 1
-        if not sizes[k]:
-            sizes = np.delete(sizes, k)
-        if rng.random() * (odds + c - 1 - discount * len(sizes)) < odds:
-            sizes = np.append(sizes, 1)
-        else:
-            upto = np.cumsum(sizes - discount)
-            sizes[min(len(sizes) - 1, int(np.searchsorted(upto, rng.random() * upto[-1], side="right")))] += 1
-    return sizes
+    return moved(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), sizes, c if c > 1 else 0, odds, discount, rng)
 
 
 def seated(tables: np.ndarray, sizes: np.ndarray, goal: np.ndarray, odds: np.ndarray, discount: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
