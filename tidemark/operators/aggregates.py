@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.register import query
+from tidemark.sources.shared import kept
 from tidemark.sources.views import market, observed, r, rounded, titled
 
 MIN_CELL, MIN_STRATA = 4, 3
@@ -169,10 +170,33 @@ def comparables_best_tier(spark, sf_dir):
 
     Where a tier is the best, it holds all sales of its key, so each tier is aggregated once and looked up.
     """
-    m = market(spark, sf_dir)
-    out, sold = m.where("basis = 'ask'").select("key", "card", "rarity", "grader", "grade").distinct(), m.where("basis = 'sold'")
+    m = asks_and_sales(spark, sf_dir)
+    asks = m.where("basis = 'ask'").select("key", *CELL).distinct()
+    return with_best_tier(asks, m).select("key", "card", "tier", "n", "venues", rounded("mid", 6).alias("median_price")).where("tier IS NOT NULL")
+
+
+CELL = ("card", "rarity", "grader", "grade")
+
+
+def asks_and_sales(spark, sf_dir) -> DataFrame:
+    """What comparisons of asks with sales read, stored once: the tables are joined once for both. Sales have no key."""
+    key = F.when(F.col("basis") == "ask", F.col("key")).alias("key")
+    return kept(market(spark, sf_dir).select(key, "basis", "site", "price", *CELL), "asks-and-sales")
+
+
+def with_best_tier(asks: DataFrame, rows: DataFrame) -> DataFrame:
+    """``asks`` with the best tier of sales in ``rows`` that isn't empty (or null): tier, n, venues and mid, their median price.
+
+    All that a tier says depends on the cell (CELL) alone, so tiers are looked up for cells, not for asks. Sales are counted by value
+    first, and the cells' table is stored, so that Spark knows its size when it plans the one join with the asks.
+    """
+    sales = kept(rows.where("basis = 'sold'").groupBy(*CELL, "site", "price").agg(F.count("*").alias("n")), "sales")
+    out = rows.where("basis = 'ask'").select(*CELL).distinct()
     for tier, keys in enumerate((["card", "rarity", "grader", "grade"], ["card", "rarity", "grade"], ["card", "rarity"], ["card"]), 1):
-        out = out.join(sold.groupBy(*keys).agg(F.count("*").alias(f"n{tier}"), F.count_distinct("site").alias(f"v{tier}"), F.expr("percentile(price, 0.5)").alias(f"m{tier}")), keys, "left")
+        found = sales.groupBy(*keys).agg(F.sum("n").alias(f"n{tier}"), F.size(F.collect_set("site")).cast("long").alias(f"v{tier}"), F.expr("percentile(price, 0.5, n)").alias(f"m{tier}"))
+        out = out.join(found, keys, "left")
     first = lambda x: F.coalesce(*[f"{x}{k}" for k in range(1, 5)])
     tier = F.coalesce(*[F.when(F.col(f"n{k}").isNotNull(), k) for k in range(1, 5)])
-    return out.select("key", "card", tier.alias("tier"), first("n").alias("n"), first("v").alias("venues"), rounded(first("m"), 6).alias("median_price")).where("tier IS NOT NULL")
+    cells = kept(out.select(*[F.col(c).alias(f"{c}_") for c in CELL], tier.alias("tier"), first("n").alias("n"), first("v").alias("venues"), first("m").alias("mid")), "cells")
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in CELL]
+    return asks.join(cells, same, "left").drop(*[f"{c}_" for c in CELL])
