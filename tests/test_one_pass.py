@@ -15,3 +15,10 @@ def test_best_tier_is_looked_up_for_cells(spark):
     from tidemark.operators.aggregates import comparables_best_tier
 
     assert passes(comparables_best_tier(spark, SF)) == 0  # all from one stored table
+
+
+def test_pairs_are_found_by_one_deal(spark):
+    from tidemark.operators.joins import dual_listing_pairs
+
+    df = dual_listing_pairs(spark, SF)
+    assert passes(df) == 1 and " bucket" not in df._jdf.queryExecution().optimizedPlan().toString()

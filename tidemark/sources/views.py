@@ -27,17 +27,43 @@ def r(x: str, digits: int = 2) -> str:
     return f"(CAST(floor(({x}) * {10**digits} + 0.5) AS DOUBLE) / {10**digits})"
 
 
-def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings (basis ask) and completed sales (basis sold) in one shape."""
+#: The numbers of which a listing's key is made: where rows are dealt again, they are carried in place of the text.
+KEY_PARTS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents")
+
+
+def key_of(*parts: str) -> Column:
+    return F.concat_ws("-", *parts)
+
+
+def lines(spark: SparkSession, sf_dir: str, parts: bool = True) -> DataFrame:
+    """The rows of ``market`` as the tables name them, with KEY_PARTS in place of the key; without ``parts`` they aren't joined to part yet."""
     line, orders, part = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     supplier, nation, region = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     site = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", F.col("r_name").alias("site"))
-    rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).join(site, F.col("l_suppkey") == F.col("s_suppkey"))
-    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long")
-    return rows.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents).alias("key"),
-        F.when(F.col("o_orderstatus") == "O", "ask").otherwise("sold").alias("basis"),
+    # What a line says is computed before it is joined, so shuffles carry one price and one time for what they are made of.
+    line = line.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long").alias("cents"),
         F.when(F.col("l_linestatus") == "O", "auction").otherwise("fixed").alias("kind"),
+        F.col("l_returnflag").alias("grader"),
+        rounded(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+        F.unix_timestamp("l_shipdate").alias("sold_at"),
+    )
+    orders = orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "ask").otherwise("sold").alias("basis"), "o_custkey", "o_orderpriority")
+    part = part.select("p_partkey", "p_name", "p_brand", "p_type", (F.col("p_size") % 4 + 7).cast("int").alias("grade"), "p_retailprice")
+    rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if parts:
+        rows = rows.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return rows.join(site, F.col("l_suppkey") == F.col("s_suppkey"))
+
+
+def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings (basis ask) and completed sales (basis sold) in one shape."""
+    return lines(spark, sf_dir).select(
+        key_of(*KEY_PARTS).alias("key"),
+        "basis",
+        "kind",
         "site",
         F.col("l_suppkey").alias("seller"),
         F.col("o_custkey").alias("buyer"),
@@ -45,12 +71,12 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("card"),
         F.col("p_brand").alias("series"),
         F.col("p_type").alias("rarity"),
-        (F.col("p_size") % 4 + 7).cast("int").alias("grade"),
-        F.col("l_returnflag").alias("grader"),
-        rounded(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        "grade",
+        "grader",
+        "price",
         F.col("p_retailprice").alias("list_price"),
-        F.col("l_quantity").cast("int").alias("quantity"),
-        F.unix_timestamp("l_shipdate").alias("sold_at"),
+        "quantity",
+        "sold_at",
         F.col("o_orderpriority").alias("priority"),
     )
 
