@@ -22,3 +22,21 @@ def test_pairs_are_found_by_one_deal(spark):
 
     df = dual_listing_pairs(spark, SF)
     assert passes(df) == 1 and " bucket" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dual_rule_reads_lines_once(spark):
+    from tidemark.operators.machines import dual_listing_rule
+
+    assert passes(dual_listing_rule(spark, SF)) == 1
+
+
+def test_appraisal_reads_stored_asks_and_cheapest_route_as_a_column(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.money import cheapest, quotes
+    from tidemark.operators.machines import appraise
+
+    assert passes(appraise(spark, SF)) == 0
+    rows = spark.createDataFrame([(s, p) for s in ("ASIA", "AMERICA", "MIDDLE EAST", "MOON") for p in (0.0, 1.005, 99.99)] + [("ASIA", None)], "site string, price double")
+    want = {(r["site"], r["price"]): r["least"] for r in quotes(rows).groupBy("site", "price").agg(F.min("landed").alias("least")).collect()}
+    assert {(r["site"], r["price"]): r["least"] for r in rows.withColumn("least", cheapest()).collect()} == {(r["site"], r["price"]): want.get((r["site"], r["price"])) for r in rows.collect()}

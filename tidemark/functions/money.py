@@ -49,6 +49,17 @@ def quotes(listings: DataFrame) -> DataFrame:
     return df.withColumn("landed", rounded(F.col("item_cost") + F.col("fee_cost") + F.col("ship_cost"))).drop("order_fee", "shipment_fee", "bundle", "direct")
 
 
+def cheapest() -> Column:
+    """The least landed cost of a listing (site, price) over the routes of its market, without a row for each; null if there is none."""
+    costs = []
+    for name, fee, plan, inland, box, abroad, n, sites in ROUTES:
+        direct = name == "direct"
+        ship = to_home(DIRECT_SHIPPING, USD) if direct else to_home(F.lit(float(box + abroad)) / max(1, n), JPY)
+        landed = rounded(rounded(to_home(F.col("price"), USD, direct)) + rounded(to_home(float(fee + plan + inland), JPY)) + rounded(ship))
+        costs.append(F.when(F.col("site").isin(*sites), landed))
+    return F.least(*costs)
+
+
 def overhead(df: DataFrame) -> Column:
     return F.when(F.col("landed") > 0, (F.col("fee_cost") + F.col("ship_cost")) / F.col("landed")).otherwise(0.0)
 
