@@ -40,3 +40,9 @@ def test_appraisal_reads_stored_asks_and_cheapest_route_as_a_column(spark):
     rows = spark.createDataFrame([(s, p) for s in ("ASIA", "AMERICA", "MIDDLE EAST", "MOON") for p in (0.0, 1.005, 99.99)] + [("ASIA", None)], "site string, price double")
     want = {(r["site"], r["price"]): r["least"] for r in quotes(rows).groupBy("site", "price").agg(F.min("landed").alias("least")).collect()}
     assert {(r["site"], r["price"]): r["least"] for r in rows.withColumn("least", cheapest()).collect()} == {(r["site"], r["price"]): want.get((r["site"], r["price"])) for r in rows.collect()}
+
+
+def test_folds_read_stored_samples(spark):
+    from tidemark.operators.study import coverage_hash_folds
+
+    assert passes(coverage_hash_folds(spark, SF)) == 0

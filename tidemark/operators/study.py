@@ -73,14 +73,18 @@ def backfit_curves(spark, sf_dir):
 # --- Coverage of new sales
 
 
-def _cell_residuals(fit: DataFrame, test: DataFrame, *by: str) -> DataFrame:
-    """Residuals of ``test`` against the medians of (card, rarity, grade) of ``fit``, shrunk to those of (rarity, grade)."""
-    keys = ["card", "rarity", "grade"]
-    own = fit.groupBy(*by, *keys).agg(F.expr("percentile(lp, 0.5)").alias("m1"), F.count("*").alias("n1"))
-    wide = medians(fit, [*by, "rarity", "grade"], "lp", "m2").drop("n")
-    df = test.join(wide, [*by, "rarity", "grade"]).join(own, [*by, *keys], "left")
+def _cell_medians(fit: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """Medians of (rarity, grade) and of (card, rarity, grade): stored, so that both sides that meet them know how small they are."""
+    own = fit.groupBy(*by, "card", "rarity", "grade").agg(F.expr("percentile(lp, 0.5)").alias("m1"), F.count("*").alias("n1"))
+    return kept(medians(fit, [*by, "rarity", "grade"], "lp", "m2").drop("n"), "wide"), kept(own, "own")
+
+
+def _residuals_of(test: DataFrame, mids: tuple[DataFrame, DataFrame], *by: str) -> DataFrame:
+    """``test`` with residuals (res) against the medians of (card, rarity, grade), shrunk to those of (rarity, grade)."""
+    wide, own = mids
+    df = test.join(wide, [*by, "rarity", "grade"]).join(own, [*by, "card", "rarity", "grade"], "left")
     est = (F.coalesce(F.col("m1") * F.col("n1"), F.lit(0.0)) + F.col("m2") * SHRINK) / (F.coalesce("n1", F.lit(0)) + SHRINK)
-    return df.select(*by, "key", "site", (F.col("lp") - est).alias("res"))
+    return df.withColumn("res", F.col("lp") - est)
 
 
 def _cells_sql(fit: str, test: str, by: str = "") -> str:
@@ -109,9 +113,9 @@ def coverage_time_split(spark, sf_dir):
     p = placed(s, ["site"], "sold_at", "key", "buyer")
     i, n = F.col("place") + 1, F.col("of")
     p = p.withColumn("part", F.when(i > F.floor(n * 0.7), "test").when(i > F.floor(n * 0.5), "calibration").otherwise("fit"))
-    fit = p.where("part = 'fit'")
-    limits = conformal(_cell_residuals(fit, p.where("part = 'calibration'"))).select("lo", "hi")
-    return _shares(_cell_residuals(fit, p.where("part = 'test'")).crossJoin(F.broadcast(limits)), "site")  # one row
+    mids = _cell_medians(p.where("part = 'fit'"))
+    limits = conformal(_residuals_of(p.where("part = 'calibration'"), mids)).select("lo", "hi")
+    return _shares(_residuals_of(p.where("part = 'test'"), mids).crossJoin(F.broadcast(limits)), "site")  # one row
 
 
 FOLDS = 5
@@ -125,12 +129,14 @@ def coverage_hash_folds(spark, sf_dir):
 
     Each sale is copied once for each fold with its role there, so all folds are one job.
     """
-    s = samples(spark, sf_dir).withColumn("h", F.conv(F.substring(F.sha1(F.col("key").cast("binary")), 7, 6), 16, 10).cast("long") % FOLDS)
+    h = F.conv(F.substring(F.sha1(F.col("key").cast("binary")), 7, 6), 16, 10).cast("long") % FOLDS
+    s = kept(samples(spark, sf_dir).select("card", "rarity", "grade", "lp", h.alias("h")), "samples")  # read by each role
     p = s.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FOLDS - 1).cast("long"))))
     p = p.withColumn("part", F.when(F.col("h") == F.col("fold"), "test").when(F.col("h") == (F.col("fold") + 1) % FOLDS, "calibration").otherwise("fit"))
-    fit = p.where("part = 'fit'")
-    limits = conformal(_cell_residuals(fit, p.where("part = 'calibration'"), "fold"), "fold").select("fold", "lo", "hi")
-    return _shares(_cell_residuals(fit, p.where("part = 'test'"), "fold").join(limits, "fold"), "fold")
+    mids = _cell_medians(p.where("part = 'fit'"), "fold")
+    errors = lambda part: _residuals_of(p.where(F.col("part") == part), mids, "fold").select("fold", "res")
+    limits = conformal(kept(errors("calibration"), "errors"), "fold").select("fold", "lo", "hi")
+    return _shares(errors("test").join(kept(limits, "limits"), "fold"), "fold")
 
 
 @query(f"WITH {_RES}, a AS ({_conformal_sql('')}) SELECT coalesce(site, 'all') AS site, coalesce(bucket, 'all') AS bucket, count(*) AS n, {r('count(*) FILTER (res < lo) / CAST(count(*) AS DOUBLE)', 4)} AS below, {r('count(*) FILTER (res > hi) / CAST(count(*) AS DOUBLE)', 4)} AS above FROM res CROSS JOIN (SELECT lo, hi FROM a) GROUP BY ROLLUP (site, bucket)", "market")
