@@ -46,3 +46,26 @@ def test_folds_read_stored_samples(spark):
     from tidemark.operators.study import coverage_hash_folds
 
     assert passes(coverage_hash_folds(spark, SF)) == 0
+
+
+def test_sorted_medians_and_metrics_without_maps(spark):
+    from tidemark.operators.counting import sorted_medians
+    from tidemark.operators.sellers import seller_metrics
+
+    rng = random.Random(3)
+    data = [(rng.randrange(9), rng.choice([None, 1.0, 2.5, rng.random()]), rng.choice([None, rng.random()])) for _ in range(300)] + [(10, None, 3.0)]
+    got = {r["k"]: r for r in sorted_medians(spark.createDataFrame(data, "k int, a double, b double"), ["k"], ["a", "b"]).collect()}
+    assert len(got) == 10
+    for k, r in got.items():
+        for i, c in ((1, "a"), (2, "b")):
+            v = [x[i] for x in data if x[0] == k and x[i] is not None]
+            assert (r[f"m_{c}"], r[f"n_{c}"]) == (statistics.median(v) if v else None, len(v))
+    assert "collect_set" not in seller_metrics(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_refill_and_projection_passes(spark):
+    from tidemark.operators.watch import observation_projection, refill_ledger
+
+    assert passes(refill_ledger(spark, SF)) == 0
+    df = observation_projection(spark, SF)
+    assert passes(df) == 1 and "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()

@@ -57,6 +57,22 @@ def medians(rows: DataFrame, by: list[str], value: str, to: str = "mid", share:
     return found.select(*by, between.alias(to), "n")
 
 
+def sorted_medians(rows: DataFrame, by: list[str], values: list[str], also: tuple[Column, ...] = ()) -> DataFrame:
+    """The exact median m_<value> and number n_<value> of each value in each group of ``by``, and the aggregates ``also``.
+
+    For many groups, each a small part of the rows: rows are dealt once (not at all if they come dealt by some of ``by``) and
+    sorted in their task, which may spill; no maps of values are built, shuffled or merged. For a few groups that hold most
+    of the rows ``medians`` counts. Nulls have no place.
+    """
+    df = rows
+    for v in values:
+        group = Window.partitionBy(*by)
+        df = df.withColumn(f"place_{v}", F.row_number().over(group.orderBy(F.col(v).asc_nulls_last())) - 1).withColumn(f"n_{v}", F.count(v).over(group))
+    at = lambda v, place: F.when(F.col(f"place_{v}") == place, F.col(v))
+    mid = lambda v: ((F.max(at(v, F.floor((F.col(f"n_{v}") - 1) / 2))) + F.max(at(v, F.floor(F.col(f"n_{v}") / 2).cast("long")))) / 2).alias(f"m_{v}")
+    return df.groupBy(*by).agg(*[mid(v) for v in values], *[F.max(f"n_{v}").alias(f"n_{v}") for v in values], *also)
+
+
 def others_median(rows: DataFrame, keys: list[str], own: str, value: str, least: int) -> DataFrame:
     """For each cell (``keys``) and each ``own`` in it: others (rows of the cell that aren't its own) and their exact median.
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.counting import others_median
+from tidemark.operators.counting import others_median, sorted_medians
 from tidemark.operators.joins import PEER_COLUMNS, TIERS, _tier_sql, near_peers, peers
 from tidemark.operators.ranking import midrank
 from tidemark.plans.register import query
@@ -43,8 +43,12 @@ x AS (SELECT seller, card, grade, series, sold_at, greatest(-{LN2!r}::DOUBLE, le
 
 def metrics(x: DataFrame) -> DataFrame:
     """Median of each card first, then across cards: a seller of one card many times isn't many sellers. ``x`` is read once."""
-    goods = F.size(F.collect_set(F.when(F.col("card").isNotNull() & F.col("series").isNotNull() & F.col("grade").isNotNull(), F.struct("series", "grade"))))
-    cards = x.groupBy("seller", "card").agg(F.expr("percentile(lr, 0.5)").alias("m"), F.count("*").alias("n"), goods.alias("goods"), F.min("sold_at").alias("first_at"), F.max("sold_at").alias("last_at"))
+    # A good counts at its first row: rows are dealt by seller once, and sorted by goods, then by ratio.
+    known = F.col("card").isNotNull() & F.col("series").isNotNull() & F.col("grade").isNotNull()
+    first = F.row_number().over(Window.partitionBy("seller", "card", "series", "grade").orderBy("sold_at")) == 1
+    rows = x.select("seller", "card", "series", "grade", "sold_at", "lr").repartition("seller").withColumn("good", known & first)
+    also = (F.count("*").alias("n"), F.count_if("good").alias("goods"), F.min("sold_at").alias("first_at"), F.max("sold_at").alias("last_at"))
+    cards = sorted_medians(rows, ["seller", "card"], ["lr"], also).withColumnRenamed("m_lr", "m")
     span = ((F.max("last_at") - F.min("first_at")) / 86400).alias("span")
     return cards.groupBy("seller").agg(F.count("*").alias("cards"), F.sum("n").alias("comparable"), F.expr("percentile(m, array(0.25, 0.5, 0.75))").alias("q"), F.sum("goods").alias("goods"), span)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.money import USD, to_home
-from tidemark.operators.counting import medians, placed
+from tidemark.operators.counting import placed, sorted_medians
 from tidemark.operators.filters import evidence_gate
 from tidemark.operators.money import bid_ceiling
 from tidemark.operators.sellers import _METRICS, _RATIOS, concentration, levels, metrics, ratios, scores, seller_score, stock
@@ -107,9 +107,10 @@ def missing_grade_recent(spark, sf_dir):
 @query("WITH l AS (SELECT card, max(sold_at) AS last_run, bool_or(kind = 'auction') AS seen FROM market WHERE basis = 'sold' GROUP BY card), t AS (SELECT max(sold_at) AS now FROM market), a AS (SELECT card, count(*) AS demand FROM market WHERE basis = 'ask' GROUP BY card) SELECT a.card, demand, CASE WHEN last_run IS NULL THEN 'never' WHEN last_run >= now - 2592000 AND seen THEN 'cooling' ELSE 'due' END AS state FROM a LEFT JOIN l USING (card) CROSS JOIN t", "market")
 def refill_ledger(spark, sf_dir):
     """Cards by when they were last refilled: a run that saw at least one source cools for thirty days."""
-    m = market(spark, sf_dir)
-    last = m.where("basis = 'sold'").groupBy("card").agg(F.max("sold_at").alias("last_run"), F.bool_or(F.col("kind") == "auction").alias("seen"))
-    a = m.where("basis = 'ask'").groupBy("card").agg(F.count("*").alias("demand")).join(last, "card", "left").crossJoin(F.broadcast(m.agg(F.max("sold_at").alias("now"))))  # one row
+    sold = F.col("basis") == "sold"
+    facts = [F.max(F.when(sold & F.col("card").isNotNull(), F.col("sold_at"))).alias("last_run"), F.bool_or(F.when(sold, F.col("kind") == "auction")).alias("seen"), F.count_if(~sold).alias("demand"), F.max("sold_at").alias("now")]
+    cards = kept(market(spark, sf_dir).groupBy("card").agg(*facts), "cards")  # one row for each card, read twice
+    a = cards.where("demand > 0").drop("now").crossJoin(F.broadcast(cards.agg(F.max("now").alias("now"))))  # one row
     state = F.when(F.col("last_run").isNull(), "never").when((F.col("last_run") >= F.col("now") - 2592000) & F.col("seen"), "cooling").otherwise("due")
     return a.select("card", "demand", state.alias("state"))
 
@@ -183,13 +184,16 @@ def lens_conflicts(spark, sf_dir):
 def lenses(m: DataFrame, found: DataFrame) -> DataFrame:
     """``lens_conflicts`` from the stock and its ``metrics``."""
     a = found.select("seller", F.col("q")[1].alias("lens_a"))
-    b = medians(m.where("price > 0 AND list_price > 0").select("seller", F.ln(F.col("price") / F.col("list_price")).alias("x")), ["seller"], "x", "lens_b").drop("n")
-    sold = m.where("basis = 'sold' AND price > 0").select("seller", "card", "rarity", "grade", F.ln("price").alias("lp"))
-    c = sold.join(ladder(sold).select("card", "rarity", "grade", "est"), ["card", "rarity", "grade"]).select("seller", (F.col("lp") - F.col("est")).alias("x"))
-    c = medians(c, ["seller"], "x", "lens_c").drop("n")
+    sold = m.where("basis = 'sold' AND price > 0").select("card", "rarity", "grade", F.ln("price").alias("lp"))
+    # Stored, so that Spark knows how small it is. Both lenses are then read from one pass over the stock, dealt by seller once.
+    est = kept(ladder(sold).select("card", "rarity", "grade", "est"), "ladder")
+    of_list = F.when((F.col("price") > 0) & (F.col("list_price") > 0), F.ln(F.col("price") / F.col("list_price")))
+    of_model = F.when((F.col("basis") == "sold") & (F.col("price") > 0), F.ln("price") - F.col("est"))
+    seen = m.join(est, ["card", "rarity", "grade"], "left").select("seller", of_list.alias("lens_b"), of_model.alias("lens_c")).repartition("seller")
+    b = sorted_medians(seen, ["seller"], ["lens_b", "lens_c"]).select("seller", F.col("m_lens_b").alias("lens_b"), F.col("m_lens_c").alias("lens_c"))
     sign = lambda x: F.when(F.col(x) > DEAD_BAND, 1).when(F.col(x) < -DEAD_BAND, -1).otherwise(0)
     conflict = (sign("lens_a") * sign("lens_b") == -1) | (sign("lens_a") * sign("lens_c") == -1)
-    return a.join(b, "seller", "left").join(c, "seller", "left").select("seller", *[rounded(x, 4).alias(x) for x in ("lens_a", "lens_b", "lens_c")], conflict.alias("conflict"), F.lit("B,C").alias("untrusted"))
+    return a.join(b, "seller", "left").select("seller", *[rounded(x, 4).alias(x) for x in ("lens_a", "lens_b", "lens_c")], conflict.alias("conflict"), F.lit("B,C").alias("untrusted"))
 
 
 @query("SELECT seller, score, cards, hhi, CAST(row_number() OVER (ORDER BY score DESC, hhi, seller) AS BIGINT) AS position FROM (" + SQL["seller_score"] + ") s JOIN (" + SQL["herfindahl"] + ") h USING (seller) WHERE score IS NOT NULL ORDER BY position LIMIT 50")
@@ -234,10 +238,12 @@ def ceiling_diff(spark, sf_dir):
 def observation_projection(spark, sf_dir):
     """Listings as rows of the observation ledger: running bids go to a reference venue, feedback is per cent of the site's best."""
     m = market(spark, sf_dir)
-    most = m.groupBy("site").agg(F.max("seller").alias("most"))
+    # Stored, so that Spark knows that it has a row for each site, and sorts no site's listings to meet it.
+    most = kept(m.groupBy("site").agg(F.max("seller").alias("most")), "most")
     venue = F.when((F.col("basis") == "ask") & (F.col("kind") == "auction"), F.concat("site", F.lit("-reference"))).otherwise(F.col("site"))
     df = m.join(most, "site").select("key", venue.alias("venue"), "basis", rounded(100.0 * F.col("seller") / F.col("most")).alias("feedback"))
-    return df.groupBy("key", "venue", "basis").agg(F.count("*").alias("n"), F.max("feedback").alias("feedback"))
+    # Keys hardly repeat: dealt first, no task gathers keys of all places in a map that saves nothing.
+    return df.repartition("key", "venue", "basis").groupBy("key", "venue", "basis").agg(F.count("*").alias("n"), F.max("feedback").alias("feedback"))
 
 
 @query("SELECT event_type, CASE WHEN contains(CAST(ts AS VARCHAR), '.') THEN 'ingest' ELSE 'source' END AS time_origin, count(*) AS n FROM events GROUP BY ALL")
