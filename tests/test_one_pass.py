@@ -69,3 +69,32 @@ def test_refill_and_projection_passes(spark):
     assert passes(refill_ledger(spark, SF)) == 0
     df = observation_projection(spark, SF)
     assert passes(df) == 1 and "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dual_groups_across_spans(spark):
+    """Chains that cross midnight and gaps of days, against pairs; what is joined at the end is stored."""
+    from tidemark.operators.dual import SITES, dual_groups
+
+    rng = random.Random(5)
+    times = [86400 * d + x for d in (0, 1, 2, 9) for x in (10, 1700, 3500, 40000, 83000, 84500, 86300)]
+    data = [(f"k{i:03}", rng.choice(SITES), float(rng.choice((1, 2))), "USD", "Card", rng.choice(times), "A", 9, "r", "s") for i in range(70)]
+    df = dual_groups(spark.createDataFrame(data, "key string, site string, price double, currency string, title string, sold_at long, grader string, grade int, rarity string, series string"))
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    root = {r[0]: r[0] for r in data}
+
+    def find(k):
+        return k if root[k] == k else find(root[k])
+
+    # A sale between two linked ones belongs to them: join all that lie in the time of a link.
+    for a in data:
+        for b in data:
+            if a[1] != b[1] and a[2] == b[2] and 0 <= b[5] - a[5] <= 3600:
+                for c in data:
+                    if c[2] == a[2] and a[5:6] + (a[0],) <= (c[5], c[0]) <= b[5:6] + (b[0],):
+                        root[find(c[0])] = find(a[0])
+                root[find(b[0])] = find(a[0])
+    groups = {}
+    for r in data:
+        groups.setdefault(find(r[0]), []).append(r)
+    want = {r[0]: len(g) for g in groups.values() if len({x[1] for x in g}) == 2 for r in g}
+    assert {r["key"]: r["sales"] for r in df.collect()} == want and want

@@ -3,7 +3,7 @@
 Sales of two markets are linked if they agree in price, currency and title and are at most the window apart. Linked sales are one
 sale, chains too. No pairs are made: in order of time, a sale belongs to the group of the one before it exactly if some
 link reaches over the gap between them, and such a link exists if and only if the latest sale of the other market before the gap,
-or the earliest one after it, is near enough to the sale on the far side. Two windows tell.
+or the earliest one after it, is near enough to the sale on the far side. Windows over a span of time and over the spans tell.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.register import query
+from tidemark.sources.shared import kept
 from tidemark.sources.views import market, titled
 
 MINUTES = 60
+SPAN = 86400  # seconds of sales that a window sees at once
 #: Markets of one company, in which an item can be offered twice; the first keeps the sale.
 SITES = ("AMERICA", "ASIA")
 ATTRIBUTES = ("grader", "grade", "rarity", "series")
@@ -34,12 +36,22 @@ def dual_groups(sales: DataFrame, sites: tuple[str, str] = SITES, minutes: int =
     names and keeps all its sales.
     """
     rows = sales.where(F.col("site").isin(*sites) & F.col("price").isNotNull() & (F.col("currency") != "") & F.col("sold_at").isNotNull()).withColumn("title_key", title_key(F.col("title"))).where("title_key <> ''")
-    rows = rows.withColumn("first_site", F.col("site") == sites[0])
-    forward, back = (Window.partitionBy(*SAME).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) for order in (("sold_at", "key"), (F.desc("sold_at"), F.desc("key"))))
-    other = lambda w: F.when(F.col("first_site"), F.last(F.when(~F.col("first_site"), F.col("sold_at")), True).over(w)).otherwise(F.last(F.when(F.col("first_site"), F.col("sold_at")), True).over(w))
-    rows = rows.withColumns({"other_before": other(forward), "other_after": other(back), "before": F.last("sold_at").over(forward)})
+    rows = kept(rows.select("key", "site", (F.col("site") == sites[0]).alias("first_site"), "price", "currency", "title_key", "sold_at", F.floor(F.col("sold_at") / SPAN).alias("span"), *ATTRIBUTES), "sales")
+    # Sales that agree grow with the data, so windows see those of one span; what the spans before and after tell is a row for each.
+    here, first = [*SAME, "span"], F.col("first_site")
+    earlier, later = (Window.partitionBy(*SAME).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("span"), F.desc("span")))
+    ends = rows.groupBy(*here).agg(*[f(F.when(side, F.col("sold_at"))).alias(f"{to}_{of}") for f, to in ((F.max, "last"), (F.min, "least")) for side, of in ((first, "a"), (~first, "b"))])
+    ends = ends.select(*here, *[F.max(f"last_{x}").over(earlier).alias(f"last_{x}") for x in "ab"], *[F.min(f"least_{x}").over(later).alias(f"least_{x}") for x in "ab"])
+    rows = rows.join(ends, here)
+    forward, back = (Window.partitionBy(*here).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) for order in (("sold_at", "key"), (F.desc("sold_at"), F.desc("key"))))
+    near = lambda side, w, beyond: F.coalesce(F.last(F.when(side, F.col("sold_at")), True).over(w), beyond)
+    other = lambda w, end: F.when(first, near(~first, w, f"{end}_b")).otherwise(near(first, w, f"{end}_a"))
+    rows = rows.withColumns({"other_before": other(forward, "last"), "other_after": other(back, "least"), "before": F.coalesce(F.last("sold_at").over(forward), F.greatest("last_a", "last_b"))})
     reach = F.coalesce(F.col("sold_at") - F.col("other_before") <= minutes * 60, F.lit(False)) | F.coalesce(F.col("other_after") - F.col("before") <= minutes * 60, F.lit(False))
-    linked = rows.withColumn("group", F.sum((~reach).cast("int")).over(Window.partitionBy(*SAME).orderBy("sold_at", "key").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = kept(rows.select("key", "site", "first_site", *here, "sold_at", *ATTRIBUTES, (~reach).cast("int").alias("starts")), "links")
+    starts = rows.groupBy(*here).agg(F.sum("starts").alias("of_span")).select(*here, F.coalesce(F.sum("of_span").over(earlier), F.lit(0)).alias("begun"))
+    inside = F.sum("starts").over(Window.partitionBy(*here).orderBy("sold_at", "key").rowsBetween(Window.unboundedPreceding, 0))
+    linked = kept(rows.join(starts, here).withColumn("group", F.col("begun") + inside).drop("span", "starts", "begun"), "linked")
     keep = F.min(F.struct((~F.col("first_site")).alias("other"), "sold_at", "key")).alias("keep")
     conflicts = F.array_compact(F.array(*[F.when(F.count_distinct(a) > 1, F.lit(a)) for a in ATTRIBUTES]))
     groups = linked.groupBy(*SAME, "group").agg(keep, conflicts.alias("conflicts"), F.count("*").alias("sales"), F.count_distinct("site").alias("sites")).where("sites = 2")
