@@ -98,3 +98,9 @@ def test_dual_groups_across_spans(spark):
         groups.setdefault(find(r[0]), []).append(r)
     want = {r[0]: len(g) for g in groups.values() if len({x[1] for x in g}) == 2 for r in g}
     assert {r["key"]: r["sales"] for r in df.collect()} == want and want
+
+
+def test_listings_are_priced_without_a_row_for_each_route(spark):
+    from tidemark.operators.estimate import listings
+
+    assert "route_site" not in listings(spark, SF)._jdf.queryExecution().optimizedPlan().toString()

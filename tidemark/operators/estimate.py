@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.money import USD, quotes, quotes_sql
+from tidemark.functions.money import USD, cheapest, quotes_sql
 from tidemark.functions.settings import Settings
 from tidemark.operators.counting import _bucket, medians
 from tidemark.operators.dictionary import longest_match
@@ -84,7 +84,8 @@ def estimates(s: DataFrame, targets: DataFrame, settings: Settings = SETTINGS) -
     }
     out = freed(targets).crossJoin(F.broadcast(medians(y, [], "rest", "m0").select("m0")))  # one row
     for i, (by, value) in pools.items():
-        out = out.join(medians(y, by, value, f"m{i}").withColumnRenamed("n", f"n{i}"), by, "left")
+        pool = kept(medians(y, by, value, f"m{i}").withColumnRenamed("n", f"n{i}"), "pool")  # stored, so that Spark knows how small it is
+        out = out.join(pool, by, "left")
     k, est = settings.shrink, F.col("m0") + F.col("g") + F.col("q") + F.col("v")
     for i, back in (("3", F.col("g") + F.col("v")), ("2", F.col("g") + F.col("v")), ("1", F.col("v"))):
         n, m = F.col(f"n{i}"), F.col(f"m{i}") + back
@@ -118,9 +119,8 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = kept(titled(asks).select("key", "site", "price", "title", "grade", F.when(F.col("quantity") % 5 != 0, F.col("rarity")).alias("recorded")).distinct(), "asks")
     names = longest_match(rows.select("title"), table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))).withColumnRenamed("name", "card")
     told = F.nullif(F.regexp_extract("title", rf"\b({'|'.join(RARITY_PRIOR)})\b", 1), F.lit(""))
-    best = quotes(rows.select("key", "site", "price").distinct()).groupBy("key", "site", "price").agg(F.min("landed").alias("landed"))
     rows = rows.join(names, "title", "left").withColumn("rarity", F.coalesce("recorded", told))
-    return rows.join(best, ["key", "site", "price"], "left").select("key", "site", "price", "card", "rarity", "grade", "landed")
+    return rows.select("key", "site", "price", "card", "rarity", "grade", cheapest().alias("landed"))
 
 
 # --- SQL
@@ -188,7 +188,8 @@ def p_worth_by_listing(spark, sf_dir):
     Errors are those of a model of one part of the sales on the other part; the share is of all of them, not of a group's.
     """
     s = kept(samples(spark, sf_dir), "samples")
-    errors = estimates(s.where("NOT calibration"), s.where("calibration").select("card", "rarity", "grade", "site", "lp")).select((F.col("lp") - F.col("est")).alias("res"))
+    errors = kept(estimates(s.where("NOT calibration"), s.where("calibration").select("card", "rarity", "grade", "site", "lp")).select((F.col("lp") - F.col("est")).alias("res")), "errors")
     e = estimates(s, listings(spark, sf_dir)).withColumn("room", F.when(F.col("landed") > 0, F.ln(F.col("landed") / USD) - F.col("est"))).where("room IS NOT NULL")
+    e = kept(e.select("key", "site", "price", "card", "rarity", "level", "n_effective", "est", "room"), "estimated")  # counted, then placed
     out = shares_above(e, "room", errors, "res", "p", MIN_CALIBRATION)
     return out.select("key", "site", "price", "card", "rarity", "level", "n_effective", rounded(F.exp("est")).alias("fair"), rounded("p", 6).alias("p_worth"))
