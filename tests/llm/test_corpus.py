@@ -185,6 +185,35 @@ def test_nearest_examples_are_exact():
     assert fewer > 0
 
 
+def test_alike_terms_are_one_and_batches_find_the_same():
+    from tidemark.llm import toxicity as t
+
+    rng = np.random.default_rng(6)
+    # Terms 2k and 2k + 1 occur equally often everywhere, but in queries not.
+    counted = [(np.sort(np.concatenate([2 * x, 2 * x + 1])), np.repeat(rng.integers(1, 4, len(x)), 2)) for x in (np.sort(rng.choice(40, 6, replace=False)) for _ in range(200))]
+    weight = rng.random(80) + 0.5
+    group = t.alike(counted, 80)
+    assert group.max() + 1 <= 40 and (group[::2] == group[1::2]).all()
+    merge = t.Merge(group, weight)
+    plain = t.BlockMaxIndex([t._unit(x, weight) for x in counted], 80)
+    merged = t.BlockMaxIndex([merge(t._unit(x, weight)) for x in counted], merge.n)
+    queries = [t._unit((np.sort(rng.choice(80, n, replace=False)), rng.integers(1, 5, n)), weight) for n in (0, 1, 9, 30) for _ in range(30)]
+    want = [plain.nearest(q, 15)[0] for q in queries]
+    for got in ([merged.nearest(merge(q), 15)[0] for q in queries], list(merged.nearest_of([merge(q) for q in queries], 15))):
+        assert [[i for _, i in x] for x in got] == [[i for _, i in x] for x in want]
+        assert all(abs(a - b) < 1e-12 for x, y in zip(got, want) for (a, _), (b, _) in zip(x, y))
+
+
+def test_toxicity_sends_its_index_once(spark, monkeypatch):
+    from tidemark.llm import toxicity as t
+
+    sent = []
+    monkeypatch.setattr(t.BlockMaxIndex, "__getstate__", lambda self: sent.append(1) or self.__dict__)
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i % 3}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(60)], "doc_id long, toxic int")
+    assert t.score(docs, labels).count() == 60 and len(sent) == 1
+
+
 def test_toxicity_on_held_out_labels(spark):
     from pyspark.sql import functions as F
 
