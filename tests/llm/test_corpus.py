@@ -543,6 +543,25 @@ def test_seating_has_the_right_number_of_tables():
     assert fewer[1].sum() == 20 * many and h.seated(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), d, rng)[0].size == 0
 
 
+def test_small_dishes_are_drawn_by_their_number_of_tables(monkeypatch):
+    """Of up to three customers, without seats: the exact law of the number of tables, also as customers come and go."""
+    from tidemark.llm import hpy_model as h
+
+    monkeypatch.setattr(h, "Seating", None)
+    rng = np.random.default_rng(8)
+    many, odds, d = 20_000, 0.7, 0.6
+    weight = np.full(many, odds)
+    # odds^t times the number of ways, for 2 and 3 customers.
+    law = {2: [1 - d, odds], 3: [(1 - d) * (2 - d), odds * 3 * (1 - d), odds * odds]}
+    tables, sizes = np.zeros(many, np.int64), np.zeros(0, np.int64)
+    for n in (3, 2, 3, 1, 0, 2, 3):
+        for _ in range(6):
+            tables, sizes = h.seated(tables, sizes, np.full(many, n), weight, d, rng)
+            assert sizes.sum() == many * n and len(sizes) == tables.sum() and (np.add.reduceat(sizes, np.cumsum(tables) - tables) == n).all() if n else not len(sizes)
+        for t, x in enumerate(law.get(n, []), 1):
+            assert (tables == t).mean() == pytest.approx(x / sum(law[n]), abs=0.015)
+
+
 def test_a_sweep_moves_as_many_customers_as_a_dish_has():
     """From a table for each customer, a single sweep leaves few tables, in small, large and very large dishes."""
     from tidemark.llm import hpy_model as h

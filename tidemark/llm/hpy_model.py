@@ -33,7 +33,6 @@ other than doc_id and text are ignored, whatever their names.
 from __future__ import annotations
 
 import io
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -342,15 +341,49 @@ class Seating:
         """As many moves of each dish as it has customers: side by side while there are many such dishes, then each of the largest."""
         moves = np.where(self.c > 1, self.c, 0)
         order = np.argsort(-moves, kind="stable")
-        many = moves[order]
-        for step in range(int(many[0]) if len(many) else 0):
-            d = order[: np.searchsorted(-many, -step, side="left")]
-            if len(d) < FEW:
-                for i in d:
-                    self.finish(i, int(moves[i]) - step, float(odds[i]), discount)
-                break
-            self.remove(d)
-            self.add(d, None, odds, discount)
+        moves = moves[order]
+        # In this order the dishes that still move are the first ones, and their figures are slices.
+        c, t, at, o = moves, self.t[order], self.at[order], odds[order]
+        spare, others = at + self.room[order] - 1, c - 1
+        for step in range(int(moves[0]) if len(moves) else 0):
+            n = int(np.searchsorted(-moves, -step, side="left"))
+            if n < FEW:
+                self.t[order] = t
+                for k in range(n):
+                    self.finish(order[k], int(moves[k]) - step, float(o[k]), discount)
+                return
+            self.move(c[:n], t[:n], at[:n], spare[:n], others[:n], o[:n], discount)
+        self.t[order] = t
+
+    def move(self, c: np.ndarray, t: np.ndarray, at: np.ndarray, spare: np.ndarray, others: np.ndarray, odds: np.ndarray, discount: float) -> None:
+        """A customer, any of them, of each of some dishes leaves its table and is seated again; ``t`` is kept up to date."""
+        u = self.rng.random((4, len(c)))
+        i = (u[0] * c).astype(np.int64)
+        place = at + i
+        table = self.table[place]
+        left = self.size[table] - 1
+        self.size[table] = left
+        e = np.flatnonzero(left == 0)
+        if len(e):
+            self.free[spare[e] + 1 - t[e]] = table[e]
+            t[e] -= 1
+        new = u[1] * (odds + others - discount * t) < odds
+        k = np.flatnonzero(new)
+        seat = np.empty(len(c), np.int64)
+        seat[k] = self.free[spare[k] - t[k]]
+        # The table of any other customer, kept in proportion to its customers less the discount.
+        todo = np.flatnonzero(~new)
+        j = (u[2][todo] * others[todo]).astype(np.int64)
+        keep = u[3][todo]
+        while len(todo):
+            table = self.table[at[todo] + j + (j >= i[todo])]
+            fine = keep * self.size[table] >= discount
+            seat[todo[fine]] = table[fine]
+            todo = todo[~fine]
+            j, keep = (self.rng.random(len(todo)) * others[todo]).astype(np.int64), self.rng.random(len(todo))
+        self.table[place] = seat
+        self.size[seat] += 1
+        t[k] += 1
 
     def finish(self, i: int, moves: int, odds: float, discount: float) -> None:
         """The last moves of a dish; of its seats only the table sizes are kept."""
@@ -368,34 +401,37 @@ class Seating:
 
 def moved(seats: np.ndarray, sizes: np.ndarray, moves: int, odds: float, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Table sizes of one dish after so many moves; ``seats`` has the table of each customer."""
-    at, size, free, c, t = array("i", seats.astype(np.int32).tobytes()), sizes.tolist(), [], len(seats), len(sizes)
+    at, size, free, others, t = seats.tolist(), sizes.tolist(), [], len(seats) - 1, len(sizes)
 
     def draws() -> Iterator[float]:
         while True:
             yield from rng.random(1 << 12).tolist()
 
-    draw = draws().__next__
-    for _ in range(moves):
-        i = int(draw() * c)
-        table = at[i]
-        size[table] -= 1
-        if not size[table]:
-            free.append(table)
-            t -= 1
-        if draw() * (odds + c - 1 - discount * t) < odds:
-            if not free:
-                free.append(len(size))
-                size.append(0)
-            table = free.pop()
-            t += 1
-        else:
-            while True:  # the table of any other customer, kept in proportion to its customers less the discount
-                j = int(draw() * (c - 1))
-                table = at[j + (j >= i)]
-                if draw() * size[table] >= discount:
-                    break
-        at[i] = table
-        size[table] += 1
+    draw, bulk = draws().__next__, 1 << 13
+    for first in range(0, moves, bulk):
+        u = rng.random((4, min(bulk, moves - first)))
+        leaves, other = (u[0] * (others + 1)).astype(np.int64), (u[1] * others).astype(np.int64)
+        other += other >= leaves
+        for i, j, x, keep in zip(leaves.tolist(), other.tolist(), u[2].tolist(), u[3].tolist(), strict=True):
+            table = at[i]
+            size[table] -= 1
+            if not size[table]:
+                free.append(table)
+                t -= 1
+            if x * (odds + others - discount * t) < odds:
+                if not free:
+                    free.append(len(size))
+                    size.append(0)
+                table = free.pop()
+                t += 1
+                at[i] = table
+            else:
+                table = at[j]
+                while keep * size[table] < discount:  # the table of any other customer, kept in proportion to its customers less the discount
+                    j, keep = int(draw() * others), draw()
+                    table = at[j + (j >= i)]
+                at[i] = table
+            size[table] += 1
     return np.array([n for n in size if n], np.int64)
 
 
@@ -414,18 +450,60 @@ def crowd(sizes: np.ndarray, goal: int, odds: float, discount: float, rng: np.ra
     return moved(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), sizes, c if c > 1 else 0, odds, discount, rng)
 
 
+SMALL = 3  # customers of a dish that its number of tables tells all of
+
+
+def small(tables: np.ndarray, customers: np.ndarray, goal: np.ndarray, odds: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes of at most SMALL customers after they are brought to ``goal`` and have made a sweep's moves.
+
+    Such a dish has at most one table of more than one customer, so its number of tables is its whole state.
+    """
+    t, c = tables.copy(), customers.copy()
+
+    def leave(d: np.ndarray) -> None:  # a customer, any of them
+        alone = np.where(t[d] == 1, c[d] == 1, t[d] - (t[d] < c[d]))  # customers alone at a table
+        t[d] -= rng.random(len(d)) * c[d] < alone
+        c[d] -= 1
+
+    def come(d: np.ndarray) -> None:
+        t[d] += rng.random(len(d)) * (odds[d] + c[d] - discount * t[d]) < odds[d]
+        c[d] += 1
+
+    while len(d := np.flatnonzero(c > goal)):
+        leave(d)
+    while len(d := np.flatnonzero(c < goal)):
+        come(d)
+    for step in range(SMALL):
+        d = np.flatnonzero((c > 1) & (c > step))
+        leave(d)
+        come(d)
+    return t
+
+
 def seated(tables: np.ndarray, sizes: np.ndarray, goal: np.ndarray, odds: np.ndarray, discount: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Tables and table sizes of each dish after its customers are brought to ``goal`` and have made a sweep's moves."""
     large = np.flatnonzero(goal > CROWD)
     ends = np.cumsum(tables)
+    customers = np.bincount(np.repeat(np.arange(len(tables)), tables), sizes, len(tables)).astype(np.int64)
+    few = np.maximum(customers, goal) <= SMALL
+    if few.any():
+        rest = seated(tables[~few], sizes[np.repeat(~few, tables)], goal[~few], odds[~few], discount, rng) if not few.all() else (tables[:0], sizes[:0])
+        t = np.empty(len(goal), np.int64)
+        t[few], t[~few] = small(tables[few], customers[few], goal[few], odds[few], discount, rng), rest[0]
+        out = np.ones(int(t.sum()), np.int64)
+        out[np.repeat(~few, t)] = rest[1]
+        first = np.cumsum(t) - t
+        here = few & (t > 0)
+        out[first[here]] = goal[here] - t[here] + 1  # the others have one customer each
+        return t, out
     if not len(large):
         s = Seating(tables, sizes, goal, rng)
         s.bring_to(goal, odds, discount)
         s.sweep(odds, discount)
         return s.t, s.sizes()
     some = goal <= CROWD
-    few = seated(tables[some], sizes[np.repeat(some, tables)], goal[some], odds[some], discount, rng)
-    parts = np.split(few[1], np.cumsum(few[0])[:-1]) if len(few[0]) else []
+    found = seated(tables[some], sizes[np.repeat(some, tables)], goal[some], odds[some], discount, rng)
+    parts = np.split(found[1], np.cumsum(found[0])[:-1]) if len(found[0]) else []
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(goal)
     for i, x in zip(np.flatnonzero(some), parts, strict=True):
         out[i] = x
