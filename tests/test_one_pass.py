@@ -104,3 +104,32 @@ def test_listings_are_priced_without_a_row_for_each_route(spark):
     from tidemark.operators.estimate import listings
 
     assert "route_site" not in listings(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_third_tier_is_found_only_where_it_is_lacking(spark, monkeypatch):
+    """Numbers for names, and the third tier's cells only where rows lack peers in the first two; against pairs."""
+    from tidemark.operators import joins
+
+    rng = random.Random(11)
+    deals = []
+    real = joins.with_others_median
+    monkeypatch.setattr(joins, "with_others_median", lambda rows, by, *a, **k: deals.append((tuple(by), rows.count())) or real(rows, by, *a, **k))
+    schema = "id int, basis string, kind string, site int, card long, series long, rarity long, grader string, grade int, seller long, price double"
+    data = [(i, "ask", "fixed", 1, rng.randrange(3), rng.randrange(2), 1, "A", 9, rng.randrange(6), rng.choice([1.0, 2.5, rng.random()])) for i in range(120)]
+    joins.peers(spark.createDataFrame(data, schema)).count()
+    assert [by for by, _ in deals] == [joins.TIERS[2]]
+    deals.clear()
+    # Site 2 has cards of one row each; a row without a price has no peers, and lacks none.
+    data += [(200 + i, "ask", "fixed", 2, 100 + i, 1, 1, "A", 9, i % 3, float(i)) for i in range(9)] + [(300, "ask", "fixed", 1, 900, 1, 1, "A", 9, 1, None)]
+    got = {r["id"]: (r["tier"], r["n_peers"], r["peer_median"]) for r in joins.peers(spark.createDataFrame(data, schema)).collect()}
+    assert deals == [(joins.TIERS[2], 130), (joins.TIERS[3], 9)] and len(got) == len(data)
+    names = schema.replace(" int", "").replace(" string", "").replace(" long", "").replace(" double", "").split(", ")
+    rows = [dict(zip(names, x)) for x in data]
+    for x in rows:
+        want = (None, None, None)
+        for t, columns in joins.TIERS.items() if x["price"] is not None else ():
+            near = [y["price"] for y in rows if y["price"] is not None and y["seller"] != x["seller"] and all(x[c] == y[c] for c in columns)]
+            if len(near) >= 3:
+                want = (t, len(near), statistics.median(near))
+                break
+        assert got[x["id"]] == want

@@ -35,11 +35,19 @@ def key_of(*parts: str) -> Column:
     return F.concat_ws("-", *parts)
 
 
-def lines(spark: SparkSession, sf_dir: str, parts: bool = True) -> DataFrame:
-    """The rows of ``market`` as the tables name them, with KEY_PARTS in place of the key; without ``parts`` they aren't joined to part yet."""
-    line, orders, part = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The market of each seller: s_suppkey and site."""
     supplier, nation, region = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    site = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", F.col("r_name").alias("site"))
+    return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", F.col("r_name").alias("site"))
+
+
+def lines(spark: SparkSession, sf_dir: str, parts: bool = True, site: DataFrame | None = None) -> DataFrame:
+    """The rows of ``market`` as the tables name them, with KEY_PARTS in place of the key; without ``parts`` they aren't joined to part yet.
+
+    ``site`` may be what ``sites`` gives in another form.
+    """
+    line, orders, part = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
+    site = sites(spark, sf_dir) if site is None else site
     # What a line says is computed before it is joined, so shuffles carry one price and one time for what they are made of.
     line = line.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
