@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.counting import others_median, sorted_medians
-from tidemark.operators.joins import PEER_COLUMNS, TIERS, _tier_sql, near_peers, peers
+from tidemark.operators.joins import PEER_COLUMNS, TIERS, _tier_sql, coded, near_peers, peers
 from tidemark.operators.ranking import midrank
 from tidemark.plans.register import query
 from tidemark.sources.shared import kept
@@ -188,7 +188,7 @@ SELECT {', '.join(f'CAST({v} AS BIGINT) AS {k}' for k, v in _ALPHA_SQL.items())}
 )
 def alpha_coverage(spark, sf_dir):
     """How much of the data the comparison of sellers rests on: rows and sellers by tier of peers, side and refusal."""
-    y = peers(kept(market(spark, sf_dir).select(*PEER_COLUMNS), "peers")).withColumnRenamed("peer_median", "mid")
+    y = peers(coded(spark, sf_dir)).withColumnRenamed("peer_median", "mid")
     near = F.col("tier") <= 2
     counts = {k: v for k, v in _ALPHA_SQL.items() if "DISTINCT" not in v and v != "count(*)"}
     columns = [F.count("*").alias("n_rows"), *[F.count_distinct(c).alias(f"n_{c}s") for c in ("seller", "card", "site")]]
