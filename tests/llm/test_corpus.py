@@ -214,6 +214,63 @@ def test_toxicity_sends_its_index_once(spark, monkeypatch):
     assert t.score(docs, labels).count() == 60 and len(sent) == 1
 
 
+def test_toxicity_has_one_python_worker_for_each_task(spark, monkeypatch):
+    """A Python function on another's rows takes a second worker, and each worker keeps the index."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tidemark.llm import toxicity as t
+
+    stacked = []
+    for name in ("mapInPandas", "mapInArrow"):
+
+        def noted(self, *args, plain=getattr(DataFrame, name), **more):
+            stacked.append(self._jdf.queryExecution().analyzed().nodeName() in ("MapInPandas", "MapInArrow", "PythonMapInArrow"))
+            return plain(self, *args, **more)
+
+        monkeypatch.setattr(DataFrame, name, noted)
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i % 3}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(60)], "doc_id long, toxic int")
+    assert t.score(docs, labels).count() == 60 and len(stacked) > 4 and not any(stacked)
+
+
+def test_terms_are_found_by_batch_as_word_by_word():
+    import pyarrow as pa
+
+    from tidemark.llm import toxicity as t
+
+    known = ["Straße", "strategy", "it's", "ΟΔΟΣ", "İx", "abcdefghij", "ab"]
+    names = sorted(set().union(*map(t.terms_of, known)))
+    terms = t.Terms("\n".join(names))
+    texts = ["STRASSE straße\x1f(Straße)\u00a0strat", None, "", " ... ", "ΟΔΟΣ, οδοσ İX abcdefgzzz abcdz ab abc* it's IT'S", "unknown"]
+    for text, last, n in zip(texts, *terms.last(pa.array(texts)), strict=True):
+        want = Counter()
+        for w in (text or "").split():
+            found = t.terms_of(w) & set(names)
+            if found:
+                want[max(found, key=lambda x: (not x.endswith("*"), len(x)))] += 1
+        assert dict(zip((names[i] for i in last.as_py()), n.as_py())) == want and last.as_py() == sorted(last.as_py())
+    for row, name in zip(terms.above(), names):
+        assert {names[i] for i in row if i < len(names)} == (t.terms_of(name) if not name.endswith("*") else {name[:k] + "*" for k in t.BEGINNINGS if k < len(name)})
+
+
+def test_neighbours_that_single_precision_confuses():
+    from tidemark.llm import toxicity as t
+
+    rng = np.random.default_rng(7)
+    first = rng.random(40) + 0.5
+    vectors = []
+    for i in range(300):
+        w = first.copy()
+        w[i % 40] += 1e-8 * (i // 40)
+        vectors.append((np.arange(40), w / np.sqrt(w @ w)))
+    queries = [vectors[i] for i in range(0, 300, 29)]
+    index = t.BlockMaxIndex(vectors, 40)
+    for q, batch in zip(queries, index.nearest_of(queries, 15), strict=True):
+        exact = np.array([q[1] @ w for _, w in vectors])
+        want = np.lexsort((np.arange(300), -np.round(exact, 9)))[:15].tolist()
+        assert [i for _, i in batch] == want == [i for _, i in index.nearest(q, 15)[0]]
+
+
 def test_toxicity_on_held_out_labels(spark):
     from pyspark.sql import functions as F
 
