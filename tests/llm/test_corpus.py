@@ -619,6 +619,25 @@ def test_small_dishes_are_drawn_by_their_number_of_tables(monkeypatch):
             assert (tables == t).mean() == pytest.approx(x / sum(law[n]), abs=0.015)
 
 
+def test_words_of_the_model_are_those_of_bytes():
+    """A batch's words are split, lowered and numbered at once, and give what bytes give one by one."""
+    import pyarrow as pa
+
+    from tidemark.llm import hpy_model as h
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x11000)])).encode()
+    texts = [b"skipped", every, b" A  b\t", b"", None, b"\xff\xfe Zz\x0b\x1cq\x85", b"  ", "\u00c9t\u00c9 \u0130".encode()]
+    words, n = h.words_of(pa.array(texts, pa.binary())[1:])
+    want = [(x or b"").lower().split() for x in texts[1:]]
+    assert words.view(pa.binary()).to_pylist() == sum(want, []) and n.tolist() == [len(x) for x in want]
+    block = h.Block()
+    for i, x in enumerate(texts[1:]):
+        block.add(i, x, False)
+    names, tokens, lengths = block.coded()
+    assert [names[i] for i in tokens] == [w for x in want for w in [*x, h.END]] and lengths.tolist() == [len(x) + 1 for x in want] and len(set(names)) == len(names)
+    assert h.class_of([b"", b"a", b"xab", "\u00e9".encode()]).tolist() == [0, (97 & 63) << 5, (98 & 63) << 5 | (97 & 31), (0xA9 & 63) << 5 | (0xC3 & 31)]
+
+
 def test_a_sweep_moves_as_many_customers_as_a_dish_has():
     """From a table for each customer, a single sweep leaves few tables, in small, large and very large dishes."""
     from tidemark.llm import hpy_model as h

@@ -38,6 +38,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -47,6 +49,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import discard, free_shuffles, id_hash, sorted_unique, stash
 
 BLOCK_TOKENS = 1_500_000
+SLICE = 500  # texts whose words are split at once
 PART_BYTES = 8 << 20  # of text for each part, so that a part's requests fit a worker whatever the input is
 CLASS_BITS, CODE_BITS = 11, 40  # a context's code: a hash, and its class in the low bits
 CLASSES = 1 << CLASS_BITS
@@ -61,17 +64,20 @@ ROW = "part int, other long, kind int, body binary"
 REQUEST, LIST, MODEL, CONTEXTS, TOTALS, REPLY, STATS, TABLES = range(8)
 
 
-class _Ids(dict):
-    """Words numbered as they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 def class_of(words: list[bytes]) -> np.ndarray:
     """The class of each word as a context: six bits of its last byte, five of the one before; 0 for the end token."""
-    return np.fromiter((((w[-1] & 63) << 5 | (w[-2] & 31 if len(w) > 1 else 0)) if w else 0 for w in words), np.int64, len(words))
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end, data = np.cumsum(size), np.frombuffer(b"\0\0" + b"".join(words), np.uint8).astype(np.int64)
+    return np.where(size > 0, (data[end + 1] & 63) << 5 | np.where(size > 1, data[end] & 31, 0), 0)
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts (binary), A-Z in lower case, one after the other, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))  # on bytes: exactly the six white space bytes
+    flat, ends = split.flatten(), np.cumsum(split.value_lengths().to_numpy())
+    some = pc.binary_length(flat).to_numpy() > 0  # white space at an end of a text leaves an empty one
+    so_far = np.concatenate([[0], np.cumsum(some)])
+    return (flat if some.all() else flat.filter(pa.array(some))), np.diff(so_far[ends], prepend=0)
 
 
 def _spread(h: np.ndarray, n: int) -> np.ndarray:
@@ -138,24 +144,35 @@ class Block:
     """Documents on their way into one block."""
 
     def __init__(self):
-        self.ids, self.tokens, self.doc_ids, self.held, self.n = _Ids(), [], [], [], 0
-        self.ids[END]
+        self.words, self.lengths, self.doc_ids, self.held, self.n = [], [], [], [], 0
 
     def add(self, doc_id: int | None, text: bytes | None, held: bool) -> None:
-        words = (text or b"").lower().split()  # of bytes: A-Z only, and exactly the six white space bytes
-        words.append(END)
-        self.tokens.append(np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)))
-        self.doc_ids.append(doc_id)
-        self.held.append(held)
-        self.n += len(words)
+        self.extend([doc_id], *words_of(pa.array([text], pa.binary())), [held])
+
+    def extend(self, doc_ids: list, words: pa.Array, lengths: np.ndarray, held: list) -> None:
+        """Adds documents by their words, one after the other; each ends with the end token."""
+        self.words.append(words)
+        self.lengths.append(lengths + 1)
+        self.doc_ids += doc_ids
+        self.held += held
+        self.n += len(words) + len(lengths)
+
+    def coded(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Distinct words, the end token first; the tokens as places among them; tokens of each document."""
+        lengths = np.concatenate(self.lengths)
+        found = pa.concat_arrays(self.words).dictionary_encode()
+        self.words = []
+        tokens, words = np.zeros(self.n, np.int32), np.ones(self.n, bool)
+        words[np.cumsum(lengths) - 1] = False
+        tokens[words] = found.indices.to_numpy() + 1
+        return [END, *found.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False)], tokens, lengths
 
     def rows(self, block: int, parts: int, heavy: np.ndarray, lists: bool) -> Iterator[tuple[int, int, int, bytes]]:
         """A request for each part that has pairs, and (``lists``) the token lists."""
-        words, size = list(self.ids), len(self.ids)
+        words, tokens, lengths = self.coded()
+        size = len(words)
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), U64, size)
         code = ((_mix(hashes) >> U64(64 - CODE_BITS + CLASS_BITS)).astype(np.int64) << CLASS_BITS) | class_of(words)
-        lengths = np.array([len(t) for t in self.tokens])
-        tokens = np.concatenate(self.tokens)
         # Words are named by the order of their hashes, contexts by that of their codes, so pairs sort as their parts do.
         by_hash, by_code = np.argsort(hashes), np.argsort(code)
         as_word, as_context = np.empty(size, np.int64), np.empty(size, np.int64)
@@ -214,18 +231,30 @@ def _with_held(docs: DataFrame) -> DataFrame:
 
 
 def blocks_of(docs: DataFrame, parts: int, heavy: np.ndarray, lists: bool) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq, held = TaskContext.get().partitionId() << 24, 0, Block()
-        for batch in batches:
-            for doc_id, text, out in zip(batch["doc_id"].tolist(), batch["text"], batch["held"], strict=True):
-                held.add(None if pd.isna(doc_id) else int(doc_id), text, bool(out))
+
+        def full() -> pa.RecordBatch:
+            part, other, kind, body = zip(*held.rows(base + seq, parts, heavy, lists), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(other, pa.int64()), pa.array(kind, pa.int32()), pa.array(body, pa.binary())], ["part", "other", "kind", "body"])
+
+        for batch in (whole.slice(first, SLICE) for whole in batches for first in range(0, whole.num_rows, SLICE)):
+            words, lengths = words_of(batch["text"])
+            doc_ids, out = batch["doc_id"].to_pylist(), batch["held"].to_pylist()
+            ends, at = np.cumsum(lengths), 0
+            while at < len(lengths):
+                before = int(ends[at - 1]) if at else 0
+                # Up to the document that makes the block full.
+                n = min(len(lengths), at + 1 + int(np.searchsorted(np.cumsum(lengths[at:] + 1), BLOCK_TOKENS - held.n)))
+                held.extend(doc_ids[at:n], words.slice(before, int(ends[n - 1]) - before), lengths[at:n], out[at:n])
+                at = n
                 if held.n >= BLOCK_TOKENS:
-                    yield _rows(list(held.rows(base + seq, parts, heavy, lists)))
+                    yield full()
                     seq, held = seq + 1, Block()
         if held.n:
-            yield _rows(list(held.rows(base + seq, parts, heavy, lists)))
+            yield full()
 
-    return _with_held(docs).mapInPandas(run, ROW)
+    return _with_held(docs).mapInArrow(run, ROW)
 
 
 def heavy_words(docs: DataFrame, parts: int) -> np.ndarray:
@@ -360,7 +389,7 @@ class Seating:
         u = self.rng.random((4, len(c)))
         i = (u[0] * c).astype(np.int64)
         place = at + i
-        table = self.table[place]
+        table = self.table.take(place)
         left = self.size[table] - 1
         self.size[table] = left
         e = np.flatnonzero(left == 0)
@@ -376,7 +405,7 @@ class Seating:
         j = (u[2][todo] * others[todo]).astype(np.int64)
         keep = u[3][todo]
         while len(todo):
-            table = self.table[at[todo] + j + (j >= i[todo])]
+            table = self.table.take(at.take(todo) + j + (j >= i.take(todo)))
             fine = keep * self.size[table] >= discount
             seat[todo[fine]] = table[fine]
             todo = todo[~fine]
