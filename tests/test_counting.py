@@ -34,6 +34,24 @@ def test_places_and_medians(spark):
     assert placed(df.limit(0), ["cell"], "value").count() == 0
 
 
+def test_medians_of_stored_rows_count_each_by_its_weight(spark):
+    """Only rows of the middle buckets are dealt; the same as medians of the rows repeated."""
+    from tidemark.operators.counting import stored_medians
+
+    rng = random.Random(8)
+    data = [(c, s % 2, v, rng.randrange(1, 4)) for c, s, v in rows()] + [("far", 0, -7.5, 1), ("far", 0, 2000.0, 1)]
+    df = spark.createDataFrame(data, "cell string, part int, value double, n_sales long")
+    for by, key in (([], lambda c, p: ()), (["cell"], lambda c, p: (c,)), (["cell", "part"], lambda c, p: (c, p))):
+        want = {}
+        for c, p, v, n in data:
+            if v is not None:
+                want.setdefault(key(c, p), []).extend([v] * n)
+        found = stored_medians(df, by, "value", "n_sales")
+        assert {tuple(r[b] for b in by): (r["mid"], r["n"]) for r in found.collect()} == {k: (statistics.median(v), len(v)) for k, v in want.items()}
+    assert stored_medians(df.limit(0), ["cell"], "value", "n_sales").count() == 0
+    assert [tuple(r) for r in stored_medians(df.limit(0), [], "value", "n_sales").collect()] == [(None, None)]
+
+
 def test_median_of_the_others(spark):
     from tidemark.operators.counting import others_median
 

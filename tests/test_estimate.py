@@ -1,6 +1,7 @@
 """Estimates by listing, shares above, and sales shown twice, against plain Python."""
 
 import random
+import re
 
 
 def test_share_of_a_sample_above_each_row(spark):
@@ -40,6 +41,63 @@ def test_estimates_put_the_market_back(spark):
     assert estimates(s.limit(0), ask).count() == 5
 
 
+def test_counted_sales_give_the_same_estimates(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.estimate import counted, estimates, shares_above
+
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), rng.choice(["PROMO", "SMALL", None]), "A", rng.choice([8, 9]), rng.choice(["ASIA", "AFRICA"]), rng.choice([1.0, 2.0, 4.5]), rng.random() < 0.4) for _ in range(400)]
+    s = spark.createDataFrame(rows, "card string, rarity string, grader string, grade int, site string, lp double, calibration boolean")
+    c = counted(s)
+    assert c.count() < 400 and c.agg(F.sum("sales")).first()[0] == 400
+    ask = s.select("card", "rarity", "grade", "site").distinct()
+    assert sorted(map(str, estimates(c, ask).collect())) == sorted(map(str, estimates(s, ask).collect()))
+    few = s.groupBy("lp").count()
+    assert sorted(map(str, shares_above(ask.withColumn("x", F.lit(1.5)), "x", few, "lp", "p", 400, "count").collect())) == sorted(map(str, shares_above(ask.withColumn("x", F.lit(1.5)), "x", s, "lp", "p", 400).collect()))
+
+
+def test_p_worth_joins_the_market_once(spark, monkeypatch):
+    """Listings and sales come from one stored market, and titles aren't dealt to be matched."""
+    from tidemark.operators import counting, dictionary, estimate
+
+    reads, keep = [], estimate.kept
+
+    def noted(df, name):
+        reads.append((name, len(re.findall(r"Relation \[l_orderkey#\d+L?,l_partkey", df._jdf.queryExecution().optimizedPlan().toString()))))  # the table
+        return keep(df, name)
+
+    for module in (counting, dictionary, estimate):
+        monkeypatch.setattr(module, "kept", noted)
+    assert estimate.p_worth_by_listing(spark, "/root/testdata/sf0.001").count() > 0
+    assert [n for n, lines in reads if lines] == ["market"] and sum(lines for _, lines in reads) == 1
+
+
+def test_p_worth_of_odd_rows_equals_its_sql(spark, tmp_path):
+    """Lines shown twice, lines without a number, parts shown twice under other brands, and parts without name, type or size."""
+    import duckdb
+
+    from tests.test_parity import connect, ordered, same
+    from tidemark import catalog
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    read = lambda t: f"SELECT * FROM '{sf}/{t}.parquet'"
+    no_number = f"SELECT * REPLACE (CAST(NULL AS INTEGER) AS l_linenumber) FROM '{sf}/lineitem.parquet' WHERE l_orderkey % 7 = 1"
+    odd = f"""SELECT * REPLACE (CASE WHEN p_partkey % 11 = 1 THEN NULL ELSE p_name END AS p_name, CASE WHEN p_partkey % 11 = 2 THEN NULL ELSE p_type END AS p_type, CASE WHEN p_partkey % 11 = 3 THEN NULL ELSE p_size END AS p_size) FROM '{sf}/part.parquet'"""
+    tables = {t: read(t) for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()}
+    tables["lineitem"] += f" UNION ALL ({read('lineitem')} WHERE l_orderkey % 5 = 0) UNION ALL {no_number}"
+    tables["part"] = f"{odd} UNION ALL SELECT * REPLACE ('Brand#99' AS p_brand) FROM ({odd}) WHERE p_partkey % 4 = 0"
+    for t, sql in tables.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    df = catalog.QUERIES["p_worth_by_listing"](spark, str(tmp_path))
+    want = connect(str(tmp_path)).execute(catalog.SQL["p_worth_by_listing"])
+    at = [[d[0] for d in want.description].index(c) for c in df.columns]
+    rows = ordered([tuple(row[i] for i in at) for row in want.fetchall()])
+    got = ordered([tuple(row) for row in df.collect()])
+    assert len(got) == len(rows) > 1000
+    assert all(same(x, y) for a, b in zip(got, rows, strict=True) for x, y in zip(a, b, strict=True))
+
+
 def test_sales_shown_twice_equal_connected_pairs(spark):
     from tidemark.operators.dual import dual_groups
 

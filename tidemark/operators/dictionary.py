@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import folded
 from tidemark.plans.register import query
+from tidemark.sources.shared import kept
 from tidemark.sources.views import market, table, titled
 
 MAX_KEYS, MAX_LETTERS = 200_000, 8_000_000
@@ -152,6 +153,33 @@ def longest_match(titles: DataFrame, names: DataFrame) -> DataFrame:
     return matched(titles, keys, fold=False).withColumnRenamed("key", "name")
 
 
+def with_longest_match(rows: DataFrame, names: DataFrame, title: str = "title", to: str = "name", max_keys: int = MAX_KEYS) -> DataFrame:
+    """``rows`` with what ``longest_match`` finds in their titles, and null for nothing.
+
+    By the automaton rows are read where they are: titles are neither made distinct nor joined back.
+    """
+    keys = names.where("name IS NOT NULL AND name <> ''").select(F.col("name").alias("key")).distinct()
+    keys = kept(keys, "keys")
+    size = keys.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("key")), F.lit(0)).alias("letters")).first()
+    if size["n"] > max_keys or size["letters"] > MAX_LETTERS:
+        rows = kept(rows, "titled")
+        found = matched(rows.select(F.col(title).alias("title")), keys, fold=False, max_keys=max_keys).select(F.col("title").alias(title), F.col("key").alias(to))
+        return rows.join(found, title, "left")
+    every = [r["key"] for r in keys.orderBy("key").collect()]
+    longest, singles = max(map(len, every), default=0), [k for k in every if len(k) == 1]
+
+    @F.pandas_udf("string")
+    def name_in(titles: pd.Series) -> pd.Series:
+        found, known = automaton(every), {}
+        for t in titles:
+            if t is not None and t not in known:
+                best = earliest_longest(found, longest, t, every, singles)
+                known[t] = every[best] if best >= 0 else None
+        return pd.Series([known.get(t) for t in titles], dtype=object)
+
+    return rows.withColumn(to, name_in(title) if every else F.lit(None).cast("string"))
+
+
 # --- Queries
 
 

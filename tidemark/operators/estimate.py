@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.money import USD, cheapest, quotes_sql
 from tidemark.functions.settings import Settings
-from tidemark.operators.counting import _bucket, medians
-from tidemark.operators.dictionary import longest_match
-from tidemark.operators.model import _SAMPLES, BASE_GRADE, samples
+from tidemark.operators.counting import _bucket, stored_medians
+from tidemark.operators.dictionary import with_longest_match
+from tidemark.operators.model import _SAMPLES, BASE_GRADE, sales, samples
 from tidemark.plans.register import query
 from tidemark.sources.shared import kept
-from tidemark.sources.views import market, r, rounded, table, titled
+from tidemark.sources.views import KEY_PARTS, key_of, market, r, rounded, sites, table, titled
 
 SETTINGS = Settings()
 MIN_CALIBRATION = 50
@@ -36,22 +36,31 @@ def _priors(spark: SparkSession, column: str, kind: str, values: dict) -> DataFr
     return spark.createDataFrame([(k, math.log(v)) for k, v in values.items()], f"{column} {kind}, prior double")
 
 
+def counted(s: DataFrame) -> DataFrame:
+    """Sales that agree in all that estimates read as one row, with their number in ``sales``."""
+    return s.groupBy("card", "rarity", "grader", "grade", "site", "lp", "calibration").agg(F.count("*").alias("sales"))
+
+
+def _weighed(s: DataFrame) -> DataFrame:
+    return s if "sales" in s.columns else s.withColumn("sales", F.lit(1).cast("long"))
+
+
 def effects(s: DataFrame, settings: Settings = SETTINGS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(grade, g), (site, v) and (rarity, q): grade first, then market, grade again on prices without the market, then rarity.
 
-    Each is a row for each level of a fixed list; levels without sales have their priors.
+    Each is a row for each level of a fixed list; levels without sales have their priors. Rows may be sales, or ``counted`` ones.
     """
-    spark, k = s.sparkSession, settings.shrink
+    s, spark, k = _weighed(s), s.sparkSession, settings.shrink
     to_prior = lambda d, n, to: F.coalesce((F.col(d) * F.col(n) + F.col("prior") * k) / (F.col(n) + k), F.col("prior")).alias(to)
 
     def of_grade(x: DataFrame, value: str) -> DataFrame:
-        cell = medians(x, ["rarity", "grade"], value, "m").where(F.col("n") >= settings.min_cell)
+        cell = stored_medians(x, ["rarity", "grade"], value, "sales", "m").where(F.col("n") >= settings.min_cell)
         base = cell.where(F.col("grade") == BASE_GRADE).select("rarity", F.col("m").alias("mb"), F.col("n").alias("nb"))
         found = cell.join(base, "rarity").groupBy("grade").agg(F.percentile(F.col("m") - F.col("mb"), F.lit(0.5)).alias("d"), F.sum(F.least("n", "nb")).alias("support"))
         return _priors(spark, "grade", "int", GRADE_PRIOR).join(found, "grade", "left").select("grade", to_prior("d", "support", "g"))
 
-    cell = medians(s, ["rarity", "grader", "grade", "site"], "lp", "m").where(F.col("n") >= settings.min_cell)
-    base = s.groupBy("site").count().orderBy(F.desc("count"), "site").limit(1).select(F.col("site").alias("base"))
+    cell = stored_medians(s, ["rarity", "grader", "grade", "site"], "lp", "sales", "m").where(F.col("n") >= settings.min_cell)
+    base = s.groupBy("site").agg(F.sum("sales").alias("count")).orderBy(F.desc("count"), "site").limit(1).select(F.col("site").alias("base"))
     priors = _priors(spark, "site", "string", SITE_PRIOR)
     base = base.join(priors.select(F.col("site").alias("base"), F.col("prior").alias("of_base")), "base", "left")  # one row
     other = cell.join(F.broadcast(base), F.col("site") == F.col("base")).select("rarity", "grader", "grade", F.col("m").alias("mb"), F.col("n").alias("nb"))
@@ -60,15 +69,16 @@ def effects(s: DataFrame, settings: Settings = SETTINGS) -> tuple[DataFrame, Dat
     site = kept(priors.join(found, "site", "left").select("site", to_prior("d", "support", "v")), "effect-of-site")
     x = s.join(F.broadcast(site), "site", "left").withColumn("lv", F.col("lp") - F.coalesce("v", F.lit(0.0)))
     grade = kept(of_grade(x, "lv"), "effect-of-grade")
-    x = kept(x.join(F.broadcast(grade), "grade", "left").select("rarity", (F.col("lv") - F.coalesce("g", F.lit(0.0))).alias("rest")), "effect-rest")
-    every = medians(x, [], "rest", "all").select("all")
-    level = medians(x, ["rarity"], "rest", "m").crossJoin(F.broadcast(every)).withColumn("d", F.col("m") - F.col("all"))  # one row
+    x = kept(x.join(F.broadcast(grade), "grade", "left").select("rarity", (F.col("lv") - F.coalesce("g", F.lit(0.0))).alias("rest"), "sales"), "effect-rest")
+    every = stored_medians(x, [], "rest", "sales", "all").select("all")
+    level = stored_medians(x, ["rarity"], "rest", "sales", "m").crossJoin(F.broadcast(every)).withColumn("d", F.col("m") - F.col("all"))  # one row
     rarity = _priors(spark, "rarity", "string", RARITY_PRIOR).join(level, "rarity", "left").select("rarity", to_prior("d", "n", "q"))
     return grade, site, kept(rarity, "effect-of-rarity")
 
 
 def estimates(s: DataFrame, targets: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """``targets`` (card, rarity, grade, site and more) with est (ln price in their market), level and n_effective, from the sales ``s``."""
+    """``targets`` (card, rarity, grade, site and more) with est (ln price in their market), level and n_effective, from the sales ``s``, which may be ``counted``."""
+    s = _weighed(s)
     curves = effects(s, settings)
 
     def freed(x: DataFrame) -> DataFrame:
@@ -76,15 +86,15 @@ def estimates(s: DataFrame, targets: DataFrame, settings: Settings = SETTINGS) -
             x = x.join(F.broadcast(curve), column, "left")  # a row for each level of a fixed list
         return x.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in "gvq"})
 
-    y = kept(freed(s).select("card", "rarity", "grade", (F.col("lp") - F.col("v")).alias("lv"), (F.col("lp") - F.col("g") - F.col("v")).alias("lgv"), (F.col("lp") - F.col("g") - F.col("v") - F.col("q")).alias("rest")), "pools")
+    y = kept(freed(s).select("card", "rarity", "grade", "sales", (F.col("lp") - F.col("v")).alias("lv"), (F.col("lp") - F.col("g") - F.col("v")).alias("lgv"), (F.col("lp") - F.col("g") - F.col("v") - F.col("q")).alias("rest")), "pools")
     pools = {
         "3": (["rarity"], "lgv"),
         "2": (["card", "rarity"], "lgv"),
         "1": (["card", "rarity", "grade"], "lv"),
     }
-    out = freed(targets).crossJoin(F.broadcast(medians(y, [], "rest", "m0").select("m0")))  # one row
+    out = freed(targets).crossJoin(F.broadcast(stored_medians(y, [], "rest", "sales", "m0").select("m0")))  # one row
     for i, (by, value) in pools.items():
-        pool = kept(medians(y, by, value, f"m{i}").withColumnRenamed("n", f"n{i}"), "pool")  # stored, so that Spark knows how small it is
+        pool = kept(stored_medians(y, by, value, "sales", f"m{i}").withColumnRenamed("n", f"n{i}"), "pool")  # stored, so that Spark knows how small it is
         out = out.join(pool, by, "left")
     k, est = settings.shrink, F.col("m0") + F.col("g") + F.col("q") + F.col("v")
     for i, back in (("3", F.col("g") + F.col("v")), ("2", F.col("g") + F.col("v")), ("1", F.col("v"))):
@@ -94,15 +104,17 @@ def estimates(s: DataFrame, targets: DataFrame, settings: Settings = SETTINGS) -
     return out.select(*targets.columns, est.alias("est"), level.alias("level"), F.coalesce("n1", "n2", "n3", F.lit(0)).alias("n_effective"))
 
 
-def shares_above(rows: DataFrame, x: str, sample: DataFrame, value: str, to: str, least: int) -> DataFrame:
+def shares_above(rows: DataFrame, x: str, sample: DataFrame, value: str, to: str, least: int, weight: str | None = None) -> DataFrame:
     """``rows`` with the share of ``sample`` whose value is above x; null if the sample has fewer than ``least``, or x is null.
 
+    A row of the sample counts ``weight`` times, once if that isn't given.
+
     Rows and sample are merged by value: buckets of the value are counted and cumulated, and only the rows of one bucket are
     ordered together. The sample is neither gathered nor paired with the rows.
     """
     one = F.struct(*rows.columns)
     both = rows.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("x_"), F.lit(0).alias("s_"), one.alias("row_"))
-    both = both.unionByName(sample.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x_"), F.lit(1).alias("s_")), allowMissingColumns=True).withColumn("bucket_", _bucket(F.col("x_")))
+    both = both.unionByName(sample.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x_"), (F.col(weight) if weight else F.lit(1)).alias("s_")), allowMissingColumns=True).withColumn("bucket_", _bucket(F.col("x_")))
     higher = Window.orderBy(F.desc("bucket_")).rowsBetween(Window.unboundedPreceding, -1)
     counts = both.groupBy("bucket_").agg(F.sum("s_").alias("here_"))  # as many rows as there are buckets of a double: some thousand
     counts = counts.withColumn("higher_", F.coalesce(F.sum("here_").over(higher), F.lit(0))).withColumn("all_", F.sum("here_").over(Window.partitionBy()))
@@ -113,14 +125,23 @@ def shares_above(rows: DataFrame, x: str, sample: DataFrame, value: str, to: str
     return known.unionByName(rows.where(F.col(x).isNull()).withColumn(to, F.lit(None).cast("double")))
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Asks with what their titles and records tell, each distinct one once, and the landed cost of the cheapest route."""
-    asks = market(spark, sf_dir).where("basis = 'ask'")
-    rows = kept(titled(asks).select("key", "site", "price", "title", "grade", F.when(F.col("quantity") % 5 != 0, F.col("rarity")).alias("recorded")).distinct(), "asks")
-    names = longest_match(rows.select("title"), table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))).withColumnRenamed("name", "card")
+def stored_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What listings and sales need of ``market``, joined once for both and stored, with KEY_PARTS in place of the key."""
+    site = kept(sites(spark, sf_dir), "sites")  # a few bytes for each seller: stored, so that Spark knows it
+    rows = market(spark, sf_dir, site, KEY_PARTS)
+    return kept(rows.select(*KEY_PARTS, "basis", "site", "card", "series", "rarity", "grade", "grader", "price", "quantity", "sold_at"), "market")
+
+
+def listings(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Asks with what their titles and records tell, each distinct one once, and the landed cost of the cheapest route; ``rows``: the stored market."""
+    rows = stored_market(spark, sf_dir) if rows is None else rows
+    asks = titled(rows.where("basis = 'ask'").withColumn("part_key", F.col("l_partkey")))
+    # A key that lacks a number is no other row's, as only a line's number may be missing: a row without cents has no price, and no cost.
+    asks = asks.select(*KEY_PARTS, "site", "price", "title", "grade", F.when(F.col("quantity") % 5 != 0, F.col("rarity")).alias("recorded")).distinct()
     told = F.nullif(F.regexp_extract("title", rf"\b({'|'.join(RARITY_PRIOR)})\b", 1), F.lit(""))
-    rows = rows.join(names, "title", "left").withColumn("rarity", F.coalesce("recorded", told))
-    return rows.select("key", "site", "price", "card", "rarity", "grade", cheapest().alias("landed"))
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
+    asks = with_longest_match(asks, names, to="card").withColumn("rarity", F.coalesce("recorded", told))
+    return asks.select(key_of(*KEY_PARTS).alias("key"), "site", "price", "card", "rarity", "grade", cheapest().alias("landed"))
 
 
 # --- SQL
@@ -187,9 +208,10 @@ def p_worth_by_listing(spark, sf_dir):
 
     Errors are those of a model of one part of the sales on the other part; the share is of all of them, not of a group's.
     """
-    s = kept(samples(spark, sf_dir), "samples")
-    errors = kept(estimates(s.where("NOT calibration"), s.where("calibration").select("card", "rarity", "grade", "site", "lp")).select((F.col("lp") - F.col("est")).alias("res")), "errors")
-    e = estimates(s, listings(spark, sf_dir)).withColumn("room", F.when(F.col("landed") > 0, F.ln(F.col("landed") / USD) - F.col("est"))).where("room IS NOT NULL")
+    rows = stored_market(spark, sf_dir)
+    s = kept(counted(sales(rows.withColumn("key", key_of(*KEY_PARTS)))), "samples")
+    errors = kept(estimates(s.where("NOT calibration"), s.where("calibration").select("card", "rarity", "grade", "site", "lp", "sales")).select((F.col("lp") - F.col("est")).alias("res"), "sales"), "errors")
+    e = estimates(s, listings(spark, sf_dir, rows)).withColumn("room", F.when(F.col("landed") > 0, F.ln(F.col("landed") / USD) - F.col("est"))).where("room IS NOT NULL")
     e = kept(e.select("key", "site", "price", "card", "rarity", "level", "n_effective", "est", "room"), "estimated")  # counted, then placed
-    out = shares_above(e, "room", errors, "res", "p", MIN_CALIBRATION)
+    out = shares_above(e, "room", errors, "res", "p", MIN_CALIBRATION, "sales")
     return out.select("key", "site", "price", "card", "rarity", "level", "n_effective", rounded(F.exp("est")).alias("fair"), rounded("p", 6).alias("p_worth"))

@@ -16,8 +16,13 @@ ALPHA = 1.0 - 0.8  # as a double; its rounding decides which samples are large e
 
 def samples(spark, sf_dir) -> DataFrame:
     """Sales with ln price and their side of the stable split."""
+    return sales(market(spark, sf_dir))
+
+
+def sales(rows: DataFrame) -> DataFrame:
+    """``samples`` of the rows of ``market``, or of those of its columns that it reads."""
     bucket = F.conv(F.substring(F.sha1(F.col("key").cast("binary")), 1, 6), 16, 10).cast("long") % 1000
-    return market(spark, sf_dir).where("basis = 'sold' AND price > 0").select("key", "card", "rarity", "grader", "grade", "site", F.ln("price").alias("lp"), (bucket < 400).alias("calibration"))
+    return rows.where("basis = 'sold' AND price > 0").select("key", "card", "rarity", "grader", "grade", "site", F.ln("price").alias("lp"), (bucket < 400).alias("calibration"))
 
 
 _SAMPLES = "s AS (SELECT key, card, rarity, grader, grade, site, ln(price) AS lp, CAST(('0x' || substr(sha1(key), 1, 6)) AS BIGINT) % 1000 < 400 AS calibration FROM market WHERE basis = 'sold' AND price > 0)"

@@ -66,9 +66,10 @@ def lines(spark: SparkSession, sf_dir: str, parts: bool = True, site: DataFrame
     return rows.join(site, F.col("l_suppkey") == F.col("s_suppkey"))
 
 
-def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings (basis ask) and completed sales (basis sold) in one shape."""
-    return lines(spark, sf_dir).select(
+def market(spark: SparkSession, sf_dir: str, site: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """Listings (basis ask) and completed sales (basis sold) in one shape; ``also`` are columns of ``lines`` to keep, ``site`` is for it."""
+    return lines(spark, sf_dir, site=site).select(
+        *also,
         key_of(*KEY_PARTS).alias("key"),
         "basis",
         "kind",
