@@ -204,6 +204,43 @@ def test_alike_terms_are_one_and_batches_find_the_same():
         assert all(abs(a - b) < 1e-12 for x, y in zip(got, want) for (a, _), (b, _) in zip(x, y))
 
 
+def test_toxicity_holds_little_beside_its_index():
+    """Alike terms take a number for each posting, and what is sent is written without a copy of all its arrays."""
+    import pickle
+    import tracemalloc
+
+    import numpy as np
+
+    from tidemark.llm import toxicity as t
+
+    rng = np.random.default_rng(4)
+    counted = [(np.sort(rng.choice(20_000, 2_000, replace=False)).astype(np.int32), np.ones(2_000, np.int32)) for _ in range(300)]
+    most = []
+
+    def traced(f):
+        tracemalloc.start()
+        try:
+            return f()
+        finally:
+            most.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+
+    group = traced(lambda: t.alike(counted, 20_000))
+    assert most[0] < 32 * 600_000  # bytes for each posting, of which up to 8 are the groups' keys
+    weight = np.ones(20_000)
+    merge = t.Merge(group, weight)
+    vectors = [merge(t._unit(x, weight)) for x in counted]
+    want = t.BlockMaxIndex(list(vectors), merge.n)
+    index = t.BlockMaxIndex(t._taken(vectors, list(range(300))), merge.n)
+    assert vectors == [None] * 300 and all(np.array_equal(getattr(index, k), getattr(want, k)) for k in ("dense", "exact", "weight", "starts", "example"))
+    search = t.Search(index, np.zeros((20_000, 6), np.int32), weight, merge)
+    size = sum(x.nbytes for o in (search, index, merge) for x in vars(o).values() if isinstance(x, np.ndarray))
+    state = traced(search.__getstate__)
+    assert most[1] < size / 2 and len(state) < size / 4
+    again = pickle.loads(pickle.dumps(search))
+    assert all(np.array_equal(getattr(again.index, k), getattr(index, k)) for k in ("dense", "exact", "weight", "starts", "example", "column", "rows"))
+
+
 def test_toxicity_sends_its_index_once(spark, monkeypatch):
     from tidemark.llm import toxicity as t
 

@@ -23,9 +23,10 @@ table gives no rows. Columns other than doc_id, text and toxic are ignored, what
 
 from __future__ import annotations
 
+import io
 import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -117,7 +118,7 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     both.sort()
     keys = both >> bits
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
-    return keys[first].astype(kind), np.add.reduceat(values[both & ((1 << bits) - 1)], first) if len(first) else values
+    return keys[first].astype(kind), np.add.reduceat(values[both & ((1 << bits) - 1)], first, dtype=values.dtype) if len(first) else values
 
 
 def all_terms(above: np.ndarray, last: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,12 +135,13 @@ def _arrays(vector: dict[int, float] | tuple[np.ndarray, np.ndarray]) -> tuple[n
 class BlockMaxIndex:
     """Unit vectors by term, in blocks of consecutive examples."""
 
-    def __init__(self, vectors: list, n_terms: int):
+    def __init__(self, vectors: Iterable, n_terms: int):
         pairs = [_arrays(v) for v in vectors]
         self.n, blocks = len(pairs), -(-len(pairs) // BLOCK)
-        term = np.concatenate([np.zeros(0, int), *[t for t, _ in pairs]])
+        term = np.concatenate([np.zeros(0, np.int32), *[t for t, _ in pairs]], dtype=np.int32, casting="same_kind")
         weight = np.concatenate([np.zeros(0), *[w for _, w in pairs]])
         example = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in pairs])
+        del pairs
         often = np.bincount(term, minlength=n_terms)
         common = np.argsort(-often, kind="stable")[:COMMON]
         self.column = np.full(n_terms, -1, np.int32)
@@ -147,13 +149,13 @@ class BlockMaxIndex:
         self.dense = np.zeros((blocks * BLOCK, len(common)), np.float32)
         c = self.column[term] >= 0
         rows, at, exact = example[c], self.column[term[c]], weight[c]
+        term, example, weight = term[~c], example[~c], weight[~c]
         self.dense[rows, at] = exact
         self.most = np.zeros((len(common), blocks))
         np.maximum.at(self.most, (at, rows // BLOCK), exact)
         # The columns' weights as they are, by example.
         self.at, self.exact, self.rows = at.astype(np.min_scalar_type(COMMON)), exact, np.searchsorted(rows, np.arange(blocks * BLOCK + 1))
         # Where the postings of each other term start, and where the last ends.
-        term, example, weight = term[~c], example[~c], weight[~c]
         order = np.argsort(term, kind="stable")
         self.example, self.weight = example[order].astype(np.min_scalar_type(blocks * BLOCK)), weight[order]
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms))])
@@ -238,16 +240,37 @@ def _unit(counted: tuple[np.ndarray, np.ndarray], weight: np.ndarray) -> tuple[n
 
 
 def alike(counted: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> np.ndarray:
-    """A number for each term, the same for terms that occur equally often in each of the examples (a word and a beginning of it alone)."""
-    term = np.concatenate([np.zeros(0, np.int32), *[t for t, _ in counted]])
-    example = np.repeat(np.arange(len(counted), dtype=np.int32), [len(t) for t, _ in counted])
-    order = np.argsort(term, kind="stable")
-    postings = np.stack([example, np.concatenate([np.zeros(0, np.int32), *[n for _, n in counted]]).astype(np.int32)], 1)[order]
-    ends = np.cumsum(np.bincount(term, minlength=n_terms)).tolist()
+    """A number for each term, the same for terms that occur equally often in each of the examples (a word and a beginning of it alone).
+
+    A term, an example and a count are sorted as one number of 63 bits, which some thousand examples leave room for.
+    """
+    at, many = (max(1, int(x).bit_length()) for x in (len(counted), max((n.max(initial=0) for _, n in counted), default=0)))
+    if n_terms.bit_length() + at + many > 63:
+        raise ValueError("terms, examples and counts don't fit one number")
+    postings = np.empty(sum(len(t) for t, _ in counted), np.int64)
+    end = 0
+    for example, (t, n) in enumerate(counted):
+        some = postings[end : (end := end + len(t))]
+        some[:] = t
+        some <<= at
+        some |= example
+        some <<= many
+        some |= n
+    postings.sort()
+    ends = np.searchsorted(postings, np.arange(1, n_terms + 1) << (at + many)).tolist()
+    postings &= (1 << (at + many)) - 1
+    postings = postings.astype(np.min_scalar_type((1 << (at + many)) - 1))
     seen: dict[bytes, int] = {}
     return np.array([seen.setdefault(postings[a:b].tobytes(), len(seen)) for a, b in zip([0, *ends], ends)], np.int32)
 
 
+def _taken(items: list, order: list[int]) -> Iterator:
+    """Items in ``order``, which the list no longer holds then."""
+    for i in order:
+        item, items[i] = items[i], None
+        yield item
+
+
 class Merge:
     """Vectors by term become vectors by group of terms that are ``alike``; cosines with examples stay as they are.
 
@@ -276,10 +299,15 @@ class Search:
             yield from self.index.nearest_of([self.merge(_unit(all_terms(self.above, t, n), self.weight)) for t, n in zip(some["terms"], some["counts"], strict=True)], k)
 
     def __getstate__(self) -> bytes:
-        return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(self.__dict__))
+        """Written array by array: the whole is never beside its bytes."""
+        out = io.BytesIO()
+        with zstandard.ZstdCompressor(level=3).stream_writer(out, closefd=False) as to:
+            pickle.dump(self.__dict__, to, protocol=5)
+        return out.getvalue()
 
     def __setstate__(self, state: bytes) -> None:
-        self.__dict__.update(pickle.loads(zstandard.ZstdDecompressor().decompress(state)))
+        with zstandard.ZstdDecompressor().stream_reader(state) as of:
+            self.__dict__.update(pickle.load(of))
 
 
 def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -345,21 +373,23 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         n[-1] = rows
         yield pd.DataFrame({"values": [n]})
 
-    *with_term, n_docs = sum_arrays(counted.select("terms").mapInPandas(frequencies, SUMMED), n_terms + 1)
-    weight = label_weight * (np.log((n_docs + 1.0) / (np.array(with_term) + 1.0)) + 1)
+    found_in = sum_arrays(counted.select("terms").mapInPandas(frequencies, SUMMED), n_terms + 1)
+    weight = label_weight * (np.log((found_in[-1] + 1.0) / (found_in[:-1] + 1.0)) + 1)
     sample_terms = stash(sample.select("doc_id", "toxic", "rows", "text").mapInArrow(count, f"doc_id long, toxic int, rows double, {COUNTED}"), "toxic-example-terms")
     found = sample_terms.toArrow().sort_by("doc_id")
     ids, toxic, stands = (found[c].to_numpy() for c in ("doc_id", "toxic", "rows"))
     whole = [all_terms(above, np.array(t.values, np.int32), np.array(n.values, np.int32)) for t, n in zip(found["terms"], found["counts"], strict=True)]
+    del found
     merge = Merge(alike(whole, n_terms), weight)
-    vectors = [merge(_unit(x, weight)) for x in whole]
+    vectors = whole
+    for i, x in enumerate(whole):  # in place, so that the driver holds no example twice
+        vectors[i] = merge(_unit(x, weight))
     blank = np.array([not len(t) for t, _ in vectors], bool)
     base = (float(stands @ toxic) + 0.5) / (float(stands.sum()) + 1) if len(ids) else 0.0
     base = (float(stands[blank] @ toxic[blank]) + base) / (float(stands[blank].sum()) + 1)
     # Similar examples next to each other make tight bounds.
     order = sorted(np.flatnonzero(~blank).tolist(), key=lambda i: (vectors[i][0][0], ids[i]))
-    index = BlockMaxIndex([vectors[i] for i in order], merge.n)
-    del vectors, whole, found
+    index = BlockMaxIndex(_taken(vectors, order), merge.n)
     ids, toxic, stands = ids[order], toxic[order].astype(float), stands[order]
     scale = stands.mean() if len(stands) else 1.0
     # One copy on each machine for both searches: a function's own variables would be sent, and written to disk, with each function.
